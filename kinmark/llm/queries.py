@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import btype_key, counts, is_btype, read
-from . import components, terms, topn
+from . import components, packing, terms, tokens, topn
 
 #: Types whose elements are terms, as written in the results.
 TERM_TYPES = ("Sfc", "Ffc", "OpSeq", "OpFreq")
@@ -51,4 +51,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_groups(links, record_key("a_info"), record_key("b_info"))
 
 
+# 7 ----------------------------------------------------------------------------------------------------------------
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return tokens.encode_texts(d, F.col("doc_id"), F.col("text")).withColumnRenamed("key", "doc_id")
+
+
+# 8 ----------------------------------------------------------------------------------------------------------------
+CONTAINER_TOKENS = 2048
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    sizes = tokens.count_tokens(d, F.col("doc_id"), F.col("text"))
+    placed = packing.fill_containers(sizes, F.col("key"), F.col("tokens"), CONTAINER_TOKENS)
+    return placed.select(F.col("key").alias("doc_id"), "piece", F.col("size").alias("tokens"), "container", "start")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = p8_pack(spark, sf_dir)
+    total = p.agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), (F.max("container") + 1).alias("containers"))
+    room = F.col("containers") * CONTAINER_TOKENS
+    return total.withColumn("unused_share", F.when(room > 0, 1 - F.col("tokens") / room))
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
