@@ -48,7 +48,7 @@ class Scratch:
         """Writes ``df`` and returns the table as read back."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        writer = df.write.option("compression", "lz4_raw")
+        writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(back)] = path
