@@ -38,3 +38,25 @@ SQL["p6_found"] = """
     edges AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
     reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
     SELECT a AS record_key, min(b) AS group_key FROM reach GROUP BY a"""
+
+_SPANS = """
+    WITH records AS (
+        SELECT bm_id, any_value(info.name) AS name, any_value(elements) AS e FROM birthmarks
+        WHERE regexp_replace(lower(info.btype), '[^a-z]', '', 'g') = 'opseq' AND info.mode = 'Function'
+            AND info.name IS NOT NULL AND len(elements) >= 40 GROUP BY bm_id),
+    stretches AS (
+        SELECT bm_id, name, p, CAST(e[p + 1 : p + 40] AS VARCHAR) AS w
+        FROM (SELECT bm_id, name, e, unnest(range(0, len(e) - 39)) AS p FROM records)),
+    shared AS (SELECT w FROM stretches GROUP BY w HAVING min(name) <> max(name)),
+    hits AS (SELECT bm_id, p FROM stretches WHERE w IN (SELECT w FROM shared)),
+    cut AS (SELECT bm_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY bm_id ORDER BY p) + 40 THEN 0 ELSE 1 END AS new FROM hits),
+    runs AS (SELECT bm_id, p, sum(new) OVER (PARTITION BY bm_id ORDER BY p) AS run FROM cut),
+    found AS (SELECT bm_id, min(p) AS start_pos, max(p) + 39 AS end_pos FROM runs GROUP BY bm_id, run)
+"""
+SQL["p1_found"] = _SPANS + "SELECT bm_id, start_pos, end_pos FROM found"
+SQL["p1_share"] = (
+    _SPANS
+    + """SELECT bm_id, any_value(len(e)) AS elements, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS shared,
+            round(sum(end_pos - start_pos + 1) / any_value(len(e)), 9) AS share
+         FROM found JOIN records USING (bm_id) GROUP BY bm_id"""
+)

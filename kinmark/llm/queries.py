@@ -6,12 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import btype_key, counts, is_btype, read
-from . import components, packing, terms, tokens, topn
+from . import components, packing, spans, terms, tokens, topn
 
 #: Types whose elements are terms, as written in the results.
 TERM_TYPES = ("Sfc", "Ffc", "OpSeq", "OpFreq")
 
 
+# 1 ----------------------------------------------------------------------------------------------------------------
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "birthmarks")
+    return b.where(is_btype(F.col("info.btype"), "OpSeq") & (F.col("info.mode") == "Function") & F.col("elements").isNotNull())
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(_functions(spark, sf_dir), F.col("bm_id"), F.col("info.name"), F.col("elements"), 40)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir).select(F.col("record").alias("bm_id"), "start_pos", "end_pos")
+
+
+def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _shared(spark, sf_dir)
+    total = runs.groupBy(F.col("record").alias("bm_id"), "elements").agg(F.sum(F.col("end_pos") - F.col("start_pos") + 1).alias("shared"))
+    return total.withColumn("share", F.round(F.col("shared") / F.col("elements"), 9))
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "similarities").where(F.col("a_info").isNotNull() & counts(F.col("score")))
