@@ -60,3 +60,15 @@ SQL["p1_share"] = (
             round(sum(end_pos - start_pos + 1) / any_value(len(e)), 9) AS share
          FROM found JOIN records USING (bm_id) GROUP BY bm_id"""
 )
+
+SQL["p3_found"] = """
+    WITH records AS (
+        SELECT bm_id, any_value(elements) AS e FROM birthmarks
+        WHERE regexp_replace(lower(info.btype), '[^a-z]', '', 'g') = 'opseq' AND info.mode = 'Function' AND len(elements) >= 64
+        GROUP BY bm_id),
+    parts AS (SELECT bm_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM records),
+    names AS (SELECT x, chr(CAST(47 + row_number() OVER (ORDER BY x.kind, x.s, x.i) AS INTEGER)) AS c FROM (SELECT DISTINCT x FROM parts)),
+    texts AS (SELECT bm_id, string_agg(c, '' ORDER BY i) AS t, count(*) AS n FROM parts JOIN names USING (x) GROUP BY bm_id)
+    SELECT a.bm_id AS bm_id_a, b.bm_id AS bm_id_b FROM texts a JOIN texts b ON a.bm_id < b.bm_id
+        AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
+    WHERE 1 - levenshtein(a.t, b.t) / greatest(a.n, b.n) >= 0.8"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import btype_key, counts, is_btype, read
-from . import components, packing, spans, terms, tokens, topn
+from . import components, neardup, packing, spans, terms, tokens, topn
 
 #: Types whose elements are terms, as written in the results.
 TERM_TYPES = ("Sfc", "Ffc", "OpSeq", "OpFreq")
@@ -40,6 +40,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("id").alias("sim_id"), "rnk")
 
 
+# 3 ----------------------------------------------------------------------------------------------------------------
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.near_duplicates(_functions(spark, sf_dir), F.col("bm_id"), F.col("elements"), 0.8, 64)
+    return pairs.select(F.col("a").alias("bm_id_a"), F.col("b").alias("bm_id_b"))
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "birthmarks").where(is_btype(F.col("info.btype"), *TERM_TYPES))
