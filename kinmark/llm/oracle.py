@@ -72,3 +72,13 @@ SQL["p3_found"] = """
     SELECT a.bm_id AS bm_id_a, b.bm_id AS bm_id_b FROM texts a JOIN texts b ON a.bm_id < b.bm_id
         AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
     WHERE 1 - levenshtein(a.t, b.t) / greatest(a.n, b.n) >= 0.8"""
+SQL["p4_found"] = """
+    WITH records AS (
+        SELECT bm_id, regexp_replace(lower(any_value(info.btype)), '[^a-z]', '', 'g') AS t, any_value(elements) AS e
+        FROM birthmarks WHERE info.mode = 'Function' AND elements IS NOT NULL GROUP BY bm_id),
+    names AS (SELECT DISTINCT bm_id, t, x.s AS s FROM (SELECT bm_id, t, unnest(e) AS x FROM records WHERE t IN ('sfc', 'ffc')) WHERE x.s IS NOT NULL),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY bm_id) AS n FROM names),
+    both_ AS (
+        SELECT a.bm_id AS bm_id_a, b.bm_id AS bm_id_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+        FROM sized a JOIN sized b ON a.s = b.s AND a.t = b.t AND a.bm_id < b.bm_id WHERE a.n >= 5 AND b.n >= 5 GROUP BY 1, 2)
+    SELECT bm_id_a, bm_id_b FROM both_ WHERE k / (na + nb - k) >= 0.7"""

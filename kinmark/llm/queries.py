@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import btype_key, counts, is_btype, read
-from . import components, neardup, packing, spans, terms, tokens, topn
+from . import components, neardup, packing, setjoin, spans, terms, tokens, topn
 
 #: Types whose elements are terms, as written in the results.
 TERM_TYPES = ("Sfc", "Ffc", "OpSeq", "OpFreq")
@@ -46,6 +46,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("bm_id_a"), F.col("b").alias("bm_id_b"))
 
 
+# 4 ----------------------------------------------------------------------------------------------------------------
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "birthmarks")
+    b = b.where(is_btype(F.col("info.btype"), "Sfc", "Ffc") & (F.col("info.mode") == "Function") & F.col("elements").isNotNull())
+    pairs = setjoin.similar_sets(b, F.col("bm_id"), btype_key(F.col("info.btype")), F.col("elements.s"), 0.7, 5)
+    return pairs.select(F.col("a").alias("bm_id_a"), F.col("b").alias("bm_id_b"))
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "birthmarks").where(is_btype(F.col("info.btype"), *TERM_TYPES))
