@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import btype_key, counts, is_btype, read
-from . import components, neardup, packing, setjoin, spans, terms, tokens, topn
+from . import components, neardup, packing, setjoin, spans, subjects, terms, tokens, topn
 
 #: Types whose elements are terms, as written in the results.
 TERM_TYPES = ("Sfc", "Ffc", "OpSeq", "OpFreq")
@@ -109,4 +109,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("unused_share", F.when(room > 0, 1 - F.col("tokens") / room))
 
 
+# 9 ----------------------------------------------------------------------------------------------------------------
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, e = read(spark, sf_dir, "documents"), read(spark, sf_dir, "subject_examples")
+    found = subjects.subjects_of(d, F.col("doc_id"), F.col("text"), e, F.col("text"), F.col("subject"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_shares(spark, sf_dir).select("doc_id", "subject")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "p" and k[1].isdigit()}
