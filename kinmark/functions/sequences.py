@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Hashable, Sequence
 
+import numpy as np
+
 
 def _positions(a: Sequence[Hashable]) -> dict[Hashable, int]:
     out: dict[Hashable, int] = {}
@@ -45,3 +47,72 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
         plus = (mh | ~(xv | ph)) & full
         minus = ph & xv
     return score
+
+
+#: Pairs that one vectorised pass handles; kinds of values beyond which a pass is left to the plain functions.
+_PASS, _KINDS_MOST = 1024, 1024
+
+
+def edit_distances(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Levenshtein distances of many pairs of strings at once.
+
+    The bit-parallel recurrence runs over blocks of 64 rows, each step for thousands of pairs together; pairs of similar
+    length share a pass.
+    """
+    n = np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(a), np.int64)
+    order = np.argsort(n, kind="stable")
+    for lo in range(0, len(order), _PASS):
+        part = order[lo : lo + _PASS]
+        out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part])
+    return out
+
+
+def _padded(texts: list[str], size: np.ndarray) -> np.ndarray:
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    out = np.full((len(texts), int(size.max(initial=0))), -1, np.int64)
+    out[np.arange(out.shape[1])[None, :] < size[:, None]] = flat
+    return out
+
+
+def _edit_pass(a: list[str], b: list[str]) -> np.ndarray:
+    m = np.array([len(x) for x in a], np.int64)
+    n = np.array([len(x) for x in b], np.int64)
+    x, y = _padded(a, m), _padded(b, n)
+    kinds = np.unique(np.concatenate([x.ravel(), y.ravel()]))
+    if len(kinds) > _KINDS_MOST:
+        return np.array([edit_distance(p, q) for p, q in zip(a, b)], np.int64)
+    x, y = np.searchsorted(kinds, x), np.searchsorted(kinds, y)
+    rows, one = np.arange(len(a)), np.uint64(1)
+    blocks = max(1, -(-int(m.max(initial=0)) // 64))
+    # where each kind of value stands in a: a bit per place
+    where = np.zeros((blocks, len(kinds), len(a)), np.uint64)
+    for i in range(x.shape[1]):
+        live = i < m
+        r = rows[live]
+        where[i // 64, x[live, i], r] |= one << np.uint64(i % 64)
+    full, none, top = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(63)
+    plus, minus = [np.full(len(a), full) for _ in range(blocks)], [np.zeros(len(a), np.uint64) for _ in range(blocks)]
+    last, bit = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64)
+    score, out = m.copy(), np.where(n == 0, m, 0)
+    for j in range(y.shape[1]):
+        up, down = np.ones(len(a), np.uint64), np.zeros(len(a), np.uint64)  # the step into the first row is +1
+        c = y[:, j]
+        for k in range(blocks):
+            p, q = plus[k], minus[k]
+            eq = where[k, c, rows]
+            xv = eq | q
+            eq |= down
+            xh = ((eq & p) + p ^ p) | eq
+            ph, mh = q | ~(xh | p), p & xh
+            ends = last == k
+            if ends.any():
+                score += np.where(ends, (ph >> bit & one).astype(np.int64) - (mh >> bit & one).astype(np.int64), 0)
+            up_next, down_next = ph >> top, mh >> top
+            ph, mh = ph << one | up, mh << one | down
+            plus[k], minus[k] = mh | ~(xv | ph), ph & xv
+            up, down = up_next, down_next
+        done = n == j + 1
+        out[done] = score[done]
+    out[m == 0] = n[m == 0]
+    return out
