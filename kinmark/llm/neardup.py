@@ -11,7 +11,7 @@ shard that its ball of 2k bits overlaps. What overlaps at the first vantage poin
 
 *Shards.* Homes wait in blocks, lookers stream past. Distances are computed in tiles, first over the most frequent kinds
 (a lower bound), then over all, then over hashed pairs of neighbours (an edit changes at most two of them on each
-side). Survivors are verified by their exact edit distance.
+side). Survivors are verified by their exact edit distance, bit-parallel for many pairs at once.
 
 Records of equal content are one text. Its copies are written out as pairs while a text has at most ``expand_most``
 copies; beyond, each copy is paired with the smallest id of its text, which then stands for the text in other pairs.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.opcodes import OPCODES
-from ..functions.sequences import edit_distance
+from ..functions.sequences import edit_distance, edit_distances
 from ..scratch import Scratch
 from . import common
 
@@ -202,7 +202,7 @@ class _Block:
 
 
 _ROUTED = "shard int, looks boolean, s1 long, s2 long, txt string"
-_CANDIDATES = "a1 long, a2 long, b1 long, b2 long, ta string, tb string, k int"
+_VERIFIED = "a1 long, a2 long, b1 long, b2 long, k int, foreign boolean"
 
 
 def _router(tree: Tree, score: float):
@@ -246,12 +246,13 @@ def _searcher(score: float):
                     piece = part.slice(a, 4096)
                     s1, s2, texts = piece.column("s1").to_numpy(), piece.column("s2").to_numpy(), piece.column("txt").to_pylist()
                     i, h, k = block.candidates(s1, s2, texts, score)
-                    for c in range(0, len(i), 8192):
-                        x, y = i[c : c + 8192], h[c : c + 8192]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(s1[x]), pa.array(s2[x]), pa.array(block.s1[y]), pa.array(block.s2[y]), pa.array([texts[j] for j in x], pa.string()), pa.array([block.texts[j] for j in y], pa.string()), pa.array(k[c : c + 8192].astype(np.int32))],
-                            names=["a1", "a2", "b1", "b2", "ta", "tb", "k"],
-                        )
+                    d = edit_distances([texts[j] for j in i], [block.texts[j] for j in h])
+                    i, h, k = i[d <= k], h[d <= k], k[d <= k]
+                    foreign = [not (texts[x].isascii() and block.texts[y].isascii()) for x, y in zip(i, h)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(s1[i]), pa.array(s2[i]), pa.array(block.s1[h]), pa.array(block.s2[h]), pa.array(k.astype(np.int32)), pa.array(foreign, pa.bool_())],
+                        names=["a1", "a2", "b1", "b2", "k", "foreign"],
+                    )
 
     return run
 
@@ -316,10 +317,8 @@ def near_duplicates(
     every = F.sequence(F.lit(0), F.col("many") - 1)
     cells = routed.withColumn("part", F.explode(F.when(F.col("looks"), every).otherwise(own)))
     cells = cells.select((F.col("shard").cast("long") * 1_000_000 + F.col("part")).alias("cell"), "looks", "s1", "s2", "txt")
-    found = cells.repartition("cell").sortWithinPartitions("cell", "looks").mapInArrow(_searcher(score), _CANDIDATES)
-    found = found.where(_within(F.col("ta"), F.col("tb"), F.col("k")))
-    foreign = F.col("ta").rlike("[^\\x00-\\xff]") | F.col("tb").rlike("[^\\x00-\\xff]")
-    found = scratch.write(found.select("a1", "a2", "b1", "b2", "k", foreign.alias("foreign")))
+    cells = cells.repartition(max(8, sum(blocks.values())), "cell").sortWithinPartitions("cell", "looks")
+    found = scratch.write(cells.mapInArrow(_searcher(score), _VERIFIED))
     pairs = found.where(~F.col("foreign")).select("a1", "a2", "b1", "b2")
     unsure = found.where("foreign")
     if not unsure.isEmpty():  # hashed characters may have been taken for equal: compare the elements themselves
@@ -330,15 +329,6 @@ def near_duplicates(
     return _records(scratch, rows, pairs, expand_most)
 
 
-def _within(a: Column, b: Column, k: Column) -> Column:
-    """Whether the edit distance of two strings is at most k; the built-in stops at a literal threshold only."""
-    steps = [16, 32, 64, 128, 256]
-    exact = F.levenshtein(a, b) <= k
-    for t in reversed(steps):
-        exact = F.when(k <= t, F.levenshtein(a, b, t).between(F.lit(0), k)).otherwise(exact)
-    return exact
-
-
 def _records(scratch: Scratch, rows: DataFrame, pairs: DataFrame, expand_most: int) -> DataFrame:
     """Pairs of texts to pairs of records."""
     members = scratch.write(rows.select("record", "s1", "s2").distinct())
