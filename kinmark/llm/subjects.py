@@ -12,7 +12,8 @@ terms' vectors without the first component.
 *Centroids.* Labelled examples give the first centroid of each subject. Then all documents whose cosine to a centroid is
 high move the centroids, a few times; their common part is taken out each time, so that it can't become a subject.
 
-*Assignment.* The cosine of a term with a centroid says how much it speaks for the subject. Words of several subjects
+*Assignment.* The cosine of a term with a centroid says how much it speaks for the subject, provided that documents
+with the term are clearly more often about the subject than others; words of a language's grammar are not. Words of several subjects
 (court, key) are shared out by what else the document talks about. A document gets the subjects with a good share of
 this talk, if there is more of it than a passing mention beside its general words.
 
@@ -43,7 +44,11 @@ RANK, OVERSAMPLE, PASSES = 40, 8, 3
 ROUNDS, CONFIDENT = 3, 0.8
 #: Share of the subject talk that makes a subject; share of subject talk beside general words; words that are no mention.
 GOOD_SHARE, TALK_SHARE, TALK_LEAST = 0.2, 0.045, 2.0
-_GENERAL, _AFFINE, _CLEAR = 0.75, 0.25, 0.25
+#: First component of a general word; cosine from which a term speaks for a subject at all; how much more often than
+#: usual the documents with the term are about the subject.
+_GENERAL, _AFFINE, _LIFT = 0.75, 0.08, 2.5
+#: Documents of usual subjects that are counted to each term's own, so that few documents say little.
+_PRIOR = 10.0
 _BLOCK = 256  # vocabulary rows that are summed together
 
 _ASCII = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -52,11 +57,12 @@ _PREFIXES = ("multi", "sub", "pre", "un", "re")
 
 
 def term_counts(text: str) -> Counter[str]:
-    """Words of at least two letters with their counts."""
+    """Words of at least two letters with their counts; words of the letters a to f only are digits of numbers."""
     out: Counter[str] = Counter()
     for w, n in Counter((_ASCII if text.isascii() else _ANY).findall(text)).items():
-        if len(w) > 1:
-            out[w.lower()] += n
+        w = w.lower()
+        if len(w) > 1 and w.strip("abcdef"):
+            out[w] += n
     return out
 
 
@@ -112,6 +118,11 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
 
 
+def _damped(counts: np.ndarray) -> np.ndarray:
+    """A word that a generator repeats must not drown the others."""
+    return np.log1p(counts.astype(np.float32))[:, None]
+
+
 def _weights(ids: np.ndarray, counts: np.ndarray, size: np.ndarray, row: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = np.log1p(counts.astype(np.float32)) * idf[ids]
     norm = np.sqrt(np.bincount(row, w * w, minlength=len(size)))
@@ -222,11 +233,7 @@ def _decompose(docs: DataFrame, terms: int, idf, rank: int) -> tuple[np.ndarray,
     q = np.linalg.qr(np.random.default_rng(11).standard_normal((terms, wide)))[0]
     for i in range(PASSES):
         sent = sc.broadcast(q.astype(np.float32))
-        parts = docs.mapInArrow(_times(sent, idf), "at int, part binary").repartition("at").mapInArrow(_add_up, "at int, part binary")
-        product = np.zeros((terms, wide))
-        for r in parts.collect():  # vocabulary x rank numbers, whatever the number of documents
-            p = np.frombuffer(r["part"], np.float32).reshape(-1, wide)
-            product[r["at"] : r["at"] + len(p)] = p
+        product = _collected(docs.mapInArrow(_times(sent, idf), "at int, part binary"), (terms, wide))
         sent.destroy()
         if i < PASSES - 1:
             q = np.linalg.qr(product)[0]
@@ -243,7 +250,7 @@ def _placed(vectors):
         z = vectors.value
         for batch in _chunks(it):
             ids, counts, size, _ = _lists(batch)
-            e = _unit(_sum_rows(z[ids] * counts.astype(np.float32)[:, None], size))
+            e = _unit(_sum_rows(z[ids] * _damped(counts), size))
             some = np.flatnonzero(size)
             ends = pa.array((np.arange(len(some) + 1) * z.shape[1]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(e[some].ravel()))], names=["e"])
@@ -265,6 +272,43 @@ def _moved(centroids: np.ndarray):
     return run
 
 
+def _company(vectors, centroids: np.ndarray):
+    """Per term the summed subjects of the documents that hold it, as blocks of vocabulary rows."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = vectors.value
+        total = np.zeros((len(z), len(centroids)), np.float32)
+        for batch in _chunks(it):
+            ids, counts, size, row = _lists(batch)
+            cos = np.maximum(_unit(_sum_rows(z[ids] * _damped(counts), size)) @ centroids.T, 0) ** 3
+            about = cos / np.maximum(cos.sum(1, keepdims=True), 1e-9)
+            for s in range(len(centroids)):
+                total[:, s] += np.bincount(ids, about[row, s], minlength=len(z))
+        parts = [b for b in range(0, len(total), _BLOCK) if total[b : b + _BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([total[b : b + _BLOCK].tobytes() for b in parts], pa.binary())], names=["at", "part"])
+
+    return run
+
+
+def _collected(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of all partitions' blocks: vocabulary x columns numbers, whatever the number of documents."""
+    out = np.zeros(shape)
+    for r in parts.repartition("at").mapInArrow(_add_up, "at int, part binary").collect():
+        p = np.frombuffer(r["part"], np.float32).reshape(-1, shape[1])
+        out[r["at"] : r["at"] + len(p)] = p
+    return out
+
+
+def _affinity(docs: DataFrame, about: np.ndarray, of_docs: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """How much each term speaks for each subject: by its own direction, and by the documents that hold it."""
+    cos = about @ centroids.T.astype(np.float32)
+    sent = docs.sparkSession.sparkContext.broadcast(of_docs)
+    company = _collected(docs.mapInArrow(_company(sent, centroids.astype(np.float32)), "at int, part binary"), cos.shape)
+    usual = (company.sum(0) + 1e-6) / (company.sum() + 1e-6 * len(centroids))
+    lift = (company + _PRIOR * usual) / (company.sum(1, keepdims=True) + _PRIOR) / usual
+    return np.where((lift >= _LIFT) & (cos >= _AFFINE), lift / lift.sum(1, keepdims=True), 0).astype(np.float32)
+
+
 def _centred(c: np.ndarray) -> np.ndarray:
     c = _unit(c)
     return _unit(c - c.mean(0)) if len(c) > 1 else c
@@ -305,18 +349,17 @@ def fit(docs: DataFrame, n_docs: int, terms: list[str], doc_freq: np.ndarray, ex
                 e += n * about[i]
         seeds[subjects.index(subject)] += e / max(np.linalg.norm(e), 1e-9)
     centroids = _centred(seeds)
-    placed = scratch.write(docs.mapInArrow(_placed(sc.broadcast(about)), "e array<float>"))
+    # only terms that speak for some subject may move a centroid: else a language becomes part of a subject
+    clean = about * _affinity(docs, about, about, centroids).any(1)[:, None]
+    placed = scratch.write(docs.mapInArrow(_placed(sc.broadcast(clean)), "e array<float>"))
     for _ in range(ROUNDS):
         total = _sum_binary(placed.mapInArrow(_moved(centroids), "total binary"), centroids.shape)
         total[~total.any(1)] = centroids[~total.any(1)]  # a subject that no document is sure of keeps its seed
         centroids = _centred(total)
     scratch.drop(placed)
-    cos = about @ centroids.T.astype(np.float32)
-    ordered = np.sort(cos, axis=1)
-    clear = ordered[:, -1] - ordered[:, -min(4, len(subjects))] > _CLEAR  # a word of many subjects is a word of none
-    affinity = np.maximum(cos - _AFFINE, 0) * clear[:, None]
+    affinity = _affinity(docs, about, clean, centroids)
     general = (np.abs(embedded[:, 0]) > _GENERAL) & ~affinity.any(1)
-    return Model(terms, subjects, affinity.astype(np.float32), general)
+    return Model(terms, subjects, affinity, general)
 
 
 def subjects_of(df: DataFrame, key: Column, text: Column, examples: DataFrame, example_text: Column, example_subject: Column) -> DataFrame:
