@@ -57,10 +57,10 @@ def _sequence(names: Column) -> Column:
 
 
 _LISTS: dict[str, Callable[[Column], Column]] = {
-    "OpSeq": lambda ops: _sequence(opcodes(ops)),
-    "OpSet": lambda ops: _sequence(F.array_sort(F.array_distinct(opcodes(ops)))),
-    "Sfc": lambda ops: _sequence(callees(ops)),
-    **{b: (lambda ops, k=k: F.transform(grams(opcodes(ops), k), E.kgram_element)) for k, b in enumerate(K_GRAMS, 1)},
+    "OpSeq": _sequence,
+    "OpSet": lambda names: _sequence(F.array_sort(F.array_distinct(names))),
+    "Sfc": _sequence,
+    **{b: (lambda names, k=k: F.transform(grams(names, k), E.kgram_element)) for k, b in enumerate(K_GRAMS, 1)},
 }
 _COUNTED: dict[str, Callable[[Column], Column]] = {"OpFreq": opcodes, "Ffc": callees}
 
@@ -75,7 +75,10 @@ def extract(modules: DataFrame, btype: str, mode: str) -> DataFrame:
     rows = units(modules, mode)
     info = F.struct("name", "path", F.lit(btype).alias("btype"), F.lit(mode).alias("mode")).alias("info")
     if btype in _LISTS:
-        return rows.select(*_UNIT, info, _LISTS[btype](F.col("ops")).alias("elements"))
+        # names are a column of their own: inside a lambda their expression would run once per element
+        names = callees(F.col("ops")) if btype == "Sfc" else opcodes(F.col("ops"))
+        rows = rows.select(*_UNIT, "name", "path", names.alias("names"))
+        return rows.select(*_UNIT, info, _LISTS[btype](F.col("names")).alias("elements"))
     each = rows.select(*_UNIT, "name", "path", F.explode_outer(_COUNTED[btype](F.col("ops"))).alias("s"))
     counted = each.groupBy(*_UNIT, "name", "path", "s").agg(F.count("*").alias("n"))
     pair = F.when(F.col("s").isNotNull(), F.struct("s", "n"))
