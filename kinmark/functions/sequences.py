@@ -51,10 +51,12 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
 
 #: Pairs that one vectorised pass handles; kinds of values beyond which a pass is left to the plain functions.
 _PASS, _KINDS_MOST = 1024, 1024
+#: Columns between two looks at whether a pair can still end within its limit.
+_LOOK = 24
 
 
-def edit_distances(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
-    """Levenshtein distances of many pairs of strings at once.
+def edit_distances(a: Sequence[str], b: Sequence[str], limit: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distances of many pairs of strings at once; where one exceeds its limit, some number above the limit.
 
     The bit-parallel recurrence runs over blocks of 64 rows, each step for thousands of pairs together; pairs of similar
     length share a pass.
@@ -64,7 +66,7 @@ def edit_distances(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     order = np.argsort(n, kind="stable")
     for lo in range(0, len(order), _PASS):
         part = order[lo : lo + _PASS]
-        out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part])
+        out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part], None if limit is None else np.asarray(limit)[part])
     return out
 
 
@@ -75,7 +77,7 @@ def _padded(texts: list[str], size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _edit_pass(a: list[str], b: list[str]) -> np.ndarray:
+def _edit_pass(a: list[str], b: list[str], limit: np.ndarray | None) -> np.ndarray:
     m = np.array([len(x) for x in a], np.int64)
     n = np.array([len(x) for x in b], np.int64)
     x, y = _padded(a, m), _padded(b, n)
@@ -94,9 +96,10 @@ def _edit_pass(a: list[str], b: list[str]) -> np.ndarray:
     full, none, top = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(63)
     plus, minus = [np.full(len(a), full) for _ in range(blocks)], [np.zeros(len(a), np.uint64) for _ in range(blocks)]
     last, bit = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64)
-    score, out = m.copy(), np.where(n == 0, m, 0)
+    score, out, lengths = m.copy(), np.where(n == 0, m, 0), (m, n)
+    ids = rows
     for j in range(y.shape[1]):
-        up, down = np.ones(len(a), np.uint64), np.zeros(len(a), np.uint64)  # the step into the first row is +1
+        up, down = np.ones(len(rows), np.uint64), np.zeros(len(rows), np.uint64)  # the step into the first row is +1
         c = y[:, j]
         for k in range(blocks):
             p, q = plus[k], minus[k]
@@ -113,6 +116,29 @@ def _edit_pass(a: list[str], b: list[str]) -> np.ndarray:
             plus[k], minus[k] = mh | ~(xv | ph), ph & xv
             up, down = up_next, down_next
         done = n == j + 1
-        out[done] = score[done]
-    out[m == 0] = n[m == 0]
+        out[ids[done]] = score[done]
+        if limit is not None and j % _LOOK == _LOOK - 1:
+            low = _least_end(plus, minus, m, n, j + 1)
+            over = (low > limit) & (n > j + 1)
+            out[ids[over]] = limit[over] + 1
+            keep = ~over & (n > j + 1)
+            if not keep.any():
+                break
+            if keep.sum() < 0.75 * len(keep):
+                ids, m, n, y, limit = ids[keep], m[keep], n[keep], y[keep], limit[keep]
+                last, bit, score, where = last[keep], bit[keep], score[keep], where[:, :, keep]
+                plus, minus = [p[keep] for p in plus], [q[keep] for q in minus]
+                rows = np.arange(len(ids))
+    out[lengths[0] == 0] = lengths[1][lengths[0] == 0]
     return out
+
+
+def _least_end(plus: list[np.ndarray], minus: list[np.ndarray], m: np.ndarray, n: np.ndarray, j: int) -> np.ndarray:
+    """The least distance that pairs can end with after j columns: the best row of the column, then a straight way."""
+    bits = lambda parts: np.unpackbits(np.stack(parts, 1).view(np.uint8), axis=1, bitorder="little").view(np.int8)
+    column = np.cumsum(bits(plus) - bits(minus), axis=1, dtype=np.int16) + np.int16(j)
+    row = np.arange(1, column.shape[1] + 1, dtype=np.int16)
+    left = (m - (n - j)).astype(np.int16)[:, None]
+    end = column + np.abs(left - row)
+    end[row[None, :] > m[:, None]] = np.iinfo(np.int16).max
+    return np.minimum(end.min(1).astype(np.int64), j + np.abs(m - (n - j)))
