@@ -9,9 +9,9 @@ taken from a bounded sample split each node in a near and a far half, until a le
 records. Every record has one home shard. The longer record of a pair looks for the shorter one: it is sent to every
 shard that its ball of 2k bits overlaps. What overlaps at the first vantage point is only lengths from n-k to n.
 
-*Shards.* Homes wait in blocks, lookers stream past. Distances are computed in tiles, first over the most frequent kinds
-(a lower bound), then over all, then over hashed pairs of neighbours (an edit changes at most two of them on each
-side). Survivors are verified by their exact edit distance, bit-parallel for many pairs at once.
+*Shards.* Homes wait in blocks, lookers stream past. Distances are computed in tiles, first over a part of the bits by a
+matrix product (a lower bound), then over all, then over hashed pairs of neighbours (an edit changes at most two of them
+on each side). Survivors are verified by their exact edit distance, bit-parallel for many pairs at once.
 
 Records of equal content are one text. Its copies are written out as pairs while a text has at most ``expand_most``
 copies; beyond, each copy is paired with the smallest id of its text, which then stands for the text in other pairs.
@@ -39,7 +39,7 @@ EXPAND_MOST = 1000
 _BASE, _OTHER = 0x30, 0x100  # characters of the opcodes; of everything else
 _KINDS = len(OPCODES) + 1
 _PAIRS = 256
-_FIRST_KINDS = 16
+_SHORT_BITS = 384
 _TILE = 256
 
 
@@ -156,34 +156,51 @@ class Tree:
 
 
 class _Block:
-    """Homes of one shard."""
+    """Homes of one shard, in order of length, with a short form of their fingerprints.
+
+    The short form keeps of each kind's unary number only the bits in which homes differ, the most telling kinds first:
+    a projection, so its Hamming distance is a lower bound, and a matrix product gives it for whole tiles.
+    """
 
     def __init__(self, s1: np.ndarray, s2: np.ndarray, texts: list[str]):
-        self.s1, self.s2, self.texts = s1, s2, texts
-        bag, self.size = bags(texts)
-        self.order = np.argsort(-bag.sum(0), kind="stable")
-        self.bag = np.ascontiguousarray(bag[:, self.order].astype(np.int16).T)
+        order = np.argsort([len(t) for t in texts], kind="stable")
+        self.s1, self.s2, self.texts = s1[order], s2[order], [texts[i] for i in order]
+        self.bag, self.size = bags(self.texts)
+        low, high = np.percentile(self.bag, [3, 97], axis=0, method="nearest").astype(np.int64)
+        levels = high - low
+        kinds = np.argsort(-self.bag.std(0), kind="stable")
+        self.bits = [(j, t) for j in kinds for t in range(low[j], low[j] + levels[j])][:_SHORT_BITS]
+        self.short = self._short(self.bag)
+        self.ones = self.short.sum(1)
         self.pairs: np.ndarray | None = None
 
+    def _short(self, bag: np.ndarray) -> np.ndarray:
+        out = np.empty((len(bag), len(self.bits)), np.float32)
+        for c, (j, t) in enumerate(self.bits):
+            out[:, c] = bag[:, j] > t
+        return out
+
     def candidates(self, s1: np.ndarray, s2: np.ndarray, texts: list[str], score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(looker, home, edits allowed) of the pairs that the bounds let through; a looker is after the home in order."""
         bag, size = bags(texts)
-        bag = bag[:, self.order].astype(np.int16)
         k = np.array([most_edits(int(n), score) for n in size], np.int64)
+        order = np.argsort(size, kind="stable")
+        short = self._short(bag)
+        ones = short.sum(1)
         out: list[tuple[np.ndarray, np.ndarray]] = []
-        for a in range(0, len(texts), _TILE):
-            q, n, kk = bag[a : a + _TILE], size[a : a + _TILE], k[a : a + _TILE]
-            for b in range(0, len(self.texts), 4 * _TILE):
-                m = self.size[b : b + 4 * _TILE]
-                room = 2 * kk[:, None] - (n[:, None] - m[None, :])
-                low = room - (n[:, None] < m[None, :]) * (1 << 30)
-                far = np.zeros(low.shape, np.int32)
-                for j in range(_FIRST_KINDS):
-                    far += np.abs(q[:, j, None] - self.bag[j, None, b : b + 4 * _TILE])
-                i, h = np.nonzero(far <= low)
-                rest = np.abs(q[i, _FIRST_KINDS:] - self.bag[_FIRST_KINDS:, b + h].T).sum(1)
-                ok = far[i, h] + rest <= room[i, h]
-                out.append((i[ok] + a, h[ok] + b))
+        for a in range(0, len(order), _TILE):
+            q = order[a : a + _TILE]
+            lo = np.searchsorted(self.size, (size[q] - k[q]).min(), side="left")
+            hi = np.searchsorted(self.size, size[q].max(), side="right")
+            for b in range(lo, hi, 4 * _TILE):
+                e = min(hi, b + 4 * _TILE)
+                # distance = ones + ones - 2 product, and twice the edits less the difference of lengths must hold it
+                both = short[q] @ self.short[b:e].T
+                need = (ones[q] - 2 * k[q] + size[q]).astype(np.float32)[:, None] + (self.ones[b:e] - self.size[b:e]).astype(np.float32)
+                i, h = np.nonzero(2 * both >= need)
+                i, h = q[i], h + b
+                ok = (self.size[h] <= size[i]) & (np.abs(bag[i] - self.bag[h]).sum(1) + size[i] - self.size[h] <= 2 * k[i])
+                out.append((i[ok], h[ok]))
         i, h = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
         # of two records of equal length the one with the smaller fingerprint is the home
         tie = (size[i] == self.size[h]) & ((s1[i] < self.s1[h]) | (s1[i] == self.s1[h]) & (s2[i] <= self.s2[h]))
@@ -246,7 +263,7 @@ def _searcher(score: float):
                     piece = part.slice(a, 4096)
                     s1, s2, texts = piece.column("s1").to_numpy(), piece.column("s2").to_numpy(), piece.column("txt").to_pylist()
                     i, h, k = block.candidates(s1, s2, texts, score)
-                    d = edit_distances([texts[j] for j in i], [block.texts[j] for j in h])
+                    d = edit_distances([texts[j] for j in i], [block.texts[j] for j in h], k)
                     i, h, k = i[d <= k], h[d <= k], k[d <= k]
                     foreign = [not (texts[x].isascii() and block.texts[y].isascii()) for x, y in zip(i, h)]
                     yield pa.RecordBatch.from_arrays(
