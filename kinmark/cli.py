@@ -29,12 +29,12 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
 
     def source(c: argparse.ArgumentParser) -> None:
-        c.add_argument("-t", "--type", dest="btype", type=_choice(BTYPES), default="OpSeq", help="birthmark type (op-seq)")
-        c.add_argument("-m", "--mode", type=_choice(MODES), default="File", help="extraction mode (file)")
+        c.add_argument("-t", "--type", dest="btype", type=_choice(BTYPES), default="op-seq", help="birthmark type (op-seq)")
+        c.add_argument("-m", "--mode", type=_choice(MODES), default="file", help="extraction mode (file)")
         c.add_argument("inputs", nargs="*", help="IR or bitcode files")
 
     def algorithm(c: argparse.ArgumentParser) -> None:
-        c.add_argument("-c", "--comparator", type=_choice(CTYPES), default="Jaccard", help="comparator (jaccard)")
+        c.add_argument("-c", "--comparator", type=_choice(CTYPES), default="jaccard", help="comparator (jaccard)")
 
     def dest(c: argparse.ArgumentParser) -> None:
         c.add_argument("-d", "--dest", default=files.STDOUT, help="output file (- is standard output)")
