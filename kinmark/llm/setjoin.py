@@ -155,11 +155,14 @@ def similar_sets(
 
     depth_most = max(1, math.ceil(similarity * least - 1e-9))
     leaves: list[DataFrame] = []
+    small = sets.limit(node_most + 1).count() <= node_most
     for tree in range(trees):
         level = sets.select(F.lit(tree).cast("long").alias("node"), F.array().cast("array<long>").alias("path"), "s1", "s2", "tokens")
-        for depth in range(depth_most + 1):
-            if depth:
-                level = scratch.write(_branch(level, similarity, choices))
+        if small:
+            leaves.append(_whole(level))
+            break
+        for depth in range(1, depth_most + 1):
+            level = scratch.write(_branch(level, similarity, choices))
             sizes = level.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > node_most)
             sizes = scratch.write(sizes)
             if sizes.isEmpty():
