@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import errors as X
 from ..operators import extract as ops
+from ..schema import FUNCTIONS
 from . import bitcode, ir_text, records
 
 STDOUT = "-"
@@ -60,10 +61,13 @@ def read_modules(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     if bc:
         binary = spark.read.format("binaryFile").load(bc).select(F.url_decode(name).alias("uri"), "content")
         parts.append(bitcode.parse(binary))
-    parsed = parts[0] if parts else spark.createDataFrame([], "uri string, functions array<string>, error string")
+    parsed = parts[0] if parts else spark.createDataFrame([], f"uri string, functions {FUNCTIONS.simpleString()}, error string")
     for p in parts[1:]:
         parsed = parsed.unionByName(p)
-    return listed.join(parsed, "uri", "left").drop("uri")
+    rows = listed.join(parsed, "uri", "left").drop("uri")
+    # a file of no bytes is no row of the text source; it is a module without definitions
+    nothing = F.col("functions").isNull() & F.col("error").isNull()
+    return rows.withColumn("functions", F.when(nothing, F.array().cast(FUNCTIONS)).otherwise(F.col("functions")))
 
 
 def raise_format_errors(modules: DataFrame) -> None:
@@ -97,7 +101,8 @@ def load(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     uri = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "file:///"))
     docs = records.parse_json(text.select(uri.alias("uri"), F.col("value").alias("content")))
     docs = listed.join(docs, "uri", "left")
-    bad = docs.where(F.col("error").isNotNull()).select("path", "error").collect()
+    error = F.when(F.col("birthmarks").isNull(), F.coalesce("error", F.lit("no content")))  # no bytes, no row
+    bad = docs.select("path", error.alias("error")).where(F.col("error").isNotNull()).collect()
     X.raise_all(X.JsonError(f"{r['path']}: {r['error']}") for r in bad)
     each = docs.select("src_idx", F.posexplode("birthmarks").alias("pos", "b"))
     return each.select((F.shiftleft(F.col("src_idx").cast("long"), 40) + F.col("pos")).alias("bm_ord"), "b.info", "b.elements")

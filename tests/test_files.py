@@ -44,6 +44,12 @@ def test_all_or_nothing(spark, folder):
         files.from_str(spark, ir.UNKNOWN, "OpSeq", "File")
 
 
+def test_an_empty_file_is_an_empty_module(spark, folder):
+    (folder / "empty.ll").write_text("")
+    assert files.from_paths(spark, [str(folder / "empty.ll")], "OpSeq", "File").first()["elements"] == []
+    assert files.from_paths(spark, [str(folder / "empty.ll")], "OpSeq", "Function").count() == 0
+
+
 def test_argument_order_and_repeats(spark, folder):
     paths = [str(folder / "b b.ll"), str(folder / "a.ll"), str(folder / "b b.ll")]
     got = files.from_paths(spark, paths, "OpSeq", "File").orderBy("bm_ord").select("info.path").collect()
