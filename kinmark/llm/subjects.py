@@ -44,7 +44,7 @@ RANK, OVERSAMPLE, PASSES = 40, 8, 3
 ROUNDS, CONFIDENT = 3, 0.8
 #: Share of the subject talk that makes a subject; share of subject talk beside general words; words that are no mention.
 GOOD_SHARE, TALK_SHARE, TALK_LEAST = 0.2, 0.045, 2.0
-#: First component of a general word; cosine from which a term speaks for a subject at all; how much more often than
+#: Likeness of a general word to the common direction; cosine from which a term speaks for a subject at all; how much more often than
 #: usual the documents with the term are about the subject.
 _GENERAL, _AFFINE, _LIFT = 0.75, 0.08, 2.5
 #: Documents of usual subjects that are counted to each term's own, so that few documents say little.
@@ -306,7 +306,8 @@ def _affinity(docs: DataFrame, about: np.ndarray, of_docs: np.ndarray, centroids
     company = _collected(docs.mapInArrow(_company(sent, centroids.astype(np.float32)), "at int, part binary"), cos.shape)
     usual = (company.sum(0) + 1e-6) / (company.sum() + 1e-6 * len(centroids))
     lift = (company + _PRIOR * usual) / (company.sum(1, keepdims=True) + _PRIOR) / usual
-    return np.where((lift >= _LIFT) & (cos >= _AFFINE), lift / lift.sum(1, keepdims=True), 0).astype(np.float32)
+    least = np.minimum(_LIFT, (1 + 1 / usual) / 2)  # a subject of half the talk can't double
+    return np.where((lift >= least) & (cos >= _AFFINE), lift / lift.sum(1, keepdims=True), 0).astype(np.float32)
 
 
 def _centred(c: np.ndarray) -> np.ndarray:
@@ -338,7 +339,9 @@ def fit(docs: DataFrame, n_docs: int, terms: list[str], doc_freq: np.ndarray, ex
     rank = min(rank, len(terms))
     vectors, values = _decompose(docs, len(terms), sc.broadcast(idf), rank)
     embedded = _unit(vectors * values)
-    about = embedded[:, 1:].astype(np.float32) if rank > 1 else embedded.astype(np.float32)
+    common = _unit((doc_freq @ embedded)[None, :])[0]  # where documents point to whatever they are about
+    likeness = embedded @ common
+    about = (embedded - likeness[:, None] * common).astype(np.float32)
 
     known = Vocabulary(terms)
     seeds = np.zeros((len(subjects), about.shape[1]))
@@ -358,7 +361,7 @@ def fit(docs: DataFrame, n_docs: int, terms: list[str], doc_freq: np.ndarray, ex
         centroids = _centred(total)
     scratch.drop(placed)
     affinity = _affinity(docs, about, clean, centroids)
-    general = (np.abs(embedded[:, 0]) > _GENERAL) & ~affinity.any(1)
+    general = (likeness > _GENERAL) & ~affinity.any(1)
     return Model(terms, subjects, affinity, general)
 
 
