@@ -66,8 +66,11 @@ def read_modules(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         parsed = parsed.unionByName(p)
     rows = listed.join(parsed, "uri", "left").drop("uri")
     # a file of no bytes is no row of the text source; it is a module without definitions
-    nothing = F.col("functions").isNull() & F.col("error").isNull()
-    return rows.withColumn("functions", F.when(nothing, F.array().cast(FUNCTIONS)).otherwise(F.col("functions")))
+    rows = rows.withColumn("nothing", F.col("functions").isNull() & F.col("error").isNull())
+    nothing = F.col("nothing")
+    binary = F.col("path").endswith(".bc")
+    rows = rows.withColumn("error", F.when(nothing & binary, F.lit("no content")).otherwise(F.col("error")))
+    return rows.withColumn("functions", F.when(nothing & ~binary, F.array().cast(FUNCTIONS)).otherwise(F.col("functions"))).drop("nothing")
 
 
 def raise_format_errors(modules: DataFrame) -> None:
