@@ -168,7 +168,7 @@ def similar_sets(
             if sizes.isEmpty():
                 leaves.append(_whole(level))
                 break
-            if common.fits_broadcast(sizes, 32):
+            if common.fits_broadcast(sizes, 160):
                 sizes = F.broadcast(sizes)
             leaves.append(_whole(level.join(sizes.select("node"), "node", "left_anti")))
             large = level.join(sizes, "node")

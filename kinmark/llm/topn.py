@@ -21,8 +21,8 @@ from . import common
 
 #: Shares of all items above each band edge. They steer the work only, never the result.
 BANDS = (0.25, 0.55)
-#: Bytes of a broadcast row of two hashes.
-KEY_BYTES = 64
+#: Bytes of a row of two hashes in a broadcast table, with its overhead.
+KEY_BYTES = 160
 
 
 def top_n_per_group(
