@@ -61,9 +61,11 @@ def edit_distances(a: Sequence[str], b: Sequence[str], limit: np.ndarray | None
     The bit-parallel recurrence runs over blocks of 64 rows, each step for thousands of pairs together; pairs of similar
     length share a pass.
     """
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]) if len(a) else ((), ())
     n = np.array([len(x) for x in b], np.int64)
+    blocks = np.array([len(x) for x in a], np.int64) // 64
     out = np.zeros(len(a), np.int64)
-    order = np.argsort(n, kind="stable")
+    order = np.lexsort((n, blocks))
     for lo in range(0, len(order), _PASS):
         part = order[lo : lo + _PASS]
         out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part], None if limit is None else np.asarray(limit)[part])
@@ -81,10 +83,14 @@ def _edit_pass(a: list[str], b: list[str], limit: np.ndarray | None) -> np.ndarr
     m = np.array([len(x) for x in a], np.int64)
     n = np.array([len(x) for x in b], np.int64)
     x, y = _padded(a, m), _padded(b, n)
-    kinds = np.unique(np.concatenate([x.ravel(), y.ravel()]))
+    seen = np.zeros(max(int(x.max(initial=0)), int(y.max(initial=0))) + 2, bool)  # a table instead of a sort; -1 pads
+    seen[x + 1], seen[y + 1] = True, True
+    kinds = np.flatnonzero(seen)
     if len(kinds) > _KINDS_MOST:
         return np.array([edit_distance(p, q) for p, q in zip(a, b)], np.int64)
-    x, y = np.searchsorted(kinds, x), np.searchsorted(kinds, y)
+    number = np.zeros(len(seen), np.int64)
+    number[kinds] = np.arange(len(kinds))
+    x, y = number[x + 1], number[y + 1]
     rows, one = np.arange(len(a)), np.uint64(1)
     blocks = max(1, -(-int(m.max(initial=0)) // 64))
     # where each kind of value stands in a: a bit per place

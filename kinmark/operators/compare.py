@@ -17,6 +17,7 @@ from ..errors import FatalError, raise_all
 from ..functions import elements as E
 from ..functions.sequences import edit_distance, lcs_length
 from ..schema import CTYPES
+from ..scratch import Scratch
 from .pairs import all_pairs
 
 
@@ -70,8 +71,8 @@ def _scored(pairs: DataFrame, ctype: str) -> DataFrame:
     n, m = F.col("a.n"), F.col("b.n")
     longer = F.greatest(n, m).cast("double")
     if ctype in ("Simpson", "Jaccard", "Dice"):
-        z = _matches(F.col("a.codes"), F.col("b.codes"))
-        return pairs.withColumn("score", scaffold(n, m, positional(ctype, n, m, z)))
+        pairs = pairs.withColumn("z", _matches(F.col("a.codes"), F.col("b.codes")))  # once, though Jaccard uses it twice
+        return pairs.withColumn("score", scaffold(n, m, positional(ctype, n, m, F.col("z")))).drop("z")
     of_opcodes = F.col("a.txt").isNotNull() & F.col("b.txt").isNotNull()
     plain, other = pairs.where(of_opcodes), pairs.where(~of_opcodes)
     if ctype == "LCS":
@@ -122,6 +123,8 @@ def similarities(birthmarks: DataFrame, ctype: str, order: str = "bm_ord", block
     if ctype not in CTYPES:
         raise FatalError(f"unknown comparator: {ctype}")
     rows = encoded(birthmarks, order)
+    wanted = {"Cosine": [], "LCS": ["codes", "txt"], "Levenshtein": ["codes", "txt"]}.get(ctype, ["codes"])
+    rows = Scratch(birthmarks.sparkSession, "compare").write(rows.select("ord", "info", "n", *wanted))  # both sides read it
     if ctype == "Cosine":
         light = all_pairs(rows.select("ord", "info", "n"), "ord", blocks)
         pairs = light.select(
@@ -129,8 +132,7 @@ def similarities(birthmarks: DataFrame, ctype: str, order: str = "bm_ord", block
             F.col("b.info").alias("b_info"), F.col("a.n").alias("n"), F.col("b.n").alias("m"),
         )
         return _assembled(cosines(pairs, birthmarks, order), ctype)
-    needed = {"LCS": ["codes", "txt"], "Levenshtein": ["codes", "txt"]}.get(ctype, ["codes"])
-    scored = _scored(all_pairs(rows.select("ord", "info", "n", *needed), "ord", blocks), ctype)
+    scored = _scored(all_pairs(rows, "ord", blocks), ctype)
     flat = scored.select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.col("a.info").alias("a_info"), F.col("b.info").alias("b_info"), "score")
     return _assembled(flat, ctype)
 

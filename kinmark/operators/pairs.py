@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block; blocks at least and at most (each row is copied once per block and side).
-BLOCK_ROWS, BLOCKS_LEAST, BLOCKS_MOST = 2048, 4, 4096
+BLOCK_ROWS, BLOCKS_LEAST, BLOCKS_MOST = 2048, 8, 4096
+#: Partitions of the cells, at most.
+PARTITIONS_MOST = 10_000
 
 
 def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
@@ -21,6 +23,8 @@ def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame
     last = F.lit(blocks - 1)
     left = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), last)).alias("j"), F.col("row").alias("x"))
     right = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("row").alias("y"))
+    # the work of a cell is in its pairs and not in its bytes, so partitions are set by number
+    left = left.repartition(min(PARTITIONS_MOST, blocks * (blocks + 1) // 2), "i", "j")
     x, y = F.col("x")[order], F.col("y")[order]
     met = left.join(right, ["i", "j"]).where(((F.col("i") < F.col("j")) & (x != y)) | (x < y))
     return met.select(F.when(x < y, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(x < y, F.col("y")).otherwise(F.col("x")).alias("b"))

@@ -75,7 +75,8 @@ def parse(df: DataFrame, content: str = "content") -> DataFrame:
     text = F.regexp_replace(F.regexp_replace(F.col(content), "^﻿", ""), "\r\n?", "\n")
     out = df.withColumn("_text", text)
     found = F.regexp_extract_all("_text", F.lit(r"(?ms)^define\b.*?^\}"), 0)
-    out = out.withColumn("functions", F.transform(found, _function))
+    # a generator of one row: predicates on what it makes can't be pushed below it, where they would parse again and again
+    out = out.select("*", F.inline(F.array(F.struct(F.transform(found, _function).alias("functions")))))
     unknown = F.exists("functions", lambda f: F.exists(f["blocks"], lambda b: F.exists(b["ops"], lambda o: o["opcode"].isNull())))
     error = (
         F.when(F.col(content).isNull(), F.lit("no content"))

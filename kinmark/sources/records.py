@@ -18,8 +18,12 @@ def records(deliveries: DataFrame, key: str = "bm_id") -> DataFrame:
 
 
 def latest(deliveries: DataFrame, path: str = "path", content: str = "content", loaded: str = "loaded_at") -> DataFrame:
-    """(path, content): the last delivery of each file."""
-    last = deliveries.groupBy(path).agg(F.max(F.struct(F.col(loaded), F.col(content))).alias("d"))
+    """(path, content): the last delivery of each file.
+
+    Parsing is heavy for its bytes, so the partitions are as many as the session's shuffles have, not coalesced by size.
+    """
+    many = int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = deliveries.select(path, content, loaded).repartition(many, path).groupBy(path).agg(F.max(F.struct(F.col(loaded), F.col(content))).alias("d"))
     return last.select(F.col(path).alias("path"), F.col(f"d.{content}").alias("content"))
 
 
