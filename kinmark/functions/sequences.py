@@ -51,6 +51,8 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
 
 #: Pairs that one vectorised pass handles; kinds of values beyond which a pass is left to the plain functions.
 _PASS, _KINDS_MOST = 1024, 1024
+#: Blocks of 64 rows from which a pair is left to the plain function: its whole numbers cost less than a numpy call per block.
+_BLOCKS_MOST = 128
 #: Columns between two looks at whether a pair can still end within its limit.
 _LOOK = 24
 
@@ -65,7 +67,10 @@ def edit_distances(a: Sequence[str], b: Sequence[str], limit: np.ndarray | None
     n = np.array([len(x) for x in b], np.int64)
     blocks = np.array([len(x) for x in a], np.int64) // 64
     out = np.zeros(len(a), np.int64)
+    for i in np.flatnonzero(blocks >= _BLOCKS_MOST):
+        out[i] = edit_distance(a[i], b[i])
     order = np.lexsort((n, blocks))
+    order = order[blocks[order] < _BLOCKS_MOST]
     for lo in range(0, len(order), _PASS):
         part = order[lo : lo + _PASS]
         out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part], None if limit is None else np.asarray(limit)[part])
@@ -142,9 +147,11 @@ def _edit_pass(a: list[str], b: list[str], limit: np.ndarray | None) -> np.ndarr
 def _least_end(plus: list[np.ndarray], minus: list[np.ndarray], m: np.ndarray, n: np.ndarray, j: int) -> np.ndarray:
     """The least distance that pairs can end with after j columns: the best row of the column, then a straight way."""
     bits = lambda parts: np.unpackbits(np.stack(parts, 1).view(np.uint8), axis=1, bitorder="little").view(np.int8)
-    column = np.cumsum(bits(plus) - bits(minus), axis=1, dtype=np.int16) + np.int16(j)
-    row = np.arange(1, column.shape[1] + 1, dtype=np.int16)
-    left = (m - (n - j)).astype(np.int16)[:, None]
+    rows = 64 * len(plus)
+    kind = np.int16 if 2 * rows + j + int(n.max(initial=0)) <= np.iinfo(np.int16).max else np.int64  # what a sum may come to
+    column = np.cumsum(bits(plus) - bits(minus), axis=1, dtype=kind) + kind(j)
+    row = np.arange(1, rows + 1, dtype=kind)
+    left = (m - (n - j)).astype(kind)[:, None]
     end = column + np.abs(left - row)
-    end[row[None, :] > m[:, None]] = np.iinfo(np.int16).max
+    end[row[None, :] > m[:, None]] = np.iinfo(kind).max
     return np.minimum(end.min(1).astype(np.int64), j + np.abs(m - (n - j)))

@@ -121,3 +121,14 @@ def test_sequences():
     got = edit_distances(a, b, limits)
     assert all(g == w[1] or (g > k and w[1] > k) for g, w, k in zip(got, want, limits))
     assert edit_distance([None, "a"], [None, "a"]) == 1 and lcs_length([None, "a"], [None, "a"]) == 1
+
+
+def test_long_near_duplicates():
+    r = random.Random(5)
+    a = "".join(r.choices("abcdefgh", k=40_000))
+    b = a[:10_000] + "x" + a[10_000:20_000] + a[20_003:]
+    want = edit_distance(a, b)
+    assert 0 < want <= 4
+    assert edit_distances([a, a[:90]], [b, a[5:90]], [8000, 20]).tolist() == [want, 5]
+    # a short and a long one: the bound of early leaving is looked at in columns beyond 16 bits
+    assert edit_distances([a[:70]], [a], [40_000]).tolist() == [40_000 - 70]
