@@ -17,9 +17,9 @@ with the term are clearly more often about the subject than others; words of a l
 (court, key) are shared out by what else the document talks about. A document gets the subjects with a good share of
 this talk, if there is more of it than a passing mention beside its general words.
 
-The vocabulary is the one unbounded thing that is told to every task: terms in fewer than ``min_docs`` documents are left
-out, and ``min_docs`` rises until at most ``VOCABULARY_MOST`` terms are left. Terms outside it are looked up without a
-plural ending or prefix.
+The vocabulary has the terms of at least ``MIN_DOCS`` documents, and those of labelled examples however few documents hold
+them; other terms are looked up without a plural ending or prefix. Up to ``VOCABULARY_MOST`` terms it is told to
+every task; a larger one stays a table that is joined, in ``manyterms``.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 
+#: Terms up to which the vocabulary is told to every task.
 VOCABULARY_MOST = 1 << 16
 MIN_DOCS = 5
 RANK, OVERSAMPLE, PASSES = 40, 8, 3
@@ -155,6 +156,12 @@ class Model:
         good = (about >= GOOD_SHARE * total) & (about >= TALK_LEAST - 1e-6)
         return good & (total >= TALK_SHARE * (total + general[:, None]))
 
+    def found(self, ids: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, subject, share) of each subject of a document."""
+        about, general = self.talk(ids, counts, size)
+        i, s = np.nonzero(self.assign(about, general))
+        return i, s, (about / np.maximum(about.sum(1, keepdims=True), 1e-9))[i, s].astype(float)
+
 
 def _count_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
@@ -196,6 +203,14 @@ def _chunks(it: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.Recor
             yield batch.slice(a, rows)
 
 
+def _add_products(total: np.ndarray, q: np.ndarray, ids: np.ndarray, w: np.ndarray, size: np.ndarray, row: np.ndarray) -> None:
+    """Adds (weighted matrix)' (weighted matrix) q of some documents."""
+    docs = _sum_rows(q[ids] * w[:, None], size)
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    total[ids[order][first]] += np.add.reduceat(docs[row[order]] * w[order, None], first, axis=0)
+
+
 def _times(block, idf):
     """Partial sums of (weighted matrix)' (weighted matrix) block, as blocks of vocabulary rows."""
 
@@ -207,10 +222,7 @@ def _times(block, idf):
             if not len(ids):
                 continue
             w = _weights(ids, counts, size, row, weight)
-            docs = _sum_rows(q[ids] * w[:, None], size)
-            order = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            total[ids[order][first]] += np.add.reduceat(docs[row[order]] * w[order, None], first, axis=0)
+            _add_products(total, q, ids, w, size, row)
         parts = [b for b in range(0, len(total), _BLOCK) if total[b : b + _BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([total[b : b + _BLOCK].tobytes() for b in parts], pa.binary())], names=["at", "part"])
 
@@ -272,6 +284,12 @@ def _moved(centroids: np.ndarray):
     return run
 
 
+def _company_of(z: np.ndarray, centroids: np.ndarray, ids: np.ndarray, counts: np.ndarray, size: np.ndarray, row: np.ndarray) -> np.ndarray:
+    cos = np.maximum(_unit(_sum_rows(z[ids] * _damped(counts), size)) @ centroids.T, 0) ** 3
+    about = cos / np.maximum(cos.sum(1, keepdims=True), 1e-9)
+    return np.column_stack([np.bincount(ids, about[row, s], minlength=len(z)) for s in range(len(centroids))])
+
+
 def _company(vectors, centroids: np.ndarray):
     """Per term the summed subjects of the documents that hold it, as blocks of vocabulary rows."""
 
@@ -280,10 +298,7 @@ def _company(vectors, centroids: np.ndarray):
         total = np.zeros((len(z), len(centroids)), np.float32)
         for batch in _chunks(it):
             ids, counts, size, row = _lists(batch)
-            cos = np.maximum(_unit(_sum_rows(z[ids] * _damped(counts), size)) @ centroids.T, 0) ** 3
-            about = cos / np.maximum(cos.sum(1, keepdims=True), 1e-9)
-            for s in range(len(centroids)):
-                total[:, s] += np.bincount(ids, about[row, s], minlength=len(z))
+            total += _company_of(z, centroids, ids, counts, size, row)
         parts = [b for b in range(0, len(total), _BLOCK) if total[b : b + _BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([total[b : b + _BLOCK].tobytes() for b in parts], pa.binary())], names=["at", "part"])
 
@@ -304,7 +319,12 @@ def _affinity(docs: DataFrame, about: np.ndarray, of_docs: np.ndarray, centroids
     cos = about @ centroids.T.astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast(of_docs)
     company = _collected(docs.mapInArrow(_company(sent, centroids.astype(np.float32)), "at int, part binary"), cos.shape)
-    usual = (company.sum(0) + 1e-6) / (company.sum() + 1e-6 * len(centroids))
+    return _speaks(cos, company, company.sum(0))
+
+
+def _speaks(cos: np.ndarray, company: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Affinities of some terms; ``sums``: the company of all terms together."""
+    usual = (sums + 1e-6) / (sums.sum() + 1e-6 * len(sums))
     lift = (company + _PRIOR * usual) / (company.sum(1, keepdims=True) + _PRIOR) / usual
     least = np.minimum(_LIFT, (1 + 1 / usual) / 2)  # a subject of half the talk can't double
     return np.where((lift >= least) & (cos >= _AFFINE), lift / lift.sum(1, keepdims=True), 0).astype(np.float32)
@@ -343,7 +363,18 @@ def fit(docs: DataFrame, n_docs: int, terms: list[str], doc_freq: np.ndarray, ex
     likeness = embedded @ common
     about = (embedded - likeness[:, None] * common).astype(np.float32)
 
-    known = Vocabulary(terms)
+    centroids = _seeds(Vocabulary(terms), about, subjects, examples)
+    # only terms that speak for some subject may move a centroid: else a language becomes part of a subject
+    clean = about * _affinity(docs, about, about, centroids).any(1)[:, None]
+    placed = scratch.write(docs.mapInArrow(_placed(sc.broadcast(clean)), "e array<float>"))
+    centroids = _refined(placed, centroids)
+    scratch.drop(placed)
+    affinity = _affinity(docs, about, clean, centroids)
+    general = (likeness > _GENERAL) & ~affinity.any(1)
+    return Model(terms, subjects, affinity, general)
+
+
+def _seeds(known: Vocabulary, about: np.ndarray, subjects: list[str], examples: list[tuple[str, str]]) -> np.ndarray:
     seeds = np.zeros((len(subjects), about.shape[1]))
     for text, subject in examples:
         e = np.zeros(about.shape[1])
@@ -351,18 +382,15 @@ def fit(docs: DataFrame, n_docs: int, terms: list[str], doc_freq: np.ndarray, ex
             if (i := known.number(w)) >= 0:
                 e += n * about[i]
         seeds[subjects.index(subject)] += e / max(np.linalg.norm(e), 1e-9)
-    centroids = _centred(seeds)
-    # only terms that speak for some subject may move a centroid: else a language becomes part of a subject
-    clean = about * _affinity(docs, about, about, centroids).any(1)[:, None]
-    placed = scratch.write(docs.mapInArrow(_placed(sc.broadcast(clean)), "e array<float>"))
+    return _centred(seeds)
+
+
+def _refined(placed: DataFrame, centroids: np.ndarray) -> np.ndarray:
     for _ in range(ROUNDS):
         total = _sum_binary(placed.mapInArrow(_moved(centroids), "total binary"), centroids.shape)
         total[~total.any(1)] = centroids[~total.any(1)]  # a subject that no document is sure of keeps its seed
         centroids = _centred(total)
-    scratch.drop(placed)
-    affinity = _affinity(docs, about, clean, centroids)
-    general = (likeness > _GENERAL) & ~affinity.any(1)
-    return Model(terms, subjects, affinity, general)
+    return centroids
 
 
 def subjects_of(df: DataFrame, key: Column, text: Column, examples: DataFrame, example_text: Column, example_subject: Column) -> DataFrame:
@@ -380,14 +408,19 @@ def subjects_of(df: DataFrame, key: Column, text: Column, examples: DataFrame, e
     result = f"key {kind}, subject string, share double"
     labelled = [(r["t"], r["s"]) for r in examples.select(example_text.alias("t"), example_subject.alias("s")).dropna().collect()]
     counted = scratch.write(rows.mapInArrow(_count_terms, f"key {kind}, terms array<string>, counts array<int>"))
-    freq = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
-    freq = scratch.write(freq)
-    least = MIN_DOCS
-    while freq.where(F.col("n") >= least).count() > VOCABULARY_MOST:
-        least *= 2
-    kept = sorted((r["t"], r["n"]) for r in freq.where(F.col("n") >= least).collect())
     n_docs = counted.count()
-    if not kept or not labelled:
+    if not labelled:
+        return spark.createDataFrame([], result)
+    taught = spark.createDataFrame([(w,) for w in sorted({w for text, _ in labelled for w in term_counts(text)})], "t string")
+    taught = F.broadcast(taught.withColumn("taught", F.lit(True)))
+    freq = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).join(taught, "t", "left")
+    freq = scratch.write(freq.where((F.col("n") >= MIN_DOCS) | F.col("taught")).select("t", "n"))
+    if freq.limit(VOCABULARY_MOST + 1).count() > VOCABULARY_MOST:
+        from . import manyterms
+
+        return manyterms.subjects_of(scratch, counted, n_docs, freq, labelled, result)
+    kept = sorted((r["t"], r["n"]) for r in freq.collect())
+    if not kept:
         return spark.createDataFrame([], result)
     terms = [t for t, _ in kept]
     sent = spark.sparkContext.broadcast(terms)
@@ -401,9 +434,7 @@ def subjects_of(df: DataFrame, key: Column, text: Column, examples: DataFrame, e
         names = np.array(m.subjects, object)
         for batch in _chunks(it):
             ids, counts, size, _ = _lists(batch)
-            about, general = m.talk(ids, counts, size)
-            i, s = np.nonzero(m.assign(about, general))
-            share = (about / np.maximum(about.sum(1, keepdims=True), 1e-9))[i, s].astype(float)
+            i, s, share = m.found(ids, counts, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(i)), pa.array(names[s].tolist(), pa.string()), pa.array(share)], names=["key", "subject", "share"]
             )

@@ -158,3 +158,36 @@ def test_small_corpus(spark):
         got[x["key"]].add(x["subject"])
     assert all(got[i] == {"music" if i % 2 else "law"} for i in range(80))
     assert got[100] == {"music", "law"} and got[101] == set()
+
+
+def subjects_found(spark, docs, ex):
+    got = subjects.subjects_of(spark.createDataFrame(docs, "key long, text string"), F.col("key"), F.col("text"), spark.createDataFrame(ex, "t string, s string"), F.col("t"), F.col("s"))
+    return sorted((x["key"], x["subject"]) for x in got.collect())
+
+
+def test_no_term_leaves_a_large_vocabulary(spark, monkeypatch):
+    words = {
+        "music": ["violin", "sonata", "tempo", "chord", "octave", "cello", "rhythm", "aria", "choir", "lute"],
+        "law": ["court", "clause", "treaty", "juror", "plaintiff", "statute", "verdict", "lawyer", "tribunal", "appeal"],
+    }
+    r = random.Random(7)
+    docs = []
+    for i in range(160):
+        w = words["music" if i % 2 else "law"]
+        docs.append((i, "def check_node(data):\n" + "".join(f"    {r.choice(w)}_{r.choice(w)} = node + data\n" for _ in range(6))))
+    docs[3] = (3, docs[3][1].replace("violin", "violins"))  # too few to be a term: taken as the plainer word
+    docs += [(200, None), (201, ""), (202, "node = data\n" * 30), (159, docs[159][1])]
+    ex = [("violin_sonata tempo", "music"), ("courtClause treaty", "law")]
+    want = sorted([(i, "music" if i % 2 else "law") for i in range(160)] + [(159, "music")])
+    assert subjects_found(spark, docs, ex) == want
+    monkeypatch.setattr(subjects, "VOCABULARY_MOST", 12)
+    assert subjects_found(spark, docs, ex) == want
+
+
+def test_terms_of_examples_are_kept(spark, monkeypatch):
+    seen = []
+    fit = subjects.fit
+    monkeypatch.setattr(subjects, "fit", lambda docs, n, terms, *more: seen.append(list(terms)) or fit(docs, n, terms, *more))
+    docs = [(i, "violin sonata node data") for i in range(20)] + [(20, "glissando violin"), (21, "obscure violin")]
+    subjects_found(spark, docs, [("glissando violin", "music"), ("court", "law")])
+    assert "glissando" in seen[0] and "obscure" not in seen[0]
