@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from . import common
-from .neardup import EXPAND_MOST, _records
+from .neardup import _records
 
 NODE_MOST = 256
+#: Records of equal sets that are paired up together.
+EXPAND_BLOCK = 1000
 _PAIRS = "a1 long, a2 long, b1 long, b2 long"
 _FEW = 12
 
@@ -131,14 +133,14 @@ def similar_sets(
     choices: int | None = None,
     trees: int = 1,
     node_most: int = NODE_MOST,
-    expand_most: int = EXPAND_MOST,
+    expand_most: int | None = None,
 ) -> DataFrame:
     """(a BIGINT, b BIGINT), a < b: records of one group whose sets have ``|both| / |either| >= similarity``.
 
     ``values`` is an array of strings; order and repetition play no part, null values are no values. Sets of fewer than
     ``least`` values take no part, nor do rows with a null id, group or array. A record delivered more than once counts
-    once. Of more than ``expand_most`` records with equal sets each is paired with the smallest id of them, which then
-    stands for the set in other pairs; otherwise all pairs are given. For two tables, join them with a union and keep
+    once. All pairs are given, however many records have equal sets; only where ``expand_most`` is passed, each of more
+    records than that is paired with the smallest id of them, which then stands for the set in other pairs. For two tables, join them with a union and keep
     pairs across. An empty input gives an empty result. Columns of ``df`` beyond those passed play no part. Values are
     told apart by 64 bits of hash within their group.
     """
@@ -180,7 +182,34 @@ def similar_sets(
         cells = cells.unionByName(other)
     cells = cells.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
     pairs = scratch.write(cells.mapInArrow(_brute_force(similarity), _PAIRS).distinct())
-    return _records(scratch, rows, pairs, expand_most)
+    return _all_records(scratch, rows, pairs) if expand_most is None else _records(scratch, rows, pairs, expand_most)
+
+
+def _all_records(scratch: Scratch, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of sets to all pairs of records; the records of a set meet in blocks, so no task pairs up a large set alone."""
+    members = scratch.write(rows.select("record", "s1", "s2").distinct())
+    sizes = members.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = scratch.write(sizes.withColumn("many", F.ceil(F.col("n") / F.lit(EXPAND_BLOCK))))
+    large = sizes.where("many > 1").select("s1", "s2", "many")
+    some = not large.isEmpty()
+    side = lambda df, x, *more: df.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), *more)
+    parts = lambda first, many: F.explode(F.sequence(first, F.coalesce(many, F.lit(1).cast("long")) - 1))
+    zero = F.lit(0).cast("long")
+
+    blocks = members.join(large, ["s1", "s2"], "left") if some else members.withColumn("many", F.lit(1).cast("long"))
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("record"), F.coalesce("many", F.lit(1).cast("long"))))
+    blocks = scratch.write(blocks.groupBy("s1", "s2", "part").agg(F.collect_list("record").alias("ids")))
+    between = pairs.withColumns({"p": zero, "q": zero})
+    if some:
+        between = pairs.join(side(large, "a", F.col("many").alias("p")), ["a1", "a2"], "left").join(side(large, "b", F.col("many").alias("q")), ["b1", "b2"], "left")
+        between = between.withColumn("p", parts(zero, F.col("p"))).withColumn("q", parts(zero, F.col("q")))
+    own = sizes.withColumn("p", parts(zero, F.col("many"))).withColumn("q", parts(F.col("p"), F.col("many")))
+    own = own.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), "p", "q", (F.col("p") == F.col("q")).alias("same"))
+    cells = between.select("a1", "a2", "b1", "b2", "p", "q", F.lit(False).alias("same")).unionByName(own)
+    cells = cells.join(side(blocks, "a", F.col("part").alias("p"), F.col("ids").alias("xs")), ["a1", "a2", "p"])
+    cells = cells.join(side(blocks, "b", F.col("part").alias("q"), F.col("ids").alias("ys")), ["b1", "b2", "q"])
+    each = cells.select("same", F.explode("xs").alias("x"), "ys").select("same", "x", F.explode("ys").alias("y"))
+    return each.where(~F.col("same") | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def _branch(level: DataFrame, similarity: float, choices: int | None) -> DataFrame:

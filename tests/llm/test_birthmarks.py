@@ -169,6 +169,14 @@ def test_similar_sets(spark, node, similarity, choices):
     assert setjoin.similar_sets(df.limit(0), F.col("bm"), F.col("g"), F.col("v"), similarity).count() == 0
 
 
+def test_equal_sets_give_all_pairs(spark):
+    rows = [(i, "x", ["a", "b", "c", "d", "e"]) for i in range(10, 1011)] + [(i, "x", ["a", "b", "c", "d", "e", "f"]) for i in (1, 2000)] + [(3000, "y", ["a", "b", "c", "d", "e"])]
+    df = spark.createDataFrame(rows, "bm long, g string, v array<string>")
+    got = setjoin.similar_sets(df, F.col("bm"), F.col("g"), F.col("v"), 0.7)
+    few = got.agg(F.count("*"), F.count_distinct("a", "b"), F.sum((F.col("a") < F.col("b")).cast("int")), F.max("b")).first()
+    assert tuple(few) == (1003 * 1002 // 2,) * 3 + (2000,)
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 def test_containers():
     import numpy as np
