@@ -1,4 +1,4 @@
-"""Long exact spans shared between records, by seed and extend.
+"""Long exact spans shared between records, by seeds and fingerprints of the stretches around them.
 
 *Seeds.* Records with equal content are taken once, with the least and greatest name of the copies. Each stretch of
 ``span`` elements picks one of its ``seed``-element grams by winnowing: the one with the least hash, the last of equals.
@@ -7,9 +7,8 @@ pick the same one, so seeds are few.
 
 *Join.* Seeds that only one name holds leave; the join is on the seed.
 
-*Extension.* A seed reaches as far to both sides as its stretches do. The stretches of all records that meet in a
-seed are told apart by what stands left and right of the seed (a fingerprint of the whole stretch under the seed); a
-stretch that two names hold is shared, for all its records alike. Records are never paired up: a seed that a third of
+*Stretches.* Nothing is extended from a seed. The stretches of all records that meet in a seed are told apart by a
+fingerprint of the whole stretch; a stretch that two names hold is shared, for all its records alike. Records are never paired up: a seed that a third of
 all records hold costs its number of stretches, combined before the shuffle, not its square.
 
 *Maximal repeats.* Shared stretches of a record that overlap or touch merge into maximal runs.
