@@ -30,6 +30,20 @@ SQL["p5_found"] = (
     + """SELECT btype, term, 'rare' AS flag FROM counted WHERE docs <= 2
          UNION ALL SELECT btype, term, 'common' AS flag FROM counted WHERE docs > records * 0.25"""
 )
+_BTYPES = ("Sfc", "Ffc", "OpFreq", "OpSet", "OpSeq", "UniGram", "BiGram", "TriGram", "TetraGram", "PentaGram", "HexaGram", "HeptaGram", "OctaGram")
+SQL["p5_terms"] = f"""
+    WITH named AS (
+        SELECT bm_id, any_value(btype) AS btype, any_value(elements) AS elements FROM (
+            SELECT bm_id, elements, CASE regexp_replace(lower(info.btype), '[^a-z]', '', 'g')
+                {" ".join(f"WHEN '{t.lower()}' THEN '{t}'" for t in _BTYPES)} END AS btype
+            FROM birthmarks WHERE elements IS NOT NULL) WHERE btype IS NOT NULL AND bm_id IS NOT NULL GROUP BY bm_id),
+    every AS (SELECT btype, count(*) AS records FROM named GROUP BY btype),
+    terms AS (
+        SELECT bm_id, btype, CASE WHEN e.s IS NOT NULL THEN 'Str' WHEN e.i IS NOT NULL THEN 'Int' ELSE 'Kgram' END AS kind,
+            coalesce(e.s, CAST(e.i AS VARCHAR), CAST(to_json(e.gram) AS VARCHAR)) AS term, coalesce(e.n, 1) AS n
+        FROM (SELECT bm_id, btype, unnest(elements) AS e FROM named) WHERE e.s IS NOT NULL OR e.i IS NOT NULL OR e.gram IS NOT NULL)
+    SELECT btype, kind, term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT bm_id) AS docs, any_value(records) AS records
+    FROM terms JOIN every USING (btype) GROUP BY btype, kind, term"""
 SQL["p6_found"] = """
     WITH RECURSIVE links AS (
         SELECT DISTINCT concat_ws('|', coalesce(a_info.path, ''), coalesce(a_info.name, ''), coalesce(a_info.btype, ''), coalesce(a_info.mode, '')) AS a,

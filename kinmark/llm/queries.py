@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import BTYPES
 from ..tables import btype_key, counts, is_btype, read
 from . import components, neardup, packing, setjoin, spans, subjects, terms, tokens, topn
 
@@ -62,6 +63,18 @@ def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_counts(b, F.col("bm_id"), name, F.col("elements.s"), F.col("elements.n"))
 
 
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p5_counts``, over all types; numbers and grams (as JSON arrays) are terms of their own kinds."""
+    b = read(spark, sf_dir, "birthmarks").where(is_btype(F.col("info.btype"), *BTYPES))
+    key = btype_key(F.col("info.btype"))
+    name = F.coalesce(*[F.when(key == t.lower(), F.lit(t)) for t in BTYPES])
+    term = lambda e: F.coalesce(F.concat(F.lit("s"), e["s"]), F.concat(F.lit("i"), e["i"].cast("string")), F.concat(F.lit("g"), F.to_json(e["gram"])))
+    t = terms.term_counts(b, F.col("bm_id"), name, F.transform("elements", term), F.col("elements.n"))
+    kind = F.substring("term", 1, 1)
+    kind = F.when(kind == "s", F.lit("Str")).when(kind == "i", F.lit("Int")).otherwise(F.lit("Kgram"))
+    return t.select(F.col("grp").alias("btype"), kind.alias("kind"), F.expr("substring(term, 2)").alias("term"), "occurrences", "docs", "records")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = terms.rare_or_common(_term_counts(spark, sf_dir))
     return flags.select(F.col("grp").alias("btype"), "term", "flag")

@@ -213,6 +213,31 @@ def test_term_frequencies(spark):
     assert terms.term_counts(df.limit(0), F.col("bm"), F.col("g"), F.col("v")).count() == 0
 
 
+def test_terms_of_every_type(spark, tmp_path):
+    from kinmark.llm import queries
+
+    gram = lambda *x: ("Kgram", None, None, list(x), None)
+    rows = [
+        (1, ("f", "p", "Bi-Gram", None), [gram("Load", "Store"), gram("Load", "Store"), gram("Load,Store")]),
+        (2, ("g", "p", "bigram", "File"), [gram("Load", "Store"), ("Int", None, 7, None, None), ("Str", "7", None, None, None)]),
+        (2, ("g", "p", "bigram", "File"), [gram("Load", "Store"), ("Int", None, 7, None, None), ("Str", "7", None, None, None)]),
+        (3, ("h", "p", "OpSet", "File"), strs(["Load"])),
+        (4, ("h", "p", "OpFreq", "File"), [("Freq", "Load", None, None, 5)]),
+        (5, ("h", "p", "BiGram", "File"), []),
+        (6, ("h", "p", "other", "File"), strs(["Load"])),
+    ]
+    info = "struct<name string, path string, btype string, mode string>"
+    spark.createDataFrame(rows, f"bm_id long, info {info}, elements array<{E}>").write.parquet(f"{tmp_path}/birthmarks.parquet")
+    assert {tuple(x) for x in queries.QUERIES["p5_terms"](spark, str(tmp_path)).collect()} == {
+        ("BiGram", "Kgram", '["Load","Store"]', 3, 2, 3),
+        ("BiGram", "Kgram", '["Load,Store"]', 1, 1, 3),
+        ("BiGram", "Int", "7", 1, 1, 3),
+        ("BiGram", "Str", "7", 1, 1, 3),
+        ("OpSet", "Str", "Load", 1, 1, 1),
+        ("OpFreq", "Str", "Load", 5, 1, 1),
+    }
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 def test_components(spark):
     r = random.Random(6)
