@@ -75,6 +75,18 @@ SQL["p1_share"] = (
          FROM found JOIN records USING (bm_id) GROUP BY bm_id"""
 )
 
+SQL["p1_shares"] = (
+    _SPANS.rstrip()
+    + """,
+    every AS (
+        SELECT bm_id, CAST(any_value(len(elements)) AS BIGINT) AS elements FROM birthmarks
+        WHERE regexp_replace(lower(info.btype), '[^a-z]', '', 'g') = 'opseq' AND info.mode = 'Function'
+            AND info.name IS NOT NULL AND elements IS NOT NULL AND bm_id IS NOT NULL GROUP BY bm_id),
+    total AS (SELECT bm_id, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS shared FROM found GROUP BY bm_id)
+    SELECT bm_id, elements, coalesce(shared, 0) AS shared, coalesce(round(shared / elements, 9), 0) AS share
+    FROM every LEFT JOIN total USING (bm_id)"""
+)
+
 SQL["p3_found"] = """
     WITH records AS (
         SELECT bm_id, any_value(elements) AS e FROM birthmarks

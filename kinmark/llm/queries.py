@@ -33,6 +33,14 @@ def p1_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("share", F.round(F.col("shared") / F.col("elements"), 9))
 
 
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p1_share``, with a row for every record that may share; short ones and those that share nothing have 0."""
+    named = _functions(spark, sf_dir).where(F.col("bm_id").isNotNull() & F.col("info.name").isNotNull())
+    every = named.select("bm_id", F.size("elements").cast("long").alias("elements")).distinct()
+    some = p1_share(spark, sf_dir).select("bm_id", "shared", "share")
+    return every.join(some, "bm_id", "left").fillna({"shared": 0, "share": 0.0})
+
+
 # 2 ----------------------------------------------------------------------------------------------------------------
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "similarities").where(F.col("a_info").isNotNull() & counts(F.col("score")))

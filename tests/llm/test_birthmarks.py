@@ -68,6 +68,18 @@ def test_spans_compare_whole_elements(spark):
     assert sorted(x["record"] for x in got.collect()) == [3, 4]
 
 
+def test_share_of_every_record(spark, tmp_path):
+    from kinmark.llm import queries
+
+    e = strs([f"o{i}" for i in range(50)])
+    info = lambda name, mode="Function": (name, "p", "OpSeq", mode)
+    rows = [(1, info("f"), e), (2, info("g"), e[:40] + strs(["x"] * 10)), (2, info("g"), e[:40] + strs(["x"] * 10)), (3, info("h"), strs(["y"] * 60)), (4, info("i"), e[:9])]
+    rows += [(5, info("j"), []), (6, info("k"), None), (7, info(None), e), (8, info("l", "File"), e), (None, info("m"), e[:9])]
+    spark.createDataFrame(rows, f"bm_id long, info struct<name string, path string, btype string, mode string>, elements array<{E}>").write.parquet(f"{tmp_path}/birthmarks.parquet")
+    got = {x["bm_id"]: (x["elements"], x["shared"], x["share"]) for x in queries.QUERIES["p1_shares"](spark, str(tmp_path)).collect()}
+    assert got == {1: (50, 40, 0.8), 2: (50, 40, 0.8), 3: (60, 0, 0.0), 4: (9, 0, 0.0), 5: (0, 0, 0.0)}
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("shares", [topn.BANDS, (0.01, 0.5, 0.9), ()])
 def test_top_n(spark, shares, monkeypatch):
