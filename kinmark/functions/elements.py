@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ELEMENT
+from .lookup import lookup
 from .opcodes import OPCODES
 
 _TYPE = ELEMENT.simpleString()
@@ -57,6 +58,6 @@ def whole_code(e: Column) -> Column:
 
 def opcode_text(elements: Column) -> Column:
     """One character per element, if all of them are opcodes; else null."""
-    table = F.create_map(*[F.lit(x) for i, o in enumerate(OPCODES) for x in (o, chr(FIRST_CHAR + i))])
-    chars = F.transform(elements, lambda e: F.when(e["kind"] == "Str", F.try_element_at(table, e["s"])))
+    table = {o: chr(FIRST_CHAR + i) for i, o in enumerate(OPCODES)}
+    chars = F.transform(elements, lambda e: F.when(e["kind"] == "Str", lookup(e["s"], table)))
     return F.when(~F.exists(chars, lambda c: c.isNull()), F.array_join(chars, ""))

@@ -150,15 +150,21 @@ def listed(pairs: DataFrame, birthmarks: DataFrame, ctype: str, order: str = "bm
     return _scored(met, ctype).select("a_ord", "b_ord", "score")
 
 
-def check_comparable(birthmarks: DataFrame) -> None:
+#: Mismatching kinds that are named one by one, the first ones of the input.
+KINDS_SHOWN = 60
+
+
+def check_comparable(birthmarks: DataFrame, order: str = "bm_ord") -> None:
     """Raises unless there are two records at least, all of one type and mode."""
     if birthmarks.limit(2).count() < 2:
         raise FatalError("At least two birthmarks are required for comparison")
-    kinds = birthmarks.groupBy("info.btype", "info.mode").count().limit(len(CTYPES) * 10).collect()
-    first = kinds[0]
-    raise_all(
-        FatalError(f"type mismatch: {first['btype']}/{first['mode']} and {k['btype']}/{k['mode']}") for k in kinds[1:]
-    )
+    kinds = birthmarks.groupBy("info.btype", "info.mode").agg(F.min(order).alias("at")).orderBy("at")
+    shown = kinds.limit(KINDS_SHOWN + 1).collect()
+    first = shown[0]
+    errors = [FatalError(f"type mismatch: {first['btype']}/{first['mode']} and {k['btype']}/{k['mode']}") for k in shown[1:]]
+    if len(shown) > KINDS_SHOWN:
+        errors.append(FatalError(f"type mismatch: {kinds.count()} kinds in all"))
+    raise_all(errors)
 
 
 def compare(birthmarks: DataFrame, ctype: str) -> DataFrame:

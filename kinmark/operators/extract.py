@@ -87,8 +87,10 @@ def extract(modules: DataFrame, btype: str, mode: str) -> DataFrame:
 
 
 def numbered(birthmarks: DataFrame) -> DataFrame:
-    """Adds ``bm_ord``, which has the order of files, functions and blocks; units of a module are below 2^20 x 2^20."""
+    """Adds ``bm_ord``, which has the order of files, functions and blocks; fails where one of them has a number beyond its bits."""
     order = F.shiftleft(F.col("src_idx").cast("long"), 40) + F.shiftleft(F.col("fn_idx").cast("long"), 20) + F.col("bb_idx")
+    fits = (F.col("fn_idx") < 1 << 20) & (F.col("bb_idx") < 1 << 20)
+    order = F.when(fits, order).otherwise(F.raise_error(F.lit("more than 2^20 functions in a module or blocks in a function")))
     return birthmarks.select(order.alias("bm_ord"), "info", "elements")
 
 

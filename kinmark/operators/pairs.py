@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block; blocks at least and at most (each row is copied once per block and side).
-BLOCK_ROWS, BLOCKS_LEAST, BLOCKS_MOST = 2048, 8, 4096
+#: Rows of a block, and blocks at least; each row is copied once per block and side.
+BLOCK_ROWS, BLOCKS_LEAST = 2048, 8
 #: Partitions of the cells, at most.
 PARTITIONS_MOST = 10_000
 
@@ -18,7 +18,7 @@ PARTITIONS_MOST = 10_000
 def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
     """(a STRUCT, b STRUCT) of whole rows with ``a.order < b.order``; rows with a null order have no pairs."""
     if blocks is None:
-        blocks = max(BLOCKS_LEAST, min(BLOCKS_MOST, -(-df.count() // BLOCK_ROWS)))
+        blocks = max(BLOCKS_LEAST, -(-df.count() // BLOCK_ROWS))
     rows = df.select(F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("own"), F.struct(*df.columns).alias("row"))
     last = F.lit(blocks - 1)
     left = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), last)).alias("j"), F.col("row").alias("x"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.opcodes import MNEMONICS, OPCODES, TERMINATORS
 from ..schema import BTYPES, CTYPES, K_GRAMS, MODES, kebab
 
 SQL: dict[str, str] = {}
@@ -12,37 +11,53 @@ def _snake(name: str) -> str:
     return kebab(name).replace("-", "_")
 
 
-_TABLE = ", ".join(f"('{m}', '{k}')" for m, k in MNEMONICS.items())
-_NAME = r'"[^"]*"|[-$._A-Za-z0-9]+'
-_HEAD = rf"^\s*(%({_NAME})\s*=\s*)?((tail|musttail|notail)\s+)?"
+# Words of IR and the instruction kinds they stand for, of this file alone.
+_WORDS = """
+    add Add, sub Sub, mul Mul, udiv UDiv, sdiv SDiv, fadd FAdd, fsub FSub, fmul FMul, fdiv FDiv, frem FRem, shl Shl, lshr LShr, ashr AShr,
+    and And, or Or, xor Xor, alloca Alloca, load Load, store Store, getelementptr GetElementPtr, trunc Trunc, zext ZExt, sext SExt,
+    fptoui FPToUI, fptosi FPToSI, uitofp UIToFP, sitofp SIToFP, fptrunc FPTrunc, fpext FPExt, ptrtoint PtrToInt, inttoptr IntToPtr,
+    bitcast BitCast, icmp ICmp, fcmp FCmp, phi Phi, call Call, select Select, extractelement ExtractElement, insertelement InsertElement,
+    shufflevector ShuffleVector, extractvalue ExtractValue, insertvalue InsertValue, landingpad LandingPad, catchpad CatchPad,
+    cleanuppad CleanupPad, urem URem, srem SRem, fneg FNeg, fence Fence, cmpxchg CmpXchg, atomicrmw AtomicRMW,
+    addrspacecast AddrSpaceCast, freeze Freeze, va_arg VAArg
+"""
+_LAST_WORDS = """
+    ret Ret, br Br, switch Switch, indirectbr IndirectBr, invoke Invoke, resume Resume, unreachable Unreachable, cleanupret CleanupRet,
+    catchret CatchRet, catchswitch CatchSwitch, callbr CallBr
+"""
+_pairs_of = lambda text: [tuple(x.split()) for x in text.split(",")]
+_TABLE = ", ".join(f"('{w}', '{k}')" for w, k in _pairs_of(_WORDS) + _pairs_of(_LAST_WORDS))
+_TERMINATORS = [k for _, k in _pairs_of(_LAST_WORDS)] + ["CondBr"]
 #: Parsed files: ops(path, fn_idx, fn_name, bb_idx, bb_name, i, opcode, callee), fns and blocks with those that are empty.
-_IR = rf"""
+#: Line by line, as the files given are laid out: an instruction, label, header or closing brace stands on a line of its own.
+_IR = f"""
     WITH named(word, kind) AS (VALUES {_TABLE}),
     last AS (SELECT path, max_by(content, loaded_at) AS content FROM
         (SELECT path, content, loaded_at FROM ir_files ORDER BY content) GROUP BY path),
     texts AS (SELECT path, replace(replace(replace(content, chr(65279), ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM last WHERE content IS NOT NULL),
-    raw AS (SELECT path, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM texts),
-    marked AS (SELECT *, regexp_matches(l, '^define\b') AS opens, starts_with(l, '}}') AS closes FROM raw),
-    placed AS (SELECT *, sum(opens::INT) OVER w AS o, sum(closes::INT) OVER w AS c FROM marked WINDOW w AS (PARTITION BY path ORDER BY i)),
-    inside AS (SELECT *, o - 1 AS fn_idx FROM placed WHERE o = c + 1 AND NOT opens),
-    labelled AS (SELECT *, regexp_extract(l, '^({_NAME}):', 1) AS label FROM inside),
-    parts AS (SELECT *, sum((label <> '')::INT) OVER (PARTITION BY path, fn_idx ORDER BY i) AS nth FROM labelled),
-    ins AS (SELECT *, regexp_extract(l, '{_HEAD}([a-z_]+)(\s|$)', 5) AS word FROM parts
-        WHERE label = '' AND NOT regexp_matches(l, '^\s*(;|$)') AND NOT regexp_matches(l, '^\s*(to label\b|unwind\b|cleanup\s*$|catch\b|filter\b|\]|\[|i\d+ \S+, label )')
-            AND NOT regexp_matches(l, '^\s*(((tail|musttail|notail) )?call void @llvm\.dbg\.|#dbg_)')),
-    known AS (SELECT ins.*, CASE WHEN word = 'br' AND regexp_matches(l, '{_HEAD}br\s+i1\b') THEN 'CondBr' ELSE kind END AS opcode,
-            CASE WHEN word = 'call' AND NOT regexp_matches(l, '\basm\b') THEN replace(regexp_extract(l, '[@%]({_NAME})\s*\(', 1), '"', '') END AS called
+    raw AS (SELECT path, trim(unnest(string_split(t, chr(10)))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM texts),
+    marked AS (SELECT *, starts_with(l || ' ', 'define ') AS opens, l = '}}' AS closes, (ends_with(l, '['))::INT - (l = ']')::INT AS listed FROM raw),
+    placed AS (SELECT *, sum(opens::INT) OVER w AS o, sum(closes::INT) OVER w AS c, sum(listed) OVER w AS deep FROM marked WINDOW w AS (PARTITION BY path ORDER BY i)),
+    inside AS (SELECT *, o - 1 AS fn_idx FROM placed WHERE o = c + 1 AND NOT opens AND l <> '' AND NOT starts_with(l, ';')),
+    labelled AS (SELECT *, CASE WHEN contains(l, ':') AND NOT contains(split_part(l, ':', 1), ' ') THEN split_part(l, ':', 1) ELSE '' END AS label FROM inside),
+    lines AS (SELECT *, sum((label <> '')::INT) OVER (PARTITION BY path, fn_idx ORDER BY i) AS nth FROM labelled),
+    said AS (SELECT *, CASE WHEN starts_with(l, '%') AND contains(l, ' = ') THEN substr(l, position(' = ' IN l) + 3) ELSE l END AS said FROM lines
+        WHERE label = '' AND (deep = 0 OR ends_with(l, '[')) AND l <> ']' AND l <> 'cleanup' AND split_part(l, ' ', 1) NOT IN ('to', 'unwind', 'catch', 'filter')
+            AND NOT contains(l, '@llvm.dbg.') AND NOT starts_with(l, '#dbg_')),
+    ins AS (SELECT *, CASE WHEN split_part(said, ' ', 1) IN ('tail', 'musttail', 'notail') THEN split_part(said, ' ', 2) ELSE split_part(said, ' ', 1) END AS word FROM said),
+    known AS (SELECT ins.*, CASE WHEN word = 'br' AND split_part(said, ' ', 2) = 'i1' THEN 'CondBr' ELSE kind END AS opcode,
+            CASE WHEN word = 'call' THEN list_last(string_split(split_part(said, '(', 1), ' ')) END AS called
         FROM ins LEFT JOIN named USING (word)),
     bad AS (SELECT path FROM placed GROUP BY path HAVING sum(opens::INT) <> sum(closes::INT) UNION SELECT path FROM known WHERE opcode IS NULL),
-    fns AS (SELECT path, o - 1 AS fn_idx, replace(regexp_extract(l, '@({_NAME})\s*\(', 1), '"', '') AS fn_name,
-            len(regexp_extract_all(regexp_extract(l, '@({_NAME})\s*\((.*)\)', 2), '%\d+\b')) AS params
+    fns AS (SELECT path, o - 1 AS fn_idx, trim(split_part(split_part(l, '@', 2), '(', 1), '"') AS fn_name,
+            len(list_filter(string_split(split_part(split_part(l, '(', 2), ')', 1), ','), lambda x: trim(x) <> '' AND ascii(split_part(x, '%', 2)) < 65)) AS params
         FROM placed WHERE opens AND path NOT IN (SELECT path FROM bad)),
-    bbs AS (SELECT path, fn_idx, nth, '%' || replace(max(label), '"', '') AS bb_name FROM parts WHERE nth > 0 GROUP BY ALL
+    bbs AS (SELECT path, fn_idx, nth, '%' || trim(max(label), '"') AS bb_name FROM lines WHERE nth > 0 GROUP BY ALL
         UNION ALL SELECT path, fn_idx, 0, '%' || max(params) FROM known JOIN fns USING (path, fn_idx) WHERE nth = 0 GROUP BY path, fn_idx),
     blocks AS (SELECT path, fn_idx, nth, bb_name, row_number() OVER (PARTITION BY path, fn_idx ORDER BY nth) - 1 AS bb_idx
         FROM bbs WHERE path NOT IN (SELECT path FROM bad)),
     ops AS (SELECT path, fn_idx, fn_name, bb_idx, bb_name, i, opcode,
-            CASE WHEN opcode = 'Call' AND NOT regexp_matches(called, '^\d*$') THEN called END AS callee
+            CASE WHEN starts_with(called, '@') OR starts_with(called, '%') THEN CASE WHEN TRY_CAST(substr(called, 2) AS BIGINT) IS NULL THEN trim(substr(called, 2), '"') END END AS callee
         FROM known JOIN fns USING (path, fn_idx) JOIN blocks USING (path, fn_idx, nth)),
     files AS (SELECT path FROM texts WHERE path NOT IN (SELECT path FROM bad)),
 """
@@ -53,7 +68,7 @@ SQL["s_ir_errors"] = (
          UNION ALL SELECT DISTINCT path, 'unknown instruction' FROM known WHERE opcode IS NULL AND path NOT IN
             (SELECT path FROM placed GROUP BY path HAVING sum(opens::INT) <> sum(closes::INT))"""
 )
-_TERMS = ", ".join(f"'{t}'" for t in TERMINATORS)
+_TERMS = ", ".join(f"'{t}'" for t in _TERMINATORS)
 SQL["s_instructions"] = (
     _IR
     + f"""done AS (SELECT 1) SELECT path, CAST(fn_idx AS BIGINT) AS fn_idx, bb_idx, row_number() OVER (PARTITION BY path, fn_idx, bb_idx ORDER BY i) - 1 AS pos,
@@ -62,7 +77,7 @@ SQL["s_instructions"] = (
 SQL["k_opcodes"] = (
     _IR
     + f"""done AS (SELECT 1) SELECT k.opcode, k.opcode IN ({_TERMS}) AS is_term, count(o.path) AS used
-        FROM (VALUES {", ".join(f"('{o}')" for o in OPCODES)}) k(opcode) LEFT JOIN ops o ON o.opcode = k.opcode GROUP BY k.opcode"""
+        FROM (VALUES {", ".join(f"('{k}')" for _, k in _pairs_of(_WORDS) + _pairs_of(_LAST_WORDS))}, ('CondBr')) k(opcode) LEFT JOIN ops o ON o.opcode = k.opcode GROUP BY k.opcode"""
 )
 _UNITS = {
     "File": "units AS (SELECT path, 0 AS fn_idx, 0 AS bb_idx, path AS name FROM files), el AS (SELECT path, 0 AS fn_idx, 0 AS bb_idx, fn_idx * 1000000000 + i AS i, opcode, callee FROM ops),",
@@ -207,7 +222,7 @@ SQL["c_run_file"] = (
     zs AS (SELECT p.a, p.b, count(*) AS z FROM pairs p JOIN parts x ON x.path = p.a JOIN parts y ON y.path = p.b AND y.i = x.i AND y.opcode = x.opcode GROUP BY p.a, p.b)
     SELECT a AS a_path, b AS b_path, round(CASE WHEN n = 0 AND m = 0 THEN 1.0 WHEN n = 0 OR m = 0 THEN 0.0 ELSE coalesce(z, 0) / (n + m - coalesce(z, 0)) END, 9) AS score
     FROM pairs LEFT JOIN zs USING (a, b)"""
-).replace("parts AS (SELECT *, sum((label", "pieces AS (SELECT *, sum((label").replace("FROM parts\n        WHERE label", "FROM pieces\n        WHERE label").replace("FROM parts WHERE nth", "FROM pieces WHERE nth")
+)
 
 _LISTED = f"""WITH opseq AS (SELECT bm_id, any_value(info) AS info, any_value(elements) AS es FROM birthmarks WHERE {_KEY} = 'opseq' AND elements IS NOT NULL GROUP BY bm_id),
     first AS (SELECT info.name AS name, info.path AS path, info.mode AS mode, min(bm_id) AS ord FROM opseq GROUP BY ALL),

@@ -7,19 +7,31 @@ executor, is compressed and column-pruned on the next read, and can be deleted a
 from __future__ import annotations
 
 import atexit
+import logging
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import FatalError
+
 SETTING = "spark.checkpoint.dir"
+log = logging.getLogger(__name__)
+_ROOTS: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it is unset in local mode.
+
+    Elsewhere a missing setting is an error: each executor would write to a disk of its own, and rows would be lost.
+    """
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise FatalError(f"{SETTING} must name a folder that all executors share (master {master})")
         folder = "file://" + tempfile.mkdtemp(prefix="kinmark-")
         spark.conf.set(SETTING, folder)
     return folder
@@ -30,19 +42,28 @@ def _delete(spark: SparkSession, path: str) -> None:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:
-        pass  # a leftover costs disk, never a result
+    except Exception as e:  # a leftover costs disk, never a result
+        log.warning("could not delete %s: %s", path, e)
+
+
+def release() -> None:
+    """Deletes all tables of this process; no result that reads them may be in use."""
+    while _ROOTS:
+        _delete(*_ROOTS.pop())
+
+
+atexit.register(release)
 
 
 class Scratch:
-    """Written tables of one operator run; those still there at the end of the process are deleted then."""
+    """Written tables of one operator run; those still there at ``release`` or the end of the process are deleted then."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = os.path.join(shared_folder(spark), f"kinmark-{label}-{uuid.uuid4().hex[:12]}")
         self._paths: dict[int, str] = {}
         self._n = 0
-        atexit.register(_delete, spark, self.root)
+        _ROOTS.append((spark, self.root))
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         """Writes ``df`` and returns the table as read back."""

@@ -29,11 +29,20 @@ def extract_stream(spark: SparkSession, folder: str, btype: str, mode: str) -> D
     return ops.extract(modules_stream(spark, folder).where(F.col("error").isNull()), btype, mode)
 
 
-def write_stream(spark: SparkSession, folder: str, btype: str, mode: str, dest: str, checkpoint: str) -> StreamingQuery:
-    """Runs what is there through to parquet, batch by batch; every type, since a module is whole within its batch."""
+def write_stream(spark: SparkSession, folder: str, btype: str, mode: str, dest: str, checkpoint: str, errors: str | None = None) -> StreamingQuery:
+    """Runs what is there through to parquet, batch by batch; every type, since a module is whole within its batch.
+
+    Modules that can't be parsed go to the table ``errors`` (path, error), by default beside ``dest``.
+    """
+    errors = errors or dest.rstrip("/") + "_errors"
 
     def one(batch: DataFrame, number: int) -> None:
-        ops.extract(batch.where(F.col("error").isNull()), btype, mode).write.mode("overwrite").parquet(f"{dest}/batch={number}")
+        batch = batch.persist()  # read twice
+        try:
+            ops.extract(batch.where(F.col("error").isNull()), btype, mode).write.mode("overwrite").parquet(f"{dest}/batch={number}")
+            batch.where(F.col("error").isNotNull()).select("path", "error").write.mode("overwrite").parquet(f"{errors}/batch={number}")
+        finally:
+            batch.unpersist()
 
     stream = modules_stream(spark, folder).writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return stream.trigger(availableNow=True).start()

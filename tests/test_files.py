@@ -13,8 +13,8 @@ from . import ir
 
 @pytest.fixture()
 def folder(tmp_path):
-    (tmp_path / "a.ll").write_text(ir.LOOPS)
-    (tmp_path / "b b.ll").write_text(ir.ARITHMETIC)
+    (tmp_path / "a.ll").write_text(ir.MIXED)
+    (tmp_path / "b b.ll").write_text(ir.HALVE)
     (tmp_path / "cut.ll").write_text(ir.CUT)
     (tmp_path / "cut2.ll").write_text(ir.CUT)
     (tmp_path / "x.txt").write_text("")
@@ -64,7 +64,7 @@ def test_command_line(spark, folder, capsys):
     out, sims = folder / "o.json", folder / "s.json"
     assert run(spark, "extract", "-t", "tri-gram", "-m", "function", "-d", out, folder / "a.ll", folder / "b b.ll") == 0
     doc = json.loads(out.read_text())
-    assert [d["info"]["name"] for d in doc] == ["limit_of", 'quoted "name"', "main"] and doc[2]["elements"] == [["Add", "Sub", "Ret"]]
+    assert [d["info"]["name"] for d in doc] == ["checksum", 'quoted "name"', "halve"] and doc[2]["elements"] == [["And", "Sub", "LShr"], ["Sub", "LShr", "Ret"]]
     assert run(spark, "compare", "-c", "cosine", "-d", sims, out) == 0
     got = json.loads(sims.read_text())
     assert len(got) == 3 and list(got[0]) == ["btype", "a_info", "b_info", "ctype", "score", "elapsed_ms"] and got[0]["elapsed_ms"] is None
@@ -75,7 +75,7 @@ def test_command_line(spark, folder, capsys):
     assert run(spark, "execute") == 1
     assert run(spark, "info") == 0 and "op-seq" in capsys.readouterr().out
     assert run(spark, "extract", folder / "b b.ll") == 0
-    assert json.loads(capsys.readouterr().out)[0]["elements"] == ["Add", "Sub", "Ret"]
+    assert json.loads(capsys.readouterr().out)[0]["elements"] == ["And", "Sub", "LShr", "Ret"]
     with pytest.raises(SystemExit):
         run(spark, "extract", "-t", "nonsense", folder / "a.ll")
 
