@@ -124,7 +124,8 @@ _JSON = f"""
     items AS (SELECT doc, unnest(CAST(j AS JSON[])) AS b, generate_subscripts(CAST(j AS JSON[]), 1) - 1 AS pos FROM good WHERE json_type(j) = 'ARRAY'),
     bad AS (SELECT doc FROM items WHERE json_type(b, '$.info.name') IS DISTINCT FROM 'VARCHAR' OR json_type(b, '$.info.path') IS DISTINCT FROM 'VARCHAR'
         OR json_type(b, '$.info.btype') IS DISTINCT FROM 'VARCHAR' OR json_type(b, '$.info.mode') IS DISTINCT FROM 'VARCHAR'
-        OR json_type(b, '$.elements') IS DISTINCT FROM 'ARRAY'),
+        OR json_type(b, '$.elements') IS DISTINCT FROM 'ARRAY'
+        OR b ->> '$.info.btype' NOT IN ({", ".join(f"'{t}'" for t in BTYPES)}) OR b ->> '$.info.mode' NOT IN ('File', 'Function', 'BasicBlock')),
     kept AS (SELECT * FROM items WHERE doc NOT IN (SELECT doc FROM bad)),
     parts AS (SELECT doc, pos, unnest(CAST(b -> '$.elements' AS JSON[])) AS e, generate_subscripts(CAST(b -> '$.elements' AS JSON[]), 1) AS i FROM kept),
     made AS (SELECT doc, pos, i, {_ELEMENT_JSON} AS t FROM parts)

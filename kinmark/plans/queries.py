@@ -11,7 +11,7 @@ from ..functions.opcodes import OPCODES, TERMINATORS
 from ..operators import compare, extract
 from ..schema import BTYPES, CTYPES, MODES, kebab
 from ..sources import ir_text, records
-from ..tables import counts, is_btype, read
+from ..tables import btype_name, counts, is_btype, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -61,8 +61,9 @@ def s_json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def s_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the records with a whole info, how many are the same after being written as JSON and read again."""
+    """Of the records with a whole info, how many are the same after being written as JSON, under the name of their type, and read again."""
     rows = _records(spark, sf_dir).where(F.col("elements").isNotNull()).dropna(subset=["info.name", "info.path", "info.btype", "info.mode"])
+    rows = rows.withColumn("info", F.col("info").withField("btype", btype_name(F.col("info.btype"))))
     written = rows.withColumn("content", F.concat(F.lit("["), records.birthmark_json(F.col("info"), F.col("elements")), F.lit("]")))
     back = records.parse_json(written).withColumn("b", F.col("birthmarks")[0])
     same = (F.col("b.elements") == F.col("elements")) & (F.col("b.info") == F.col("info"))

@@ -10,6 +10,7 @@ import atexit
 import logging
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if path.startswith("file:/"):  # local mode; also after the session has ended
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)

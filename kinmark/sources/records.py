@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import ELEMENT, INFO
+from ..schema import BTYPES, ELEMENT, INFO, MODES
 
 _RAW = T.ArrayType(T.StructType([T.StructField("info", INFO, False), T.StructField("elements", T.ArrayType(T.VariantType()))]))
 _INFO_KEYS = [f.name for f in INFO.fields]
@@ -54,7 +54,7 @@ def element_of(v: Column) -> Column:
 def parse_json(df: DataFrame, content: str = "content") -> DataFrame:
     """Adds ``birthmarks`` (array of info and elements) and ``error`` to documents of birthmark JSON.
 
-    A document must be an array of objects with an ``info`` of four strings and an ``elements`` array; anything else
+    A document must be an array of objects with an ``info`` of four strings, type and mode among those that there are, and an ``elements`` array; anything else
     (null, cut off, other keys or layouts, an element of another shape) makes the whole document an error.
     """
     doc = F.try_parse_json(F.col(content))
@@ -62,7 +62,8 @@ def parse_json(df: DataFrame, content: str = "content") -> DataFrame:
     out = df.withColumn("_items", items)
 
     def info(v: Column) -> Column:
-        return F.struct(*[F.try_variant_get(v, f"$.info.{k}", "string").alias(k) for k in _INFO_KEYS])
+        is_text = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.info.{k}", "variant")) == "STRING"
+        return F.struct(*[F.when(is_text(k), F.try_variant_get(v, f"$.info.{k}", "string")).alias(k) for k in _INFO_KEYS])
 
     def item(v: Column) -> Column:
         elements = F.try_variant_get(v, "$.elements", "array<variant>")
@@ -71,8 +72,8 @@ def parse_json(df: DataFrame, content: str = "content") -> DataFrame:
     out = out.withColumn("birthmarks", F.transform("_items", item)).drop("_items")
     bad = F.exists(
         "birthmarks",
-        lambda b: b["elements"].isNull() | F.exists(b["elements"], lambda e: e.isNull()) | F.array(*[b["info"][k].isNull() for k in _INFO_KEYS]).getItem(0)
-        | b["info"]["path"].isNull() | b["info"]["btype"].isNull() | b["info"]["mode"].isNull(),
+        lambda b: b["elements"].isNull() | F.exists(b["elements"], lambda e: e.isNull()) | b["info"]["name"].isNull() | b["info"]["path"].isNull()
+        | F.coalesce(~b["info"]["btype"].isin(*BTYPES), F.lit(True)) | F.coalesce(~b["info"]["mode"].isin(*MODES), F.lit(True)),
     )
     error = F.when(F.col(content).isNull(), F.lit("no content")).when(F.col("birthmarks").isNull() | F.coalesce(bad, F.lit(False)), F.lit("not an array of birthmarks"))
     out = out.withColumn("error", error)

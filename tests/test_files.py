@@ -90,6 +90,7 @@ def test_untagged_elements(spark, tmp_path):
     back = b.select(records.birthmark_json(F.col("info"), F.col("elements")).alias("t")).first()["t"]
     assert json.loads(back) == doc[0]
     bad = ["", "{}", "[1]", '[{"info":{}}]', json.dumps(doc)[:-9], '{"btype":"OpFreq","elements":[[1,"a"]],"path":"p"}', json.dumps([{"info": info, "elements": [1.5]}]), json.dumps([{"info": info, "elements": [[1, 2]]}])]
+    bad += [json.dumps([{"info": {**info, k: v}, "elements": []}]) for k, v in (("btype", "Nonsense"), ("btype", "opseq"), ("mode", "Nowhere"), ("name", None), ("path", 1))]
     for i, text in enumerate(bad):
         (tmp_path / f"bad{i}.json").write_text(text)
         with pytest.raises(X.JsonError):
