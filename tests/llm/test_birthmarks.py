@@ -38,8 +38,8 @@ def spans_brute(rows, w):
     return out
 
 
-@pytest.mark.parametrize("w,k,letters", [(8, 4, 6), (8, 8, 2), (5, 1, 3), (40, 20, 8)])
-def test_shared_spans(spark, w, k, letters):
+@pytest.mark.parametrize("w,k,letters,most,hot", [(8, 4, 6, 512, 10**6), (8, 8, 2, 512, 10**6), (8, 3, 3, 2, 5), (5, 1, 3, 512, 3), (40, 20, 8, 1, 1)])
+def test_shared_spans(spark, w, k, letters, most, hot):
     r = random.Random(w * letters)
     alphabet = "abcdefgh"[:letters]
     stock = [[r.choice(alphabet) for _ in range(3 * w)] for _ in range(4)]
@@ -53,12 +53,24 @@ def test_shared_spans(spark, w, k, letters):
         rows.append((i, r.choice(["f", "g", f"n{i}"]), e))
     rows += [(60, "x", ["a"] * 100), (61, "y", ["a"] * 100), (62, None, ["a"] * 100), (None, "z", ["a"] * 100), (63, "q", None), (64, "q", []), (61, "y", ["a"] * 100)]
     df = spark.createDataFrame([(b, n, strs(e), 1, 2) for b, n, e in rows], f"bm long, name string, e array<{E}>, seed int, codes int")
-    got = spans.shared_spans(df, F.col("bm"), F.col("name"), F.col("e"), w, k)
+    got = spans.shared_spans(df, F.col("bm"), F.col("name"), F.col("e"), w, k, most, hot)
     assert {(x["record"], x["start_pos"], x["end_pos"]) for x in got.collect()} == spans_brute(rows, w)
     assert got.count() == got.distinct().count()
     assert spans.shared_spans(df.limit(0), F.col("bm"), F.col("name"), F.col("e"), w, k).count() == 0
 
 
+def test_a_stretch_in_a_third_of_all_records(spark):
+    """One anchor in 1,000 of 3,000 records, in 1,000 different surroundings; groups and keys far beyond their bounds."""
+    r = random.Random(5)
+    words = ["Load", "Store", "Call", "Br", "Add", "mine"]
+    hot = [r.choice(words) for _ in range(14)]
+    rows = [(i, f"n{i % 7}", [r.choice(words) for _ in range(12)] + hot + [r.choice(words) for _ in range(12)] if i % 3 == 0 else [r.choice(words) for _ in range(30)]) for i in range(3000)]
+    rows += [(5000 + i, "copy" if i else "other", rows[0][2]) for i in range(500)]
+    df = spark.createDataFrame([(b, n, strs(e)) for b, n, e in rows], f"bm long, name string, e array<{E}>")
+    got = spans.shared_spans(df, F.col("bm"), F.col("name"), F.col("e"), 12, 6, 20, 50)
+    assert {(x["record"], x["start_pos"], x["end_pos"]) for x in got.collect()} == spans_brute(rows, 12)
+
+
 def test_spans_compare_whole_elements(spark):
     a = [("Int", None, 1, None, None)] * 9
     b = [("Str", "1", None, None, None)] * 9
