@@ -1,12 +1,12 @@
 """Long exact spans shared between records, by winnowed anchors that are extended both ways.
 
-*Anchors.* Records with equal content are taken once, with the least and greatest name of the copies. Each stretch of
+*Anchors.* Each stretch of
 ``span`` elements picks one of its ``seed``-element grams by winnowing: the one with the least hash, the last of equals.
 Equal stretches pick the same gram at the same place, so no shared stretch is missed, and neighbouring stretches mostly
 pick the same one, so anchors are few. An anchor travels with its surroundings: the elements of the stretches that picked it.
 
 *Join.* Anchors that only one name holds leave. Equal surroundings of an anchor are one row, combined before the
-shuffle, so boilerplate that a third of all records hold costs a row per map task.
+shuffle, so boilerplate or a text that a third of all records hold costs a row per map task.
 
 *Extension.* Surroundings that meet in an anchor are compared element by element: the anchor itself, then to the left and to the
 right as far as they agree. The stretches within the match are shared if the two have two names. An anchor in which more than
@@ -35,7 +35,7 @@ from . import common
 
 #: Different surroundings of an anchor that are compared pair by pair, at most.
 GROUP_MOST = 512
-_ANCHORS = "s1 long, s2 long, lo long, hi long, seed long, place int, back int, wide boolean, ctx binary"
+_ANCHORS = "record long, name long, size int, seed long, place int, back int, wide boolean, ctx binary"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NONE = 256  # no element; codes of opcodes are below, of anything else negative
 
@@ -98,13 +98,13 @@ def _anchor_rows(span: int, seed: int):
             for is_wide, kind in ((False, np.uint8), (True, np.int64)):
                 k = np.flatnonzero(wide == is_wide)
                 if len(k):
-                    keys = [batch.column(c).take(pa.array(of[k])) for c in ("s1", "s2", "lo", "hi")]
+                    keys = [batch.column(c).take(pa.array(of[k])) for c in ("record", "name")]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *keys, pa.array(best[start][k].view(np.int64)), pa.array((place - begins)[k].astype(np.int32)),
+                            *keys, pa.array(size[of[k]].astype(np.int32)), pa.array(best[start][k].view(np.int64)), pa.array((place - begins)[k].astype(np.int32)),
                             pa.array((place - first)[k].astype(np.int32)), pa.array(wide[k]), _slices(codes, first[k], long[k], kind),
                         ],
-                        names=["s1", "s2", "lo", "hi", "seed", "place", "back", "wide", "ctx"],
+                        names=["record", "name", "size", "seed", "place", "back", "wide", "ctx"],
                     )
 
     return run
@@ -250,24 +250,26 @@ def shared_spans(
     rows = df.select(record.cast("long").alias("record"), F.xxhash64(name).alias("name"), elements.alias("e"), name.isNull().alias("nameless"))
     rows = rows.where(F.col("record").isNotNull() & ~F.col("nameless") & (F.size("e") >= span))
     rows = rows.select("record", "name", F.transform("e", _code).alias("codes"))
-    s1, s2 = common.wide_hash(F.col("codes"))
-    rows = scratch.write(rows.withColumns({"s1": s1, "s2": s2}))
-
-    texts = rows.groupBy("s1", "s2").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.first("codes").alias("codes"))
-    anchors = texts.mapInArrow(_anchor_rows(span, seed), _ANCHORS).withColumn("ch", F.xxhash64("ctx", "back", "wide"))
+    anchors = rows.mapInArrow(_anchor_rows(span, seed), _ANCHORS).withColumn("ch", F.xxhash64("ctx", "back", "wide"))
     anchors = scratch.write(anchors)
-    met = anchors.groupBy("seed").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("seed")
-    held = anchors.groupBy("seed", "ch", "wide", "back", "ctx").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
-    held = scratch.write(held.join(met, "seed", "left_semi"))
+    met = anchors.groupBy("seed").agg(F.min("name").alias("l"), F.max("name").alias("h"), F.count("*").alias("n")).where("l <> h").select("seed", "n")
+    met = scratch.write(met)
+    held = _joined(anchors, met.select("seed"), ["seed"], met, "left_semi", hot_rows)
+    held = held.groupBy("seed", "ch", "wide", "back", "ctx").agg(F.min("name").alias("lo"), F.max("name").alias("hi"), F.count("*").alias("n"))
+    held = scratch.write(held)
     matches = scratch.write(_matches(scratch, held.drop("n"), span, seed, group_most))
-    heavy = held.select("seed", "ch", "n")
-    hits = common.split_join(anchors.select("s1", "s2", "place", "seed", "ch"), matches, ["seed", "ch"], heavy, hot_rows=hot_rows)
-    hits = hits.select("s1", "s2", (F.col("place") - F.col("b")).cast("long").alias("x"), (F.col("place") - F.col("a") + span - 1).cast("long").alias("y"))
-
-    of_text = Window.partitionBy("s1", "s2").orderBy("x", "y")
-    before = F.max("y").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
-    hits = hits.withColumn("new", F.coalesce(F.col("x") > before + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(of_text))
-    runs = hits.groupBy("s1", "s2", "run").agg(F.min("x").alias("start_pos"), F.max("y").alias("end_pos"))
-    members = rows.select("record", "s1", "s2", F.size("codes").cast("long").alias("elements")).distinct()
-    copies = scratch.write(members.groupBy("s1", "s2").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows))
-    return common.split_join(members, runs, ["s1", "s2"], copies, hot_rows=hot_rows).select("record", "start_pos", "end_pos", "elements")
+    hits = _joined(anchors.select("record", "size", "place", "seed", "ch"), matches, ["seed", "ch"], held.select("seed", "ch", "n"), "inner", hot_rows)
+    hits = hits.select("record", "size", (F.col("place") - F.col("b")).cast("long").alias("x"), (F.col("place") - F.col("a") + span - 1).cast("long").alias("y"))
+
+    of_record = Window.partitionBy("record").orderBy("x", "y")
+    before = F.max("y").over(of_record.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("new", F.coalesce(F.col("x") > before + 1, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(of_record))
+    runs = hits.groupBy("record", "run").agg(F.min("x").alias("start_pos"), F.max("y").alias("end_pos"), F.max("size").cast("long").alias("elements"))
+    return runs.select("record", "start_pos", "end_pos", "elements")
+
+
+def _joined(many: DataFrame, few: DataFrame, keys: list[str], heavy: DataFrame, how: str, hot_rows: int) -> DataFrame:
+    """Without a shuffle of ``many`` where ``few`` is small enough to be told to every task; else with its hot keys split."""
+    if common.fits_broadcast(few, 24 * len(few.columns) + 32):
+        return many.join(F.broadcast(few), keys, how)  # counted, 16 MB at most
+    return common.split_join(many, few, keys, heavy, how, hot_rows)
