@@ -13,8 +13,10 @@ shard that its ball of 2k bits overlaps. What overlaps at the first vantage poin
 matrix product (a lower bound), then over all, then over hashed pairs of neighbours (an edit changes at most two of them
 on each side). Survivors are verified by their exact edit distance, bit-parallel for many pairs at once.
 
-Records of equal content are one text. Its copies are written out as pairs while a text has at most ``expand_most``
-copies; beyond, each copy is paired with the smallest id of its text, which then stands for the text in other pairs.
+Records of equal content are one class, named by the least of them; what is found is between classes. Blocks of homes and of lookers
+are of bounded size and meet in cells, so shards and records that many look for have many tasks.
+
+At a score of 0.8 the triangle bounds prune little but by length: see the README for how much.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ from ..functions.opcodes import OPCODES
 from ..functions.sequences import edit_distance, edit_distances
 from ..scratch import Scratch
 from . import common
+from .classes import Classes
 
-#: Texts from which the tree is fitted, at most; homes in a shard's block, at least and at most.
-SAMPLE_TEXTS, BLOCK_LEAST, BLOCK_MOST = 4096, 1024, 65536
-EXPAND_MOST = 1000
+#: Texts from which the tree is fitted, at most; homes and lookers in a block, at least and at most. They steer the work only.
+SAMPLE_TEXTS, BLOCK_LEAST, BLOCK_MOST = 4096, 1024, 16384
+CELL_PARTITIONS, SHELLS_MOST = 10_000, 64
 _BASE, _OTHER = 0x30, 0x100  # characters of the opcodes; of everything else
 _KINDS = len(OPCODES) + 1
-_PAIRS = 256
+_PAIRS = 2048
 _SHORT_BITS = 384
 _TILE = 256
 
@@ -107,7 +110,7 @@ class Tree:
         ball = np.array([2 * most_edits(int(n), score) for n in size])
         tree = Tree()
         per = total / max(1, len(size))
-        wanted = int(min(16, max(1, math.sqrt(total / block))))
+        wanted = int(min(SHELLS_MOST, max(1, total / block)))
         cuts = sorted({int(q) for q in np.quantile(size, np.arange(1, wanted) / wanted)}) if len(size) else []
         tree.shells = cuts
 
@@ -162,9 +165,9 @@ class _Block:
     a projection, so its Hamming distance is a lower bound, and a matrix product gives it for whole tiles.
     """
 
-    def __init__(self, s1: np.ndarray, s2: np.ndarray, texts: list[str]):
+    def __init__(self, ids: np.ndarray, texts: list[str]):
         order = np.argsort([len(t) for t in texts], kind="stable")
-        self.s1, self.s2, self.texts = s1[order], s2[order], [texts[i] for i in order]
+        self.ids, self.texts = ids[order], [texts[i] for i in order]
         self.bag, self.size = bags(self.texts)
         low, high = np.percentile(self.bag, [3, 97], axis=0, method="nearest").astype(np.int64)
         levels = high - low
@@ -180,7 +183,7 @@ class _Block:
             out[:, c] = bag[:, j] > t
         return out
 
-    def candidates(self, s1: np.ndarray, s2: np.ndarray, texts: list[str], score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def candidates(self, ids: np.ndarray, texts: list[str], score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(looker, home, edits allowed) of the pairs that the bounds let through; a looker is after the home in order."""
         bag, size = bags(texts)
         k = np.array([most_edits(int(n), score) for n in size], np.int64)
@@ -202,8 +205,8 @@ class _Block:
                 ok = (self.size[h] <= size[i]) & (np.abs(bag[i] - self.bag[h]).sum(1) + size[i] - self.size[h] <= 2 * k[i])
                 out.append((i[ok], h[ok]))
         i, h = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        # of two records of equal length the one with the smaller fingerprint is the home
-        tie = (size[i] == self.size[h]) & ((s1[i] < self.s1[h]) | (s1[i] == self.s1[h]) & (s2[i] <= self.s2[h]))
+        # of two records of equal length the one with the smaller id is the home
+        tie = (size[i] == self.size[h]) & (ids[i] <= self.ids[h])
         i, h = i[~tie], h[~tie]
         if len(i):
             if self.pairs is None:
@@ -218,8 +221,8 @@ class _Block:
         return i, h, k[i]
 
 
-_ROUTED = "shard int, looks boolean, s1 long, s2 long, txt string"
-_VERIFIED = "a1 long, a2 long, b1 long, b2 long, k int, foreign boolean"
+_ROUTED = "shard int, looks boolean, cls long, txt string"
+_VERIFIED = "a long, b long, k int, foreign boolean"
 
 
 def _router(tree: Tree, score: float):
@@ -232,8 +235,8 @@ def _router(tree: Tree, score: float):
             at = np.concatenate([np.arange(len(texts)), *(x for x, _ in looks)])
             shard = np.concatenate([home, *(np.full(len(x), s) for x, s in looks)]).astype(np.int32)
             who = np.arange(len(at)) >= len(texts)
-            rows = batch.select(["s1", "s2", "txt"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(who), *rows.columns], names=["shard", "looks", "s1", "s2", "txt"])
+            rows = batch.select(["cls", "txt"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(who), *rows.columns], names=["shard", "looks", "cls", "txt"])
 
     return run
 
@@ -258,17 +261,17 @@ def _searcher(score: float):
                     continue
                 if block is None:
                     t = pa.Table.from_batches(homes)
-                    block = _Block(t["s1"].to_numpy(), t["s2"].to_numpy(), t["txt"].to_pylist())
+                    block = _Block(t["cls"].to_numpy(), t["txt"].to_pylist())
                 for a in range(0, part.num_rows, 4096):
                     piece = part.slice(a, 4096)
-                    s1, s2, texts = piece.column("s1").to_numpy(), piece.column("s2").to_numpy(), piece.column("txt").to_pylist()
-                    i, h, k = block.candidates(s1, s2, texts, score)
+                    ids, texts = piece.column("cls").to_numpy(), piece.column("txt").to_pylist()
+                    i, h, k = block.candidates(ids, texts, score)
                     d = edit_distances([texts[j] for j in i], [block.texts[j] for j in h], k)
                     i, h, k = i[d <= k], h[d <= k], k[d <= k]
                     foreign = [not (texts[x].isascii() and block.texts[y].isascii()) for x, y in zip(i, h)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(s1[i]), pa.array(s2[i]), pa.array(block.s1[h]), pa.array(block.s2[h]), pa.array(k.astype(np.int32)), pa.array(foreign, pa.bool_())],
-                        names=["a1", "a2", "b1", "b2", "k", "foreign"],
+                        [pa.array(ids[i]), pa.array(block.ids[h]), pa.array(k.astype(np.int32)), pa.array(foreign, pa.bool_())],
+                        names=["a", "b", "k", "foreign"],
                     )
 
     return run
@@ -277,18 +280,18 @@ def _searcher(score: float):
 def _exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         keep = [edit_distance(a, b) <= k for a, b, k in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb", "k")))]
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a1", "a2", "b1", "b2"])
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
 
+def near_duplicates(df: DataFrame, record: Column, elements: Column, score: float = 0.8, least: int = 64) -> Classes:
+    """Records of at least ``least`` elements with ``1 - distance / longer length >= score``, as classes and links.
 
-def near_duplicates(
-    df: DataFrame, record: Column, elements: Column, score: float = 0.8, least: int = 64, expand_most: int = EXPAND_MOST
-) -> DataFrame:
-    """(a BIGINT, b BIGINT), a < b: records of at least ``least`` elements with ``1 - distance / longer length >= score``.
+    A class has the records of equal content and the id of the least of them; links (a BIGINT, b BIGINT), a < b, are between classes. ``Classes.pairs``
+    are the pairs of records that this means, ``Classes.rows`` a row per record. The form is the same for any number of copies.
 
     The distance is that of the Levenshtein comparator: strings match equal strings and whole numbers equal numbers;
     k-grams, frequencies and elements without a value match nothing, not even themselves. Rows with a null id or array
-    take no part; a record delivered more than once counts once. Texts with more than ``expand_most`` copies are given as
-    said above. An empty input gives an empty result. Columns of ``df`` beyond those passed play no part.
+    take no part; a record delivered more than once counts once. An empty input gives an empty result. Columns of ``df`` beyond those passed play no part.
     """
     if not 0 < score <= 1 or least < 1:
         raise ValueError("score must be in (0, 1] and least at least 1")
@@ -303,6 +306,7 @@ def near_duplicates(
     rows = rows.select("record", F.transform("e", code).alias("codes"))
     s1, s2 = common.wide_hash(F.col("codes"))
     rows = scratch.write(rows.withColumns({"s1": s1, "s2": s2}))
+    classes = Classes.of(scratch, rows.select("record", "s1", "s2"))
 
     names = spark.createDataFrame([(n, i) for i, n in enumerate(OPCODES)], "s string, i int")
     known = sorted((r[0], _BASE + r[1]) for r in names.select(F.xxhash64(F.lit("Str"), "s", F.lit(None).cast("long")), "i").collect())
@@ -314,50 +318,45 @@ def near_duplicates(
             chars = to_text(lists.flatten().to_numpy(zero_copy_only=False), table)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
             texts = [chars[e - n : e].tobytes().decode("utf-32-le") for e, n in zip(ends, np.diff(ends, prepend=0))]
-            yield pa.RecordBatch.from_arrays([batch.column("s1"), batch.column("s2"), pa.array(texts, pa.string())], names=["s1", "s2", "txt"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(texts, pa.string())], names=["cls", "txt"])
 
-    texts = scratch.write(rows.groupBy("s1", "s2").agg(F.first("codes").alias("codes")).mapInArrow(texts_of, "s1 long, s2 long, txt string"))
+    texts = rows.groupBy("s1", "s2").agg(F.min("record").alias("cls"), F.first("codes").alias("codes"))
+    texts = scratch.write(texts.mapInArrow(texts_of, "cls long, txt string"))
     total = texts.count()
-    block = max(BLOCK_LEAST, min(BLOCK_MOST, total // 64))
-    sample = texts.where(F.pmod("s2", F.lit(max(1, total // SAMPLE_TEXTS))) == 0).limit(SAMPLE_TEXTS).select("txt")
+    block = max(BLOCK_LEAST, min(BLOCK_MOST, total // 12))
+    sample = texts.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, total // SAMPLE_TEXTS))) == 0).limit(SAMPLE_TEXTS).select("txt")
     fitted = [r["txt"] for r in sample.collect()]
     tree = Tree.fit(*bags(fitted), score, total, block)
 
     routed = scratch.write(texts.mapInArrow(_router(tree, score), _ROUTED))
-    homes = routed.where(~F.col("looks")).groupBy("shard").agg(F.count("*").alias("n"))
-    blocks = {r["shard"]: -(-r["n"] // block) for r in homes.collect()}  # one row per shard of the fitted tree
-    many = F.lit(1)
-    if any(b > 1 for b in blocks.values()):
-        many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s, b in blocks.items() if b > 1 for x in (s, b)]), F.col("shard")), F.lit(1))
-    routed = routed.withColumn("many", many.cast("int"))
-    own = F.array(F.pmod("s1", F.col("many")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("many") - 1)
-    cells = routed.withColumn("part", F.explode(F.when(F.col("looks"), every).otherwise(own)))
-    cells = cells.select((F.col("shard").cast("long") * 1_000_000 + F.col("part")).alias("cell"), "looks", "s1", "s2", "txt")
-    cells = cells.repartition(max(8, sum(blocks.values())), "cell").sortWithinPartitions("cell", "looks")
+    counted = routed.groupBy("shard", "looks").agg(F.count("*").alias("n")).collect()  # two rows per shard of the fitted tree
+    many = {r["shard"]: [1, 1] for r in counted}
+    for r in counted:
+        many[r["shard"]][r["looks"]] = -(-r["n"] // block)
+    cells = _cells(routed, many).repartition(max(8, min(CELL_PARTITIONS, sum(h * q for h, q in many.values()))), "cell").sortWithinPartitions("cell", "looks")
     found = scratch.write(cells.mapInArrow(_searcher(score), _VERIFIED))
-    pairs = found.where(~F.col("foreign")).select("a1", "a2", "b1", "b2")
+    scratch.drop(routed)
+    pairs = found.where(~F.col("foreign")).select("a", "b")
     unsure = found.where("foreign")
     if not unsure.isEmpty():  # hashed characters may have been taken for equal: compare the elements themselves
-        codes = rows.select("s1", "s2", "codes").dropDuplicates(["s1", "s2"])
-        side = lambda x: codes.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("codes").alias(f"c{x}"))
-        checked = unsure.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-        pairs = pairs.unionByName(checked.mapInArrow(_exact, "a1 long, a2 long, b1 long, b2 long"))
-    return _records(scratch, rows, pairs, expand_most)
-
-
-def _records(scratch: Scratch, rows: DataFrame, pairs: DataFrame, expand_most: int) -> DataFrame:
-    """Pairs of texts to pairs of records."""
-    members = scratch.write(rows.select("record", "s1", "s2").distinct())
-    sizes = members.groupBy("s1", "s2").agg(F.count("*").alias("n"), F.min("record").alias("least"))
-    sizes = scratch.write(sizes)
-    small = members.join(sizes.where(F.col("n").between(2, expand_most)).select("s1", "s2"), ["s1", "s2"])
-    listed = small.groupBy("s1", "s2").agg(F.array_sort(F.collect_list("record")).alias("ids"))
-    ids = sizes.join(listed, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("ids", F.array("least")).alias("ids"))
-    side = lambda x: ids.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("ids").alias(x))
-    between = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-    between = between.select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y"))
-    within = listed.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y")
-    star = members.join(sizes.where(F.col("n") > expand_most), ["s1", "s2"]).select(F.col("least").alias("x"), F.col("record").alias("y"))
-    out = between.unionByName(within).unionByName(star.where("x < y"))
-    return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        codes = rows.select("record", "codes").dropDuplicates(["record"])
+        side = lambda x: codes.select(F.col("record").alias(x), F.col("codes").alias(f"c{x}"))
+        checked = unsure.join(side("a"), "a").join(side("b"), "b")
+        pairs = pairs.unionByName(checked.mapInArrow(_exact, "a long, b long"))
+    classes.links = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return classes
+
+
+def _cells(routed: DataFrame, many: dict[int, list[int]]) -> DataFrame:
+    """Each block of homes meets each block of lookers of its shard in a cell of its own, so no task has more than two blocks."""
+    homes, lookers = F.lit(1), F.lit(1)
+    several = {s: x for s, x in many.items() if x != [1, 1]}
+    if several:
+        told = lambda k: F.coalesce(F.element_at(F.create_map(*[F.lit(v) for s, x in several.items() for v in (s, x[k])]), F.col("shard")), F.lit(1))
+        homes, lookers = told(0), told(1)
+    rows = routed.withColumns({"h": homes.cast("int"), "q": lookers.cast("int")})
+    of = lambda n: F.array(F.pmod(F.xxhash64("cls"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("x", F.explode(F.when(F.col("looks"), every("h")).otherwise(of("h"))))
+    rows = rows.withColumn("y", F.explode(F.when(F.col("looks"), of("q")).otherwise(every("q"))))
+    return rows.select(F.xxhash64("shard", "x", "y").alias("cell"), "looks", "cls", "txt")

@@ -53,6 +53,13 @@ SQL["p6_found"] = """
     reach AS (SELECT a, a AS b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
     SELECT a AS record_key, min(b) AS group_key FROM reach GROUP BY a"""
 
+#: Rows of classes from pairs: alike(a, b) are all pairs, same(bm_id, key) each record with what makes it a copy of another.
+_CLASSES = """
+    named AS (SELECT bm_id, key, min(bm_id) OVER (PARTITION BY key) AS class_id, count(*) OVER (PARTITION BY key) AS copies FROM same),
+    met AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM alike JOIN named x ON x.bm_id = bm_id_a JOIN named y ON y.bm_id = bm_id_b WHERE x.class_id <> y.class_id),
+    each AS (SELECT a AS class_id, count(*) AS links FROM (SELECT a, b FROM met UNION SELECT b, a FROM met) GROUP BY a)
+    SELECT bm_id, class_id, copies, coalesce(links, 0) AS links FROM named LEFT JOIN each USING (class_id)"""
+
 _SPANS = """
     WITH records AS (
         SELECT bm_id, any_value(info.name) AS name, any_value(elements) AS e FROM birthmarks
@@ -98,6 +105,7 @@ SQL["p3_found"] = """
     SELECT a.bm_id AS bm_id_a, b.bm_id AS bm_id_b FROM texts a JOIN texts b ON a.bm_id < b.bm_id
         AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)
     WHERE 1 - levenshtein(a.t, b.t) / greatest(a.n, b.n) >= 0.8"""
+SQL["p3_classes"] = SQL["p3_found"].replace("    SELECT a.bm_id", "    same AS (SELECT bm_id, t AS key FROM texts), alike AS (SELECT a.bm_id").replace("count(*) AS n FROM parts JOIN names USING (x) GROUP BY bm_id)", "count(*) AS n FROM parts JOIN names USING (x) GROUP BY bm_id),") + ")," + _CLASSES
 SQL["p4_found"] = """
     WITH records AS (
         SELECT bm_id, regexp_replace(lower(any_value(info.btype)), '[^a-z]', '', 'g') AS t, any_value(elements) AS e
@@ -108,3 +116,6 @@ SQL["p4_found"] = """
         SELECT a.bm_id AS bm_id_a, b.bm_id AS bm_id_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
         FROM sized a JOIN sized b ON a.s = b.s AND a.t = b.t AND a.bm_id < b.bm_id WHERE a.n >= 5 AND b.n >= 5 GROUP BY 1, 2)
     SELECT bm_id_a, bm_id_b FROM both_ WHERE k / (na + nb - k) >= 0.7"""
+SQL["p4_classes"] = SQL["p4_found"].replace(
+    "    SELECT bm_id_a, bm_id_b FROM both_", "    , same AS (SELECT bm_id, t || ':' || string_agg(s, '|' ORDER BY s) AS key FROM sized WHERE n >= 5 GROUP BY bm_id, t), alike AS (SELECT bm_id_a, bm_id_b FROM both_"
+) + ")," + _CLASSES

@@ -50,19 +50,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # 3 ----------------------------------------------------------------------------------------------------------------
+def _near(spark: SparkSession, sf_dir: str) -> neardup.Classes:
+    return neardup.near_duplicates(_functions(spark, sf_dir), F.col("bm_id"), F.col("elements"), 0.8, 64)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = neardup.near_duplicates(_functions(spark, sf_dir), F.col("bm_id"), F.col("elements"), 0.8, 64)
+    pairs = _near(spark, sf_dir).pairs()
     return pairs.select(F.col("a").alias("bm_id_a"), F.col("b").alias("bm_id_b"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record: its class of equal contents, and how many other contents are near it."""
+    return _near(spark, sf_dir).rows().select(F.col("record").alias("bm_id"), F.col("cls").alias("class_id"), "copies", "links")
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _alike(spark: SparkSession, sf_dir: str) -> setjoin.Classes:
     b = read(spark, sf_dir, "birthmarks")
     b = b.where(is_btype(F.col("info.btype"), "Sfc", "Ffc") & (F.col("info.mode") == "Function") & F.col("elements").isNotNull())
-    pairs = setjoin.similar_sets(b, F.col("bm_id"), btype_key(F.col("info.btype")), F.col("elements.s"), 0.7, 5)
+    return setjoin.similar_sets(b, F.col("bm_id"), btype_key(F.col("info.btype")), F.col("elements.s"), 0.7, 5)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _alike(spark, sf_dir).pairs()
     return pairs.select(F.col("a").alias("bm_id_a"), F.col("b").alias("bm_id_b"))
 
 
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per record: its class of equal sets, and how many other sets largely agree with it."""
+    return _alike(spark, sf_dir).rows().select(F.col("record").alias("bm_id"), F.col("cls").alias("class_id"), "copies", "links")
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = read(spark, sf_dir, "birthmarks").where(is_btype(F.col("info.btype"), *TERM_TYPES))

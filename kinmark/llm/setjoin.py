@@ -1,13 +1,14 @@
 """All similar pairs of set-valued records, by recursive chosen-path splitting.
 
-Sets of equal content are one set. All sets start in one node. A node with more than ``node_most`` sets branches: it
-draws a random order of all tokens, each set *chooses* some of its tokens that are not yet on the path by that order,
-and goes to the child node of each. A pair that is similar enough shares a chosen token with a probability that the
-number of choices sets. Small nodes are compared by brute force, exactly; hence every pair that is found is right.
+Sets of equal content are one class. All sets start in the root of each tree. A node with more than ``node_most`` sets branches: it
+draws a random order of all tokens, each set *chooses* the first ``choices`` of its tokens that are not yet on the path by that order,
+and goes to the child node of each. Small nodes are compared by brute force, and what is found is verified on the values themselves;
+hence every pair that is found is right, and each comes out once.
 
-With n tokens of which any similar partner shares at least t, a set that chooses its first n - t + 1 tokens shares one
-with every such partner, whatever the order is. That is the default: each tree then has recall 1 and one tree reaches
-the target. With fewer ``choices`` a tree misses pairs and ``trees`` repeats it with other orders.
+*Recall.* With n tokens of which any similar partner shares at least t, a set that chooses its first n - t + 1 tokens shares one
+with every such partner, whatever the order is. Sets that need no more than ``choices`` for that never lose a partner. Of larger
+sets a tree loses a pair at a level only if all choices of one set are missing in the other, at most ``(1 - similarity) ** choices``.
+Trees are repeated, for these sets alone, until the losses of all trees together stay below 1 - ``recall``.
 
 A path of t tokens leaves nothing to choose, so depth is limited; nodes that are still large there (all their sets share
 t tokens) are compared in blocks. Large nodes are few (their number is at most rows / ``node_most``) and are told to
@@ -26,12 +27,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from . import common
-from .neardup import _records
+from .classes import Classes
 
-NODE_MOST = 256
-#: Records of equal sets that are paired up together.
-EXPAND_BLOCK = 1000
-_PAIRS = "a1 long, a2 long, b1 long, b2 long"
+NODE_MOST, CHOICES, RECALL = 256, 6, 0.999999
+_KEYS = ["node", "bi", "bj"]
 _FEW = 12
 
 
@@ -72,17 +71,12 @@ def _brute_force(similarity: float):
         return (i + lo).tolist(), (j + lo).tolist()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def compare(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            cols = [t[c].to_numpy() for c in ("node", "bi", "bj", "blk", "s1", "s2")]
-            node, bi, bj, blk, s1, s2 = cols
+        for t in common.whole_groups(it, _KEYS):
+            blk, cls, bi, bj = (t[c].to_numpy() for c in ("blk", "cls", "bi", "bj"))
             lists = t["tokens"].combine_chunks()
             flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
             off = np.concatenate([[0], np.cumsum(size)])
-            cut = np.flatnonzero((node[1:] != node[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-            edges = np.concatenate([[0], cut, [len(node)]])
+            edges = common.edges_of(t, _KEYS)
             a: list[int] = []
             b: list[int] = []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -90,39 +84,18 @@ def _brute_force(similarity: float):
                     x, y = pairs_of(lo, hi, size, blk, flat, off, bool(bi[lo] != bj[lo]))
                     a += x
                     b += y
-            x, y = np.array(a, np.int64), np.array(b, np.int64)
-            turn = (s1[x] > s1[y]) | (s1[x] == s1[y]) & (s2[x] > s2[y])
-            x, y = np.where(turn, y, x), np.where(turn, x, y)
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in (s1[x], s2[x], s1[y], s2[y])], names=["a1", "a2", "b1", "b2"])
-
-        def key(batch: pa.RecordBatch, i: int) -> tuple:
-            return tuple(batch.column(c)[i].as_py() for c in ("node", "bi", "bj"))
-
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            if held and key(batch, 0) == key(batch, batch.num_rows - 1) == key(held[-1], held[-1].num_rows - 1):
-                held.append(batch)
-                continue
-            # all nodes but the batch's last are complete
-            n = batch.num_rows
-            last = key(batch, n - 1)
-            at = n
-            while at and key(batch, at - 1) == last:
-                at -= 1
-            if at:
-                yield compare(pa.Table.from_batches([*held, batch.slice(0, at)]))
-                held = []
-            elif held:
-                yield compare(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(at))
-        if held:
-            yield compare(pa.Table.from_batches(held))
+            x, y = cls[np.array(a, np.int64)], cls[np.array(b, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
+def trees_for(similarity: float, choices: int, depth: int, recall: float) -> int:
+    """Trees after which a pair is lost with a probability of at most 1 - ``recall``."""
+    lost = 1 - (1 - (1 - similarity) ** choices) ** depth
+    return 1 if lost <= 0 else max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+
+
 def similar_sets(
     df: DataFrame,
     record: Column,
@@ -130,110 +103,92 @@ def similar_sets(
     values: Column,
     similarity: float = 0.7,
     least: int = 5,
-    choices: int | None = None,
-    trees: int = 1,
+    choices: int = CHOICES,
+    recall: float = RECALL,
     node_most: int = NODE_MOST,
-    expand_most: int | None = None,
-) -> DataFrame:
-    """(a BIGINT, b BIGINT), a < b: records of one group whose sets have ``|both| / |either| >= similarity``.
+) -> Classes:
+    """Records of one group whose sets have ``|both| / |either| >= similarity``, as classes of equal sets and links between classes.
+
+    ``Classes.pairs`` are the pairs of records (a BIGINT, b BIGINT), a < b, ``Classes.rows`` a row per record.
 
     ``values`` is an array of strings; order and repetition play no part, null values are no values. Sets of fewer than
     ``least`` values take no part, nor do rows with a null id, group or array. A record delivered more than once counts
-    once. All pairs are given, however many records have equal sets; only where ``expand_most`` is passed, each of more
-    records than that is paired with the smallest id of them, which then stands for the set in other pairs. For two tables, join them with a union and keep
-    pairs across. An empty input gives an empty result. Columns of ``df`` beyond those passed play no part. Values are
-    told apart by 64 bits of hash within their group.
+    once. For two tables, join them with a union and keep
+    pairs across. An empty input gives an empty result. Columns of ``df`` beyond those passed play no part.
     """
-    if not 0 < similarity <= 1 or least < 1:
-        raise ValueError("similarity must be in (0, 1] and least at least 1")
+    if not 0 < similarity <= 1 or least < 1 or choices < 1 or not 0 <= recall < 1:
+        raise ValueError("similarity must be in (0, 1], least and choices at least 1 and recall in [0, 1)")
     scratch = Scratch(df.sparkSession, "setjoin")
     rows = df.select(record.cast("long").alias("record"), group.cast("string").alias("grp"), values.alias("v"))
     rows = rows.where(F.col("record").isNotNull() & F.col("grp").isNotNull() & (F.size("v") >= least))
-    token = F.transform(F.array_distinct(F.array_compact("v")), lambda x: F.xxhash64(F.col("grp"), x))
-    rows = rows.select("record", F.array_sort(F.array_distinct(token)).alias("tokens")).where(F.size("tokens") >= least)
-    s1, s2 = common.wide_hash(F.col("tokens"))
+    rows = rows.select("record", "grp", F.array_sort(F.array_distinct(F.array_compact("v"))).alias("names")).where(F.size("names") >= least)
+    s1, s2 = common.wide_hash(F.col("grp"), F.col("names"))
     rows = scratch.write(rows.withColumns({"s1": s1, "s2": s2}))
-    sets = scratch.write(rows.groupBy("s1", "s2").agg(F.first("tokens").alias("tokens")))
+    classes = Classes.of(scratch, rows.select("record", "s1", "s2"))
+    sets = rows.groupBy("s1", "s2").agg(F.min("record").alias("cls"), F.first("grp").alias("grp"), F.first("names").alias("names"))
+    token = F.array_sort(F.transform("names", lambda x: F.xxhash64(F.col("grp"), x)))
+    sets = scratch.write(sets.select("cls", "grp", "names", token.alias("tokens")))
 
     depth_most = max(1, math.ceil(similarity * least - 1e-9))
+    trees = trees_for(similarity, choices, depth_most, recall)
+    sure = next(n for n in range(1, 1 << 20) if n - math.ceil(n * similarity - 1e-9) + 1 > choices) if similarity < 1 else 1 << 20  # the least set that may lose a partner
+    one = F.lit(1).cast("long")
+    root = F.explode(F.when(F.size("tokens") >= similarity * sure, F.sequence(one, F.lit(trees).cast("long"))).otherwise(F.array(one)))
+    level = sets.select("cls", "tokens", root.alias("node"), F.array().cast("array<long>").alias("path"))
     leaves: list[DataFrame] = []
-    small = sets.limit(node_most + 1).count() <= node_most
-    for tree in range(trees):
-        level = sets.select(F.lit(tree).cast("long").alias("node"), F.array().cast("array<long>").alias("path"), "s1", "s2", "tokens")
-        if small:
-            leaves.append(_whole(level))
+    if sets.limit(node_most + 1).count() <= node_most:
+        leaves.append(_whole(level.where("node = 1")))
+        depth_most = 0
+    for depth in range(1, depth_most + 1):
+        older, level = level, scratch.write(_branch(level, similarity, choices))
+        if depth > 1:
+            scratch.drop(older)
+        sizes = scratch.write(level.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"))  # a set that is alone meets nobody
+        leaves.append(_whole(level.join(_told(sizes.where(F.col("m") <= node_most).select("node")), "node", "left_semi")))
+        large = sizes.where(F.col("m") > node_most)
+        if large.isEmpty():
             break
-        for depth in range(1, depth_most + 1):
-            level = scratch.write(_branch(level, similarity, choices))
-            sizes = level.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > node_most)
-            sizes = scratch.write(sizes)
-            if sizes.isEmpty():
-                leaves.append(_whole(level))
-                break
-            if common.fits_broadcast(sizes, 160):
-                sizes = F.broadcast(sizes)
-            leaves.append(_whole(level.join(sizes.select("node"), "node", "left_anti")))
-            large = level.join(sizes, "node")
-            if depth == depth_most:
-                leaves.append(_blocks(large, node_most))
-            level = large.drop("m")
+        level = level.join(_told(large), "node")
+        if depth == depth_most:
+            leaves.append(_blocks(level, node_most))
+        else:
+            level = scratch.write(level.drop("m"))
     cells = leaves[0]
     for other in leaves[1:]:
         cells = cells.unionByName(other)
-    cells = cells.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
-    pairs = scratch.write(cells.mapInArrow(_brute_force(similarity), _PAIRS).distinct())
-    return _all_records(scratch, rows, pairs) if expand_most is None else _records(scratch, rows, pairs, expand_most)
-
-
-def _all_records(scratch: Scratch, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of sets to all pairs of records; the records of a set meet in blocks, so no task pairs up a large set alone."""
-    members = scratch.write(rows.select("record", "s1", "s2").distinct())
-    sizes = members.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = scratch.write(sizes.withColumn("many", F.ceil(F.col("n") / F.lit(EXPAND_BLOCK))))
-    large = sizes.where("many > 1").select("s1", "s2", "many")
-    some = not large.isEmpty()
-    side = lambda df, x, *more: df.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), *more)
-    parts = lambda first, many: F.explode(F.sequence(first, F.coalesce(many, F.lit(1).cast("long")) - 1))
-    zero = F.lit(0).cast("long")
-
-    blocks = members.join(large, ["s1", "s2"], "left") if some else members.withColumn("many", F.lit(1).cast("long"))
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("record"), F.coalesce("many", F.lit(1).cast("long"))))
-    blocks = scratch.write(blocks.groupBy("s1", "s2", "part").agg(F.collect_list("record").alias("ids")))
-    between = pairs.withColumns({"p": zero, "q": zero})
-    if some:
-        between = pairs.join(side(large, "a", F.col("many").alias("p")), ["a1", "a2"], "left").join(side(large, "b", F.col("many").alias("q")), ["b1", "b2"], "left")
-        between = between.withColumn("p", parts(zero, F.col("p"))).withColumn("q", parts(zero, F.col("q")))
-    own = sizes.withColumn("p", parts(zero, F.col("many"))).withColumn("q", parts(F.col("p"), F.col("many")))
-    own = own.select(F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), "p", "q", (F.col("p") == F.col("q")).alias("same"))
-    cells = between.select("a1", "a2", "b1", "b2", "p", "q", F.lit(False).alias("same")).unionByName(own)
-    cells = cells.join(side(blocks, "a", F.col("part").alias("p"), F.col("ids").alias("xs")), ["a1", "a2", "p"])
-    cells = cells.join(side(blocks, "b", F.col("part").alias("q"), F.col("ids").alias("ys")), ["b1", "b2", "q"])
-    each = cells.select("same", F.explode("xs").alias("x"), "ys").select("same", "x", F.explode("ys").alias("y"))
-    return each.where(~F.col("same") | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _branch(level: DataFrame, similarity: float, choices: int | None) -> DataFrame:
+    cells = cells.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    met = scratch.write(cells.mapInArrow(_brute_force(similarity), "a long, b long").distinct())
+    for x in "ab":  # tokens are hashes: what counts are the values
+        met = met.join(sets.select(F.col("cls").alias(x), F.col("grp").alias(f"g{x}"), F.col("names").alias(f"n{x}")), x)
+    both = F.size(F.array_intersect("na", "nb"))
+    good = (F.col("ga") == F.col("gb")) & (both / (F.size("na") + F.size("nb") - both) >= similarity)
+    classes.links = scratch.write(met.where(good).select("a", "b"))
+    return classes
+
+
+def _told(nodes: DataFrame) -> DataFrame:
+    """Nodes as a broadcast, if they are few enough."""
+    return F.broadcast(nodes) if common.fits_broadcast(nodes, 96) else nodes
+
+
+def _branch(level: DataFrame, similarity: float, choices: int) -> DataFrame:
     """Each set to the children of the tokens that it chooses by its node's random order."""
     n = F.size("tokens")
-    count = n - _least_overlap(n, similarity) + 1
-    if choices is not None:
-        count = F.least(count, F.lit(choices))
+    count = F.least(n - _least_overlap(n, similarity) + 1, F.lit(choices))
     rest = F.filter("tokens", lambda t: ~F.array_contains("path", t))
     order = F.array_sort(F.transform(rest, lambda t: F.struct(F.xxhash64(F.col("node"), t).alias("r"), t.alias("t"))))
-    chosen = level.select("node", "path", "s1", "s2", "tokens", F.explode(F.slice(order, F.lit(1), count)).alias("c"))
-    return chosen.select(
-        F.col("c.r").alias("node"), F.concat("path", F.array("c.t")).alias("path"), "s1", "s2", "tokens"
-    )
+    chosen = level.select("path", "cls", "tokens", F.explode(F.slice(order, F.lit(1), count)).alias("c"))
+    return chosen.select("cls", "tokens", F.col("c.r").alias("node"), F.concat("path", F.array("c.t")).alias("path"))
 
 
 def _whole(level: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("int")
-    return level.select("node", zero.alias("bi"), zero.alias("bj"), zero.alias("blk"), "s1", "s2", "tokens")
+    return level.select("node", zero.alias("bi"), zero.alias("bj"), zero.alias("blk"), "cls", "tokens")
 
 
 def _blocks(large: DataFrame, node_most: int) -> DataFrame:
     """A large node as pairs of blocks: each set goes to the cells of its block with every block."""
     many = F.ceil(F.col("m") / F.lit(node_most)).cast("int")
-    own = F.pmod("s2", many).cast("int")
+    own = F.pmod(F.xxhash64("cls"), many).cast("int")
     each = large.withColumns({"blk": own, "other": F.explode(F.sequence(F.lit(0), many - 1))})
-    return each.select("node", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "s1", "s2", "tokens")
+    return each.select("node", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "cls", "tokens")

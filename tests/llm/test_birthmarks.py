@@ -160,20 +160,46 @@ def test_near_duplicates(spark, score, block, monkeypatch):
     rows += [(900, [("Kgram", None, None, ["a"], None)] * 40), (901, [("Kgram", None, None, ["a"], None)] * 40), (902, [("Str", None, None, None, None)] * 40), (903, [("Str", None, None, None, None)] * 40)]
     rows += [(904, None), (905, []), (None, rows[0][1])]
     df = spark.createDataFrame([(b, e, "c", 1) for b, e in rows], f"bm long, e array<{E}>, s1 string, record int")
-    got = neardup.near_duplicates(df, F.col("bm"), F.col("e"), score, 24)
+    got = neardup.near_duplicates(df, F.col("bm"), F.col("e"), score, 24).pairs()
     assert {tuple(x) for x in got.collect()} == near_brute(rows, score, 24) and got.count() == got.distinct().count()
-    assert neardup.near_duplicates(df.limit(0), F.col("bm"), F.col("e"), score, 24).count() == 0
+    assert neardup.near_duplicates(df.limit(0), F.col("bm"), F.col("e"), score, 24).pairs().count() == 0
 
 
-def test_many_copies_are_a_star(spark):
+@pytest.mark.parametrize("copies", [10, 1001])
+def test_any_number_of_copies_has_one_form(spark, copies):
     e, f = strs(["Load", "Store"] * 20), strs(["Load", "Store"] * 19 + ["Load", "Load"])
-    df = spark.createDataFrame([(i, e) for i in range(3, 13)] + [(1, f)], f"bm long, e array<{E}>")
-    got = {tuple(x) for x in neardup.near_duplicates(df, F.col("bm"), F.col("e"), 0.8, 10, expand_most=5).collect()}
-    assert got == {(3, i) for i in range(4, 13)} | {(1, 3)}
+    df = spark.createDataFrame([(i, e) for i in range(3, 3 + copies)] + [(1, f)], f"bm long, e array<{E}>")
+    found = neardup.near_duplicates(df, F.col("bm"), F.col("e"), 0.8, 10)
+    assert [tuple(x) for x in found.links.collect()] == [(1, 3)]
+    assert {tuple(x) for x in found.rows().collect()} == {(1, 1, 1, 1)} | {(i, 3, copies, 1) for i in range(3, 3 + copies)}
+    few = found.pairs(300).agg(F.count("*"), F.count_distinct("a", "b"), F.sum((F.col("a") < F.col("b")).cast("int"))).first()
+    assert tuple(few) == ((copies + 1) * copies // 2,) * 3
+
+
+def test_classes_of_many_copies(spark):
+    from kinmark.llm.classes import Classes
+    from kinmark.scratch import Scratch
+
+    scratch = Scratch(spark, "test")
+    rows = spark.range(50_000).select(F.col("id").alias("record"), F.lit(1).cast("long").alias("s1"), F.lit(2).cast("long").alias("s2"))
+    rows = rows.unionByName(spark.range(50_000, 50_010).select(F.col("id").alias("record"), F.col("id").alias("s1"), F.lit(2).cast("long").alias("s2")))
+    found = Classes.of(scratch, rows, 1000)
+    found.links = spark.createDataFrame([(0, 50_001), (50_001, 50_002)], "a long, b long")
+    got = found.rows().groupBy("cls", "copies", "links").count().collect()
+    assert {tuple(x) for x in got} == {(0, 50_000, 1, 50_000), (50_001, 1, 2, 1), (50_002, 1, 1, 1)} | {(i, 1, 0, 1) for i in range(50_000, 50_010) if i not in (50_001, 50_002)}
+
+
+def test_very_long_records(spark):
+    r = random.Random(2)
+    base = [r.choice(["Load", "Store", "Call", "Br", "Add"]) for _ in range(40_000)]
+    near = base[:7000] + ["Ret"] * 30 + base[7100:]
+    rows = [(1, base), (2, near), (3, [r.choice(["Load", "Mul", "Xor"]) for _ in range(40_000)])]
+    df = spark.createDataFrame([(i, strs(e)) for i, e in rows], f"bm long, e array<{E}>")
+    assert [tuple(x) for x in neardup.near_duplicates(df, F.col("bm"), F.col("e")).pairs().collect()] == [(1, 2)]
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
-@pytest.mark.parametrize("node,similarity,choices", [(256, 0.7, None), (4, 0.7, None), (2, 0.5, None), (4, 0.7, 4)])
+@pytest.mark.parametrize("node,similarity,choices", [(256, 0.7, 6), (4, 0.7, 6), (2, 0.5, 6), (4, 0.7, 3), (4, 1.0, 6)])
 def test_similar_sets(spark, node, similarity, choices):
     r = random.Random(8)
     words = ["hot", "warm"] + [f"w{i}" for i in range(40)]
@@ -189,17 +215,31 @@ def test_similar_sets(spark, node, similarity, choices):
     sets = {b: (g, {w for w in v if w is not None}) for b, g, v in rows if None not in (b, g, v)}
     ids = sorted(b for b in sets if len(sets[b][1]) >= 4)
     want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) >= similarity}
-    got = setjoin.similar_sets(df, F.col("bm"), F.col("g"), F.col("v"), similarity, 4, choices, 1 if choices is None else 6, node)
+    got = setjoin.similar_sets(df, F.col("bm"), F.col("g"), F.col("v"), similarity, 4, choices, node_most=node).pairs()
     pairs = {tuple(x) for x in got.collect()}
-    assert pairs <= want and len(pairs) == got.count()
-    assert pairs == want if choices is None else len(pairs) >= 0.9 * len(want)
-    assert setjoin.similar_sets(df.limit(0), F.col("bm"), F.col("g"), F.col("v"), similarity).count() == 0
+    assert pairs == want and len(pairs) == got.count()
+    assert setjoin.similar_sets(df.limit(0), F.col("bm"), F.col("g"), F.col("v"), similarity).pairs().count() == 0
+
+
+def test_a_value_in_a_third_of_all_sets(spark):
+    """Hot values and sets of up to 60 values, so that trees branch to the last depth and repeat."""
+    r = random.Random(9)
+    hot, rows = [f"h{i}" for i in range(4)], []
+    for i in range(600):
+        base = (hot if i % 3 == 0 else []) + r.sample([f"w{j}" for j in range(300)], r.choice([3, 8, 30, 56]))
+        rows += [(3 * i + k, [w for w in base if k == 0 or r.random() < 0.93]) for k in range(3)]
+    df = spark.createDataFrame([(b, "g", v) for b, v in rows], "bm long, g string, v array<string>")
+    sets = {b: set(v) for b, v in rows if len(v) >= 5}
+    ids = sorted(sets)
+    want = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7}
+    assert {tuple(x) for x in setjoin.similar_sets(df, F.col("bm"), F.col("g"), F.col("v"), node_most=20).pairs().collect()} == want
+    assert setjoin.trees_for(0.7, 6, 4, setjoin.RECALL) == 3
 
 
 def test_equal_sets_give_all_pairs(spark):
     rows = [(i, "x", ["a", "b", "c", "d", "e"]) for i in range(10, 1011)] + [(i, "x", ["a", "b", "c", "d", "e", "f"]) for i in (1, 2000)] + [(3000, "y", ["a", "b", "c", "d", "e"])]
     df = spark.createDataFrame(rows, "bm long, g string, v array<string>")
-    got = setjoin.similar_sets(df, F.col("bm"), F.col("g"), F.col("v"), 0.7)
+    got = setjoin.similar_sets(df, F.col("bm"), F.col("g"), F.col("v"), 0.7).pairs()
     few = got.agg(F.count("*"), F.count_distinct("a", "b"), F.sum((F.col("a") < F.col("b")).cast("int")), F.max("b")).first()
     assert tuple(few) == (1003 * 1002 // 2,) * 3 + (2000,)
 
