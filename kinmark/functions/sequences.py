@@ -27,15 +27,19 @@ def lcs_length(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
     return len(a) - v.bit_count()
 
 
-def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
-    """Levenshtein distance with unit costs; a None in either matches nothing."""
+def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], limit: int | None = None) -> int:
+    """Levenshtein distance with unit costs; a None in either matches nothing. Where it exceeds the limit, some number above it."""
     m = len(a)
     if not m or not len(b):
         return m or len(b)
     where, full, top = _positions(a), (1 << m) - 1, 1 << m - 1
     where.pop(None, None)
     plus, minus, score = full, 0, m
+    rest = len(b)
     for x in b:
+        if limit is not None and score - rest > limit:  # each column takes one off at most
+            return limit + 1
+        rest -= 1
         eq = where.get(x, 0)
         xv = eq | minus
         xh = (eq & plus) + plus ^ plus | eq
@@ -51,8 +55,8 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
 
 #: Pairs that one vectorised pass handles; kinds of values beyond which a pass is left to the plain functions.
 _PASS, _KINDS_MOST = 1024, 1024
-#: Blocks of 64 rows from which a pair is left to the plain function: its whole numbers cost less than a numpy call per block.
-_BLOCKS_MOST = 128
+#: Costs in microseconds of a column: of a numpy step and of each pair in it, per block of 64 rows; of the plain function, and of each block in it.
+_STEP, _PAIR, _PLAIN, _PLAIN_BLOCK = 20.0, 0.05, 1.35, 0.01
 #: Columns between two looks at whether a pair can still end within its limit.
 _LOOK = 24
 
@@ -67,13 +71,14 @@ def edit_distances(a: Sequence[str], b: Sequence[str], limit: np.ndarray | None
     n = np.array([len(x) for x in b], np.int64)
     blocks = np.array([len(x) for x in a], np.int64) // 64
     out = np.zeros(len(a), np.int64)
-    for i in np.flatnonzero(blocks >= _BLOCKS_MOST):
-        out[i] = edit_distance(a[i], b[i])
     order = np.lexsort((n, blocks))
-    order = order[blocks[order] < _BLOCKS_MOST]
     for lo in range(0, len(order), _PASS):
         part = order[lo : lo + _PASS]
-        out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part], None if limit is None else np.asarray(limit)[part])
+        most = int(blocks[part[-1]]) + 1
+        if len(part) * (_PLAIN + _PLAIN_BLOCK * most) < most * (_STEP + _PAIR * len(part)):  # few pairs or long ones
+            out[part] = [edit_distance(a[i], b[i], None if limit is None else int(limit[i])) for i in part]
+        else:
+            out[part] = _edit_pass([a[i] for i in part], [b[i] for i in part], None if limit is None else np.asarray(limit)[part])
     return out
 
 
