@@ -37,12 +37,14 @@ from . import common
 from .classes import Classes
 
 #: Texts from which the tree is fitted, at most; homes and lookers in a block, at least and at most. They steer the work only.
-SAMPLE_TEXTS, BLOCK_LEAST, BLOCK_MOST = 4096, 1024, 16384
+SAMPLE_TEXTS, BLOCK_LEAST, BLOCK_MOST = 4096, 1024, 8192
 CELL_PARTITIONS, SHELLS_MOST = 10_000, 64
 _BASE, _OTHER = 0x30, 0x100  # characters of the opcodes; of everything else
 _KINDS = len(OPCODES) + 1
 _PAIRS = 2048
-_SHORT_BITS = 384
+_SHORT_BITS, _PAIR_BITS = 768, 2048
+#: Share of a tile that the first bound lets through from which the one over pairs of neighbours is taken for the whole tile.
+_MANY = 0.04
 _TILE = 256
 
 
@@ -176,6 +178,22 @@ class _Block:
         self.short = self._short(self.bag)
         self.ones = self.short.sum(1)
         self.pairs: np.ndarray | None = None
+        self.pair_bits: list[tuple[int, int]] = []
+
+    def _telling_pairs(self) -> None:
+        """The bits of the homes' counts of pairs in which most homes differ."""
+        if self.pairs is None:
+            self.pairs = pair_counts(self.texts)
+        some = self.pairs[:: max(1, len(self.pairs) // 1024)]
+        share = np.stack([(some > t).mean(0) for t in range(16)])
+        best = np.argsort(-(share * (1 - share)).ravel(), kind="stable")[:_PAIR_BITS]
+        self.pair_bits = [(int(j), int(t)) for t, j in zip(*np.unravel_index(best, share.shape))]
+        self.pair_short = self._pair_short(self.pairs)
+        self.pair_ones = self.pair_short.sum(1)
+
+    def _pair_short(self, pairs: np.ndarray) -> np.ndarray:
+        kinds, levels = (np.array(x) for x in zip(*self.pair_bits))
+        return (pairs[:, kinds] > levels).astype(np.float32)
 
     def _short(self, bag: np.ndarray) -> np.ndarray:
         out = np.empty((len(bag), len(self.bits)), np.float32)
@@ -191,6 +209,7 @@ class _Block:
         short = self._short(bag)
         ones = short.sum(1)
         out: list[tuple[np.ndarray, np.ndarray]] = []
+        own: np.ndarray | None = None
         for a in range(0, len(order), _TILE):
             q = order[a : a + _TILE]
             lo = np.searchsorted(self.size, (size[q] - k[q]).min(), side="left")
@@ -200,7 +219,18 @@ class _Block:
                 # distance = ones + ones - 2 product, and twice the edits less the difference of lengths must hold it
                 both = short[q] @ self.short[b:e].T
                 need = (ones[q] - 2 * k[q] + size[q]).astype(np.float32)[:, None] + (self.ones[b:e] - self.size[b:e]).astype(np.float32)
-                i, h = np.nonzero(2 * both >= need)
+                good = 2 * both >= need
+                if good.mean() > _MANY:
+                    if own is None:
+                        if not self.pair_bits:
+                            self._telling_pairs()
+                        own = pair_counts(texts)
+                        own_short = self._pair_short(own)
+                        own_ones = own_short.sum(1)
+                    both = own_short[q] @ self.pair_short[b:e].T
+                    need = (own_ones[q] - 4 * k[q] + size[q]).astype(np.float32)[:, None] + (self.pair_ones[b:e] - self.size[b:e]).astype(np.float32)
+                    good &= 2 * both >= need
+                i, h = np.nonzero(good)
                 i, h = q[i], h + b
                 ok = (self.size[h] <= size[i]) & (np.abs(bag[i] - self.bag[h]).sum(1) + size[i] - self.size[h] <= 2 * k[i])
                 out.append((i[ok], h[ok]))
@@ -211,7 +241,7 @@ class _Block:
         if len(i):
             if self.pairs is None:
                 self.pairs = pair_counts(self.texts)
-            own = pair_counts(texts)
+            own = pair_counts(texts) if own is None else own
             ok = np.ones(len(i), bool)
             for a in range(0, len(i), 8192):
                 x, y = i[a : a + 8192], h[a : a + 8192]
