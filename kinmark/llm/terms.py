@@ -1,10 +1,14 @@
 """Frequency of every term, from a vertical layout of compressed record bitmaps.
 
 Each term has, per container of 65,536 consecutive record ids, the set of records that hold it: a sorted list of 16-bit
-positions while that is smaller, a bitmap of 8 KB beyond. Partial containers are built per range of ids (all
-deliveries of a record meet there, so repeats count once), with an occurrence counter beside them; containers of one term
-merge by union, and the document frequency is the sum of their cardinalities. A term that stands in every record costs
+positions while that is smaller, a bitmap of 8 KB beyond. Beside it stands an occurrence counter: what a record has beyond one occurrence, for the
+records that have more. Map tasks build partial containers of what they read, so elements never travel; containers of one term
+merge by union, in which a record that was delivered to several tasks counts once, and the document frequency is the sum of their cardinalities. A
+term that stands in every record costs
 8 KB per 65,536 records; its containers merge in parallel, and only (term, count) pairs meet at the end.
+
+Ids may be any numbers. Where they are sparse, with few records to 65,536 consecutive ids, containers are small and many: at
+worst one per record and term, as in a plain list of both.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +26,13 @@ from . import common
 
 #: Positions beyond which the bitmap is the smaller container.
 SPARSE_MOST = 4096
-#: Record ids that one task of the build handles together (a power of two, at most a container).
-SHARD_BITS = 12
+#: Pairs of record and term that a task turns into containers at once.
+FLUSH = 1 << 21
 
-_PARTS = "grp string, term string, container long, occ long, bits binary"
+_PARTS = "grp string, term string, container long, bits binary, more binary"
 _MERGED = "grp string, term string, occ long, docs long"
+_SCHEMA = pa.schema([("grp", pa.string()), ("term", pa.string()), ("container", pa.int64()), ("bits", pa.binary()), ("more", pa.binary())])
+_MORE = np.dtype([("at", "<u2"), ("n", "<i8")])  # a position and its occurrences, where they are not one
 
 
 def pack(positions: np.ndarray) -> bytes:
@@ -43,91 +50,122 @@ def unpack(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(data[:-1], np.uint8), bitorder="little")).astype("<u2")
 
 
-def union(parts: list[bytes]) -> tuple[bytes, int]:
-    """The union of containers and its cardinality."""
-    if len(parts) == 1:
-        p = parts[0]
-        return p, (len(p) // 2 if len(p) % 2 == 0 else int(np.unpackbits(np.frombuffer(p[:-1], np.uint8)).sum()))
-    if all(len(p) % 2 == 0 for p in parts) and sum(map(len, parts)) <= 2 * SPARSE_MOST:
-        merged = np.unique(np.concatenate([np.frombuffer(p, "<u2") for p in parts]))
-        return merged.tobytes(), len(merged)
-    dense = np.zeros(8192, np.uint8)
-    for p in parts:
-        if len(p) % 2:
-            dense |= np.frombuffer(p[:-1], np.uint8)
-        else:
-            flags = np.zeros(65536, np.uint8)
-            flags[np.frombuffer(p, "<u2")] = 1
-            dense |= np.packbits(flags, bitorder="little")
-    n = int(np.unpackbits(dense).sum())
-    return dense.tobytes() + b"\x00", n
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes one after another, lengths) of binary values."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[start : start + int(size.sum())] if data else np.zeros(0, np.uint8)), size
+
+
+def _positions(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) of all positions of many containers."""
+    data, size = _flat(column)
+    sparse = size % 2 == 0
+    rows = np.repeat(np.arange(len(size)), np.where(sparse, size // 2, 0))
+    keep = np.repeat(sparse, size)
+    at = data[keep].view("<u2") if len(data) else np.zeros(0, "<u2")
+    if not sparse.all():
+        ends = np.cumsum(size)
+        dense = [(r, unpack(data[ends[r] - size[r] : ends[r]].tobytes())) for r in np.flatnonzero(~sparse)]
+        rows = np.concatenate([rows, *(np.full(len(p), r) for r, p in dense)])
+        at = np.concatenate([at, *(p for _, p in dense)])
+    return rows, at
+
+
+def _containers(g: np.ndarray, w: np.ndarray, i: np.ndarray, n: np.ndarray, names: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """Partial containers of (group, term, record id, occurrences)."""
+    order = np.lexsort((i, w, g))
+    g, w, i, n = g[order], w[order], i[order], n[order]
+    one_more = np.ones(len(i), bool)  # a term that stands in several elements of a record
+    one_more[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (i[1:] != i[:-1])
+    at = np.flatnonzero(one_more)
+    n = np.add.reduceat(n, at) if len(at) else n
+    g, w, i = g[at], w[at], i[at]
+    c = i >> 16
+    new = np.ones(len(i), bool)
+    new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(i)))
+    low = (i & 0xFFFF).astype("<u2")
+    row = np.repeat(np.arange(len(start)), size)
+    big = np.flatnonzero(size > SPARSE_MOST)
+    bits = _binary(low, np.where(size > SPARSE_MOST, 0, size), ~np.isin(row, big))
+    if len(big):
+        packed = bits.to_pylist()
+        for r in big:
+            packed[r] = pack(low[start[r] : start[r] + size[r]])
+        bits = pa.array(packed, pa.binary())
+    several = n != 1
+    more = np.zeros(int(several.sum()), _MORE)
+    more["at"], more["n"] = low[several], n[several]
+    more = _binary(more, np.bincount(row[several], minlength=len(start)), slice(None))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(g[start])), words.take(pa.array(w[start])), pa.array(c[start]), bits, more], schema=_SCHEMA)
+
+
+def _binary(values: np.ndarray, size: np.ndarray, keep) -> pa.Array:
+    """Runs of values as binary values."""
+    ends = np.concatenate([[0], np.cumsum(size * values.dtype.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values[keep].tobytes())])
 
 
 def _build(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial containers of the records of one partition; rows come sorted by record, so repeats are neighbours."""
-    schema = pa.schema([("grp", pa.string()), ("term", pa.string()), ("container", pa.int64()), ("occ", pa.int64()), ("bits", pa.binary())])
-    last = None
-    for batch in it:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
-        keep = np.ones(len(ids), bool)
-        keep[1:] = ids[1:] != ids[:-1]
-        if len(ids) and last is not None:
-            keep[0] = ids[0] != last
-        if not len(ids):
-            continue
-        last = ids[-1]
-        batch = batch.filter(pa.array(keep))
-        ids = ids[keep]
-        terms, counts = batch.column("terms"), batch.column("ns")
+    held: list[pa.RecordBatch] = []
+    room = 0
+
+    def flush() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        t = t.take(pa.array(np.unique(t["id"].to_numpy(), return_index=True)[1]))  # deliveries agree: one of each record
+        ids = t["id"].to_numpy()
+        terms, counts = t["terms"].combine_chunks(), t["ns"].combine_chunks()
         size = terms.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        group = batch.column("grp").dictionary_encode()
-        word = terms.flatten().dictionary_encode()
-        names = np.array([*group.dictionary.to_pylist(), None], object)
-        words = np.array([*word.dictionary.to_pylist(), None], object)
+        group, word = t["grp"].combine_chunks().dictionary_encode(), terms.flatten().dictionary_encode()
+        names, words = group.dictionary.to_pylist(), [*word.dictionary.to_pylist(), None]
         # each record stands once more under the null term: the count of all records
         g0 = group.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        g = np.concatenate([np.repeat(g0, size), g0])
-        w = np.concatenate([word.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.full(len(ids), len(words) - 1)])
-        i = np.concatenate([np.repeat(ids, size), ids])
-        n = np.concatenate([counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.ones(len(ids), np.int64)])
-        order = np.lexsort((i, w, g))
-        g, w, i, n = g[order], w[order], i[order], n[order]
-        c = i >> 16
-        new = np.ones(len(i), bool)
-        new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(i))
-        low = (i & 0xFFFF).astype(np.uint16)
-        one_more = np.ones(len(i), bool)
-        one_more[1:] = new[1:] | (i[1:] != i[:-1])
-        bits = [pack(low[s:e][one_more[s:e]]) for s, e in zip(start, end)]
-        occ = np.add.reduceat(n, start) if len(start) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[g[start]].tolist(), pa.string()), pa.array(words[w[start]].tolist(), pa.string()), pa.array(c[start]), pa.array(occ), pa.array(bits, pa.binary())],
-            schema=schema,
-        )
+        w = word.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = counts.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return _containers(
+            np.concatenate([np.repeat(g0, size), g0]), np.concatenate([w, np.full(len(ids), len(words) - 1)]), np.concatenate([np.repeat(ids, size), ids]),
+            np.concatenate([n, np.ones(len(ids), np.int64)]), pa.array(names, pa.string()), pa.array(words, pa.string()),
+        )
+
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        room += batch.num_rows + len(batch.column("terms").flatten())
+        if room >= FLUSH:
+            yield flush()
+            held, room = [], 0
+    if held:
+        yield flush()
 
 
 def _merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unions of the containers of a partition; rows come sorted by group, term and container."""
-    schema = pa.schema([("grp", pa.string()), ("term", pa.string()), ("occ", pa.int64()), ("docs", pa.int64())])
-    held: tuple | None = None
-    bits: list[bytes] = []
-    occ = 0
-    for batch in it:
-        out: list[tuple] = []
-        for g, t, c, o, b in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if held is not None and held != (g, t, c):
-                out.append((held[0], held[1], occ, union(bits)[1]))
-                bits, occ = [], 0
-            elif len(bits) >= 64:  # keeps what a task holds bounded
-                bits = [union(bits)[0]]
-            held = (g, t, c)
-            bits.append(b)
-            occ += o
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*out) if out else [[]] * 4, schema)], schema=schema)
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((held[0], held[1], occ, union(bits)[1]), schema)], schema=schema)
+    """Unions of containers; rows come sorted by the hash of group, term and container, so that equal ones are neighbours.
+
+    The parts of one container hold its 65,536 positions among them, each once per delivery, so what a task holds is bounded.
+    """
+    for t in common.whole_groups(it, ["key"]):
+        names = [t[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("grp", "term")]
+        key = [t["key"].to_numpy(), *names, t["container"].to_numpy()]
+        order = np.lexsort(key[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        many = int(new.sum())
+        row, at = _positions(t["bits"])
+        docs = np.bincount(np.unique(group[row] << 16 | at) >> 16, minlength=many)
+        data, size = _flat(t["more"])
+        more = np.frombuffer(data.tobytes(), _MORE)
+        place, first = np.unique(group[np.repeat(np.arange(len(size)), size // _MORE.itemsize)] << 16 | more["at"], return_index=True)
+        occ = docs.astype(np.int64)
+        np.add.at(occ, place >> 16, more["n"][first] - 1)
+        one = pa.array(order[new])
+        yield pa.RecordBatch.from_arrays([t["grp"].combine_chunks().take(one), t["term"].combine_chunks().take(one), pa.array(occ), pa.array(docs)], names=["grp", "term", "occ", "docs"])
 
 
 def term_counts(df: DataFrame, record: Column, group: Column, terms: Column, ns: Column | None = None) -> DataFrame:
@@ -145,9 +183,8 @@ def term_counts(df: DataFrame, record: Column, group: Column, terms: Column, ns:
     rows = rows.select("id", "grp", pairs.alias("p")).select(
         "id", "grp", F.col("p.terms").alias("terms"), F.transform("p", lambda p: F.coalesce(p["ns"], F.lit(1)).cast("long")).alias("ns")
     )
-    shards = rows.repartition(F.shiftright("id", SHARD_BITS)).sortWithinPartitions("id")
-    parts = shards.mapInArrow(_build, _PARTS)
-    merged = parts.repartition("grp", "term", "container").sortWithinPartitions("grp", "term", "container").mapInArrow(_merge, _MERGED)
+    parts = rows.mapInArrow(_build, _PARTS).withColumn("key", F.xxhash64("grp", "term", "container"))
+    merged = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_merge, _MERGED)
     totals = merged.groupBy("grp", "term").agg(F.sum("occ").alias("occurrences"), F.sum("docs").alias("docs"))
     totals = Scratch(df.sparkSession, "terms").write(totals)
     every = totals.where(F.col("term").isNull()).select("grp", F.col("docs").alias("records"))

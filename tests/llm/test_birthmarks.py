@@ -247,14 +247,22 @@ def test_equal_sets_give_all_pairs(spark):
 # 5 ------------------------------------------------------------------------------------------------------------------
 def test_containers():
     import numpy as np
+    import pyarrow as pa
 
     r = np.random.default_rng(1)
-    for sizes in ((3, 4), (5000, 10), (5000, 6000), (0, 7), (4096, 4096), (4097, 1)):
-        a, b = (np.unique(r.choice(65536, n, replace=False)).astype(np.uint16) for n in sizes)
-        assert (terms.unpack(terms.pack(a)) == a).all()
-        bits, n = terms.union([terms.pack(a), terms.pack(b)])
-        both = np.union1d(a, b)
-        assert n == len(both) and (terms.unpack(bits) == both).all()
+    lists = [np.unique(r.choice(65536, n, replace=False)).astype(np.uint16) for n in (3, 0, 5000, 4096, 4097, 1, 65536)]
+    packed = [terms.pack(x) for x in lists]
+    assert all((terms.unpack(p) == x).all() for p, x in zip(packed, lists))
+    row, at = terms._positions(pa.array([*packed, None], pa.binary()).slice(1))
+    assert all((np.sort(at[row == k]) == x).all() for k, x in enumerate(lists[1:])) and not (row == len(lists) - 1).any()
+
+
+def test_dense_terms_delivered_again_and_again(spark, monkeypatch):
+    monkeypatch.setattr(terms, "FLUSH", 3000)
+    df = spark.range(70_000).selectExpr("id", "'g' as g", "array('all', if(id % 2 = 0, 'even', 'odd'), 'all') as v", "array(1L, 5000000000L, 2L) as n")
+    df = df.unionByName(df.where("id % 3 = 0")).unionByName(df.where("id < 10"))
+    got = {r["term"]: (r["occurrences"], r["docs"], r["records"]) for r in terms.term_counts(df, F.col("id"), F.col("g"), F.col("v"), F.col("n")).collect()}
+    assert got == {"all": (210_000, 70_000, 70_000), "even": (35_000 * 5 * 10**9, 35_000, 70_000), "odd": (35_000 * 5 * 10**9, 35_000, 70_000)}
 
 
 def test_term_frequencies(spark):
