@@ -266,14 +266,15 @@ def subjects_of(scratch: Scratch, counted: DataFrame, n_docs: int, freq: DataFra
     scratch.drop(placed)
     last = _affinity(corpus, about, clean, width, centroids)
     general = (F.col("likeness") > F.lit(S._GENERAL).cast("float")) & ~F.col("speaks")
-    told = last.where(F.col("speaks") | general).select("id", general.cast("float").alias("g"), F.col("a").alias("v"))
-    told = scratch.write(_changed(told, lambda b: np.column_stack([_rows(b.column("v")), b.column("g").to_numpy()])))
+    told = last.where(F.col("speaks") | general).select("id", general.cast("float").alias("g"), "v")
+    # a general word takes no part in the vector; that it is one travels as a last number
+    told = scratch.write(_changed(told, lambda b: np.column_stack([_rows(b.column("v")) * (1 - b.column("g").to_numpy())[:, None], b.column("g").to_numpy()])))
     scratch.drop(last, clean, about)
 
     def assign(block: _Block) -> pa.Table:
-        model = S.Model([], names, block.z[:, :-1], block.z[:, -1] > 0)
+        model = S.Model(names, centroids.astype(np.float32), block.z[:, :-1], block.z[:, -1] > 0)
         i, s, share = model.found(block.ids, block.counts, block.size)
         return pa.table({"row": pa.array(block.row[i], pa.int64()), "subject": pa.array(np.array(names, object)[s].tolist(), pa.string()), "share": pa.array(share, pa.float64())})
 
-    found_rows = corpus.each(told, len(names) + 1, assign, "row long, subject string, share double")
+    found_rows = corpus.each(told, width + 1, assign, "row long, subject string, share double")
     return bags.select("row", "key").join(found_rows, "row").select("key", "subject", "share")

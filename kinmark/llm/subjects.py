@@ -12,10 +12,12 @@ terms' vectors without the first component.
 *Centroids.* Labelled examples give the first centroid of each subject. Then all documents whose cosine to a centroid is
 high move the centroids, a few times; their common part is taken out each time, so that it can't become a subject.
 
-*Assignment.* The cosine of a term with a centroid says how much it speaks for the subject, provided that documents
-with the term are clearly more often about the subject than others; words of a language's grammar are not. Words of several subjects
-(court, key) are shared out by what else the document talks about. A document gets the subjects with a good share of
-this talk, if there is more of it than a passing mention beside its general words.
+*Weights.* A term takes part in the documents' vectors if its direction is near a centroid and the documents that hold it are clearly more often
+near that centroid than others; words of a language's grammar are not. A word of several subjects (court, key) is near several
+centroids: within a document its vector is turned to those that the rest of the document is near to, a few times over.
+
+*Assignment.* A document is the sum of its terms' vectors, as often as they occur. It gets the subjects whose centroids have a good share of
+its positive cosines, if its cosine with the subjects at all, beside its general words, which point in the common direction, is more than that of a passing mention.
 
 The vocabulary has the terms of at least ``MIN_DOCS`` documents, and those of labelled examples however few documents hold
 them; other terms are looked up without a plural ending or prefix. Up to ``VOCABULARY_MOST`` terms it is told to
@@ -43,8 +45,11 @@ MIN_DOCS = 5
 RANK, OVERSAMPLE, PASSES = 40, 8, 3
 #: Rounds of refinement, and the cosine from which a document moves a centroid.
 ROUNDS, CONFIDENT = 3, 0.8
-#: Share of the subject talk that makes a subject; share of subject talk beside general words; words that are no mention.
-GOOD_SHARE, TALK_SHARE, TALK_LEAST = 0.2, 0.045, 2.0
+#: Share of a subject in a document from which the document deals with it (few documents of the corpus are near it); cosine of a document with what it says about subjects from
+#: which it deals with any; mentions that are no passing ones.
+GOOD_SHARE, CLEAR, MENTIONS = 0.18, 0.03, 1.5
+#: Labelled rows that give the seeds, at most: those with the least hash of their text.
+EXAMPLES_MOST = 20_000
 #: Likeness of a general word to the common direction; cosine from which a term speaks for a subject at all; how much more often than
 #: usual the documents with the term are about the subject.
 _GENERAL, _AFFINE, _LIFT = 0.75, 0.08, 2.5
@@ -130,37 +135,48 @@ def _weights(ids: np.ndarray, counts: np.ndarray, size: np.ndarray, row: np.ndar
     return (w / np.maximum(norm[row], 1e-9)).astype(np.float32)
 
 
+def lifted(centroids: np.ndarray) -> np.ndarray:
+    """Centroids whose common part was taken out get one in a dimension of its own, which leaves them a right angle apart."""
+    k = len(centroids)
+    return _unit(np.column_stack([centroids * math.sqrt((k - 1) / k), np.full(k, math.sqrt(1 / k))]))
+
+
 @dataclass
 class Model:
-    """What the assignment needs, per term of the vocabulary."""
+    """What the assignment needs: of each term its vector (zeros if it takes no part) and whether it is a general word."""
 
-    terms: list[str]
     subjects: list[str]
-    affinity: np.ndarray  # terms x subjects
+    centroids: np.ndarray  # subjects x rank
+    vectors: np.ndarray  # terms x rank
     general: np.ndarray  # terms
 
-    def talk(self, ids: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words about each subject, general words) of each document."""
-        row = np.repeat(np.arange(len(size)), size)
-        aff, n = self.affinity[ids], counts.astype(np.float32)[:, None]
-        about = _sum_rows(aff * n, size)
+    def placed(self, ids: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector of each document, mentions of each subject)."""
+        used, of = np.unique(ids, return_inverse=True)
+        near = self.vectors[used] @ self.centroids.T
+        near = np.where(near >= _AFFINE, near, 0)
+        near = (near / np.maximum(near.sum(1, keepdims=True), 1e-9))[of]
+        row, n = np.repeat(np.arange(len(size)), size), counts.astype(np.float32)[:, None]
+        about = _sum_rows(near * n, size)
         for _ in range(5):
             share = about / np.maximum(about.sum(1, keepdims=True), 1e-9) + 0.01
-            w = aff * share[row]
+            w = near * share[row]
             w /= np.maximum(w.sum(1, keepdims=True), 1e-9)
             about = _sum_rows(w * n, size)
-        return about, np.bincount(row, counts * self.general[ids], minlength=len(size))
-
-    def assign(self, about: np.ndarray, general: np.ndarray) -> np.ndarray:
-        total = about.sum(1, keepdims=True)
-        good = (about >= GOOD_SHARE * total) & (about >= TALK_LEAST - 1e-6)
-        return good & (total >= TALK_SHARE * (total + general[:, None]))
+        return about @ lifted(self.centroids), about
 
     def found(self, ids: np.ndarray, counts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, subject, share) of each subject of a document."""
-        about, general = self.talk(ids, counts, size)
-        i, s = np.nonzero(self.assign(about, general))
-        return i, s, (about / np.maximum(about.sum(1, keepdims=True), 1e-9))[i, s].astype(float)
+        e, about = self.placed(ids, counts, size)
+        row = np.repeat(np.arange(len(size)), size)
+        general = np.bincount(row, counts * self.general[ids], minlength=len(size))
+        cos = np.maximum(_unit(e) @ lifted(self.centroids).T, 0)
+        share = cos / np.maximum(cos.sum(1, keepdims=True), 1e-9)
+        long = np.linalg.norm(e, axis=1)
+        clear = long / np.maximum(np.hypot(long, general), 1e-9) >= CLEAR  # the cosine of the document with its part that is about subjects
+        good = (cos > 0) & (share >= GOOD_SHARE) & (about >= MENTIONS - 1e-6) & clear[:, None]
+        i, s = np.nonzero(good)
+        return i, s, share[i, s].astype(float)
 
 
 def _count_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,9 +385,8 @@ def fit(docs: DataFrame, n_docs: int, terms: list[str], doc_freq: np.ndarray, ex
     placed = scratch.write(docs.mapInArrow(_placed(sc.broadcast(clean)), "e array<float>"))
     centroids = _refined(placed, centroids)
     scratch.drop(placed)
-    affinity = _affinity(docs, about, clean, centroids)
-    general = (likeness > _GENERAL) & ~affinity.any(1)
-    return Model(terms, subjects, affinity, general)
+    speaks = _affinity(docs, about, clean, centroids).any(1)
+    return Model(subjects, centroids.astype(np.float32), about * speaks[:, None], (likeness > _GENERAL) & ~speaks)
 
 
 def _seeds(known: Vocabulary, about: np.ndarray, subjects: list[str], examples: list[tuple[str, str]]) -> np.ndarray:
@@ -393,10 +408,12 @@ def _refined(placed: DataFrame, centroids: np.ndarray) -> np.ndarray:
     return centroids
 
 
-def subjects_of(df: DataFrame, key: Column, text: Column, examples: DataFrame, example_text: Column, example_subject: Column) -> DataFrame:
-    """(key, subject STRING, share DOUBLE): the subjects of each document, with their share of its subject talk.
+def subjects_of(
+    df: DataFrame, key: Column, text: Column, examples: DataFrame, example_text: Column, example_subject: Column, examples_most: int = EXAMPLES_MOST
+) -> DataFrame:
+    """(key, subject STRING, share DOUBLE): the subjects of each document, with their share of its positive cosines.
 
-    ``examples`` are labelled pieces of text, few enough for the driver; those with a null text or subject say nothing.
+    ``examples`` are labelled pieces of text, of which ``examples_most`` are used at most; those with a null text or subject say nothing.
     A document may have several subjects or none; null, empty and wordless texts have none. Texts are read whole.
     Rows are not merged: repeated keys give repeated rows, null keys stay. With no examples or no documents the result
     is empty. Columns beyond those passed play no part, whatever their names.
@@ -406,7 +423,8 @@ def subjects_of(df: DataFrame, key: Column, text: Column, examples: DataFrame, e
     rows = df.select(key.alias("key"), text.cast("string").alias("text")).where(F.length("text") > 0)
     kind = rows.schema["key"].dataType.simpleString()
     result = f"key {kind}, subject string, share double"
-    labelled = [(r["t"], r["s"]) for r in examples.select(example_text.alias("t"), example_subject.alias("s")).dropna().collect()]
+    labelled = examples.select(example_text.alias("t"), example_subject.alias("s")).dropna().orderBy(F.xxhash64("t"), "t", "s").limit(examples_most)
+    labelled = [(r["t"], r["s"]) for r in labelled.collect()]
     counted = scratch.write(rows.mapInArrow(_count_terms, f"key {kind}, terms array<string>, counts array<int>"))
     n_docs = counted.count()
     if not labelled:
