@@ -14,7 +14,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from .errors import FatalError
 
@@ -80,6 +80,12 @@ class Scratch:
         back._kinmark_scratch = self  # keeps the id unique while the frame lives
         return back
 
+    def measured(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """As ``write``, with aggregates over the rows that are taken while they are written: no job of their own."""
+        seen = Observation()
+        back = self.write(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]))
+        return back, seen.get
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes superseded tables; they must not be read again."""
         for t in tables:

@@ -37,6 +37,12 @@ def test_nothing_is_left(spark):
     s = scratch.Scratch(spark, "left")
     a, b = s.write(spark.range(5)), s.write(spark.range(6))
     assert (a.count(), b.count()) == (5, 6)
+    from pyspark.sql import functions as F
+
+    c, seen = s.measured(spark.range(7).where("id > 3"), n=F.count("*"), most=F.max("id"))
+    assert c.count() == 3 and seen == {"n": 3, "most": 6}
+    d, seen = s.measured(spark.range(7).where("id > 30"), n=F.count("*"))
+    assert d.isEmpty() and seen == {"n": 0}
     s.drop(a)
     with pytest.raises(Exception):
         spark.read.parquet(f"{s.root}/1").count()
