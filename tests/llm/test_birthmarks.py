@@ -314,7 +314,8 @@ def test_terms_of_every_type(spark, tmp_path):
 
 
 # 6 ------------------------------------------------------------------------------------------------------------------
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10**6, 7])
+def test_components(spark, hot):
     r = random.Random(6)
     links = [(f"k{r.randrange(80)}", f"k{r.randrange(80)}") for _ in range(60)]
     links += [(f"c{i:03}", f"c{i + 1:03}") for i in range(120)] + [("hub", f"h{i}") for i in range(60)] + [(None, "x"), ("x", None), ("self", "self"), ("", "é"), ("b", "a"), ("a", "b")]
@@ -332,6 +333,6 @@ def test_components(spark):
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
     want = {(k, find(k)) for k in up}
-    got = components.connected_groups(df, F.col("a"), F.col("b"))
+    got = components.connected_groups(df, F.col("a"), F.col("b"), hot)
     assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
     assert components.connected_groups(df.limit(0), F.col("a"), F.col("b")).count() == 0
