@@ -160,3 +160,71 @@ def _least_end(plus: list[np.ndarray], minus: list[np.ndarray], m: np.ndarray, n
     end = column + np.abs(left - row)
     end[row[None, :] > m[:, None]] = np.iinfo(kind).max
     return np.minimum(end.min(1).astype(np.int64), j + np.abs(m - (n - j)))
+
+
+def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs of strings at once, as ``edit_distances`` works."""
+    a, b = zip(*[(x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b)]) if len(a) else ((), ())
+    n = np.array([len(x) for x in b], np.int64)
+    blocks = np.array([len(x) for x in a], np.int64) // 64
+    out = np.zeros(len(a), np.int64)
+    order = np.lexsort((n, blocks))
+    for lo in range(0, len(order), _PASS):
+        part = order[lo : lo + _PASS]
+        most = int(blocks[part[-1]]) + 1
+        x, y = [a[i] for i in part], [b[i] for i in part]
+        plain = len(part) * (_PLAIN + _PLAIN_BLOCK * most) < 2 * most * (_STEP + _PAIR * len(part)) / 3  # a step has fewer parts than one of distances
+        found = None if plain else _lcs_pass(x, y)
+        out[part] = [lcs_length(p, q) for p, q in zip(x, y)] if found is None else found
+    return out
+
+
+def _lcs_pass(a: list[str], b: list[str]) -> np.ndarray | None:
+    """Nothing where there are too many kinds of characters for a table."""
+    m, n = (np.array([len(x) for x in t], np.int64) for t in (a, b))
+    x, y = _padded(a, m), _padded(b, n)
+    seen = np.zeros(max(int(x.max(initial=0)), int(y.max(initial=0))) + 2, bool)
+    seen[x + 1], seen[y + 1] = True, True
+    kinds = np.flatnonzero(seen)
+    if len(kinds) > _KINDS_MOST:
+        return None
+    number = np.zeros(len(seen), np.int64)
+    number[kinds] = np.arange(len(kinds))
+    y = np.where(y < 0, len(kinds), number[y + 1])  # padding meets an empty mask, which changes nothing
+    x = number[x + 1]
+    rows, one = np.arange(len(a)), np.uint64(1)
+    blocks = max(1, -(-int(m.max(initial=0)) // 64))
+    where = np.zeros((blocks, len(kinds) + 1, len(a)), np.uint64)
+    for i in range(x.shape[1]):
+        live = i < m
+        where[i // 64, x[live, i], rows[live]] |= one << np.uint64(i % 64)
+    v = [np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF)) for _ in range(blocks)]
+    for j in range(y.shape[1]):
+        carry = np.zeros(len(a), np.uint64)
+        c = y[:, j]
+        for k in range(blocks):
+            u = v[k] & where[k, c, rows]
+            s = v[k] + u
+            over = s < u
+            t = s + carry
+            carry = (over | (t < s)).astype(np.uint64)
+            v[k] = t | (v[k] - u)
+    zeros = np.zeros(len(a), np.int64)
+    for k in range(blocks):
+        zeros += 64 - np.bitwise_count(v[k])
+    return zeros
+
+
+def as_texts(a: Sequence, b: Sequence) -> tuple[list[str], list[str]]:
+    """Sequences of codes as strings of characters that are equal where codes are; None and nan match nothing.
+
+    Only equality between a sequence of ``a`` and one of ``b`` is kept, which is all that distances ask for.
+    """
+    flat = [x for part in (a, b) for s in part for x in s]
+    number: dict = {}
+    for x in flat:
+        if x is not None and x == x:
+            number.setdefault(x, 2 + len(number))
+    char = [chr(0x100 + i if i < 0xD600 else 0x2100 + i) for i in range(2 + len(number))]  # surrogates are left out
+    side = lambda part, none: ["".join([char[number[x] if x is not None and x == x else none] for x in s]) for s in part]
+    return side(a, 0), side(b, 1)

@@ -2,40 +2,64 @@
 
 What a comparator needs of a record is worked out once per record, before pairing: codes that are equal where elements
 match, characters where a sequence is made of opcodes only, or counted whole elements. Pairs then cost one built-in
-expression (Simpson, Jaccard, Dice, Levenshtein on characters), one equality join on elements (Cosine), or a
-bit-parallel Arrow function (LCS, Levenshtein on anything else).
+expression (Simpson, Jaccard, Dice), a bit-parallel Arrow function that takes a thousand pairs together (LCS, Levenshtein), or, for Cosine,
+a sparse matrix product per cell of two blocks of records.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import FatalError, raise_all
 from ..functions import elements as E
-from ..functions.sequences import edit_distance, lcs_length
+from ..functions.sequences import as_texts, edit_distances, lcs_lengths
 from ..schema import CTYPES
 from ..scratch import Scratch
-from .pairs import all_pairs
+from .pairs import all_pairs, cell_rows
+
+
+def _texts(a: pd.Series, b: pd.Series) -> tuple[list[str], list[str]]:
+    if len(a) and isinstance(a.iloc[0], str):
+        return a.tolist(), b.tolist()
+    return as_texts(a.tolist(), b.tolist())
 
 
 @F.pandas_udf(T.LongType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(_plain(x), _plain(y)) for x, y in zip(a, b)], dtype="int64")
+    return pd.Series(lcs_lengths(*_texts(a, b)))
 
 
 @F.pandas_udf(T.LongType())
 def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(_plain(x), _plain(y)) for x, y in zip(a, b)], dtype="int64")
-
-
-def _plain(x):
-    """Codes as a list in which elements that match nothing are None."""
-    if isinstance(x, str):
-        return x
-    return [None if v is None or v != v else v for v in x.tolist()] if hasattr(x, "tolist") else list(x)
+    return pd.Series(edit_distances(*_texts(a, b)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosines of counted codes; nothing for two without a code in common."""
+    rows, codes, counts = [], [], []
+    flat = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a.tolist(), b.tolist())]
+    _, number = np.unique(np.concatenate(flat), return_inverse=True)
+    kinds = int(number.max(initial=0)) + 1
+    for side, part in ((a, number[: len(flat[0])]), (b, number[len(flat[0]) :])):
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        key, k = np.unique(row * kinds + part, return_counts=True)
+        rows.append(key // kinds)
+        codes.append(key)
+        counts.append(k.astype(float))
+    _, x, y = np.intersect1d(*codes, assume_unique=True, return_indices=True)
+    dot = np.bincount(rows[0][x], counts[0][x] * counts[1][y], minlength=len(a))
+    norm = [np.sqrt(np.bincount(r, k * k, minlength=len(a))) for r, k in zip(rows, counts)]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return pd.Series(dot / (norm[0] * norm[1]))
 
 
 def encoded(birthmarks: DataFrame, order: str = "bm_ord") -> DataFrame:
@@ -80,31 +104,116 @@ def _scored(pairs: DataFrame, ctype: str) -> DataFrame:
         other = other.withColumn("d", _lcs(*[F.col(f"{x}.codes").cast("array<string>") for x in "ab"]))
         score = F.try_divide(F.col("d").cast("double"), longer)
     else:
-        plain = plain.withColumn("d", F.levenshtein("a.txt", "b.txt").cast("long"))
+        plain = plain.withColumn("d", _edits(F.col("a.txt"), F.col("b.txt")))
         other = other.withColumn("d", _edits(*[F.col(f"{x}.codes").cast("array<string>") for x in "ab"]))
         score = F.lit(1.0) - F.try_divide(F.col("d").cast("double"), longer)
     return plain.unionByName(other).withColumn("score", scaffold(n, m, score)).drop("d")
 
 
-def _vectors(birthmarks: DataFrame, order: str) -> DataFrame:
-    """(ord, code, k): how often each whole element stands in a record."""
-    each = birthmarks.select(F.col(order).alias("ord"), F.explode("elements").alias("e"))
-    return each.select("ord", E.whole_code(F.col("e")).alias("code")).groupBy("ord", "code").agg(F.count("*").alias("k"))
-
-
-def cosines(pairs: DataFrame, birthmarks: DataFrame, order: str) -> DataFrame:
-    """(a_ord, b_ord, score) of listed pairs (a_ord, b_ord, n, m); elements that only one side has add nothing."""
-    vectors = _vectors(birthmarks, order)
-    norms = vectors.groupBy("ord").agg(F.sqrt(F.sum(F.col("k") * F.col("k")).cast("double")).alias("norm"))
-    a = vectors.select(F.col("ord").alias("a_ord"), "code", F.col("k").alias("ka"))
-    b = vectors.select(F.col("ord").alias("b_ord"), "code", F.col("k").alias("kb"))
-    dots = pairs.select("a_ord", "b_ord").join(a, "a_ord").join(b, ["b_ord", "code"])
-    dots = dots.groupBy("a_ord", "b_ord").agg(F.sum(F.col("ka") * F.col("kb")).cast("double").alias("dot"))
-    scored = pairs.join(dots, ["a_ord", "b_ord"], "left")
-    for x in "ab":
-        scored = scored.join(norms.select(F.col("ord").alias(f"{x}_ord"), F.col("norm").alias(f"{x}_norm")), f"{x}_ord", "left")
-    score = F.try_divide(F.coalesce("dot", F.lit(0.0)), F.col("a_norm") * F.col("b_norm"))
-    return scored.withColumn("score", scaffold(F.col("n"), F.col("m"), score)).drop("dot", "a_norm", "b_norm")
+def _counted(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, count) of the distinct codes of each row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    kinds = int(ids.max(initial=0)) + 1
+    key, n = np.unique(row * kinds + ids, return_counts=True)
+    return key // kinds, key % kinds, n.astype(float)
+
+
+def _dots(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], shape: tuple[int, int], kinds: int) -> np.ndarray:
+    """Sparse products of two blocks of counted vectors: codes that many hold by dense products, the others pair by pair."""
+    out = np.zeros(shape)
+    held = [np.bincount(x[1], minlength=kinds) for x in (a, b)]
+    met = held[0] * held[1]
+    dense = np.flatnonzero(met > max(64, shape[0] * shape[1] // 256))
+    for lo in range(0, len(dense), 2048):
+        some = dense[lo : lo + 2048]
+        at = np.full(kinds, -1)
+        at[some] = np.arange(len(some))
+        m = []
+        for (r, c, n), rows in zip((a, b), shape):
+            k = at[c] >= 0
+            x = np.zeros((rows, len(some)))
+            x[r[k], at[c[k]]] = n[k]
+            m.append(x)
+        out += m[0] @ m[1].T
+    met[dense] = 0
+    parts = []
+    for r, c, n in (a, b):
+        k = met[c] > 0
+        order = np.argsort(c[k], kind="stable")
+        parts.append((r[k][order], c[k][order], n[k][order]))
+    (ra, ca, na), (rb, cb, nb) = parts
+    start = np.searchsorted(cb, ca)
+    many = np.searchsorted(cb, ca, side="right") - start
+    total = np.cumsum(many)
+    lo = 0
+    while lo < len(ra):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + (1 << 22), side="right")))
+        n = many[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        out += np.bincount(ra[i] * shape[1] + rb[j], na[i] * nb[j], minlength=out.size).reshape(shape)
+        lo = hi
+    return out
+
+
+def _cosine_cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of the pairs of each cell; the rows of a cell are neighbours, and there are two blocks of bounded size at most."""
+
+    def scored(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        place = pc.rank(t["ord"], tiebreaker="min").to_numpy()  # both sides of a diagonal cell are the same rows
+        right = t["right"].to_numpy()
+        codes = t["codes"].combine_chunks()
+        size = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        kinds, ids = np.unique(codes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        ends = np.cumsum(size)
+        sides, norms = [], []
+        for want in (False, True):
+            k = np.flatnonzero(right == want)
+            flat = np.concatenate([ids[ends[x] - size[x] : ends[x]] for x in k] or [np.zeros(0, np.int64)])
+            r, c, n = _counted(flat, size[k])
+            sides.append((k, (r, c, n)))
+            norms.append(np.sqrt(np.bincount(r, n * n, minlength=len(k))))
+        (ka, a), (kb, b) = sides
+        own = len(ka) and len(kb) and t["i"][0] == t["j"][0]
+        step = max(1, (1 << 20) // max(1, len(kb)))
+        dots = _dots(a, b, (len(ka), len(kb)), max(1, len(kinds)))
+        for lo in range(0, len(ka), step):
+            x, y = np.meshgrid(np.arange(lo, min(len(ka), lo + step)), np.arange(len(kb)), indexing="ij")
+            x, y = x.ravel(), y.ravel()
+            if own:
+                keep = place[ka[x]] < place[kb[y]]
+                x, y = x[keep], y[keep]
+            p, q = ka[x], kb[y]
+            n, m = size[p], size[q]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = np.where((n == 0) & (m == 0), 1.0, np.where((n == 0) | (m == 0), 0.0, dots[x, y] / (norms[0][x] * norms[1][y])))
+            turn = place[p] > place[q]
+            p, q = pa.array(np.where(turn, q, p)), pa.array(np.where(turn, p, q))
+            cols = [t[k].take(s).combine_chunks() for k, s in (("ord", p), ("ord", q), ("info", p), ("info", q))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=["a_ord", "b_ord", "a_info", "b_info", "score"])
+
+    held: list[pa.RecordBatch] = []
+    cell = None
+    for batch in it:
+        keys = batch.column("i").to_numpy().astype(np.int64) * (1 << 31) + batch.column("j").to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if hi == lo:
+                continue
+            if keys[lo] != cell and held:
+                yield from scored(held)
+                held = []
+            cell = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from scored(held)
+
+
+def _all_cosines(rows: DataFrame, blocks: int | None) -> DataFrame:
+    kinds = dict(rows.dtypes)
+    cells = cell_rows(rows, "ord", blocks).select("i", "j", "right", "row.*").sortWithinPartitions("i", "j")
+    return cells.mapInArrow(_cosine_cells, f"a_ord {kinds['ord']}, b_ord {kinds['ord']}, a_info {kinds['info']}, b_info {kinds['info']}, score double")
 
 
 def _assembled(rows: DataFrame, ctype: str) -> DataFrame:
@@ -123,30 +232,32 @@ def similarities(birthmarks: DataFrame, ctype: str, order: str = "bm_ord", block
     if ctype not in CTYPES:
         raise FatalError(f"unknown comparator: {ctype}")
     rows = encoded(birthmarks, order)
-    wanted = {"Cosine": [], "LCS": ["codes", "txt"], "Levenshtein": ["codes", "txt"]}.get(ctype, ["codes"])
+    wanted = {"Cosine": ["codes"], "LCS": ["codes", "txt"], "Levenshtein": ["codes", "txt"]}.get(ctype, ["codes"])
+    if ctype == "Cosine":
+        rows = _whole(birthmarks, order)
     rows = Scratch(birthmarks.sparkSession, "compare").write(rows.select("ord", "info", "n", *wanted))  # both sides read it
     if ctype == "Cosine":
-        light = all_pairs(rows.select("ord", "info", "n"), "ord", blocks)
-        pairs = light.select(
-            F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.col("a.info").alias("a_info"),
-            F.col("b.info").alias("b_info"), F.col("a.n").alias("n"), F.col("b.n").alias("m"),
-        )
-        return _assembled(cosines(pairs, birthmarks, order), ctype)
+        return _assembled(_all_cosines(rows.drop("n"), blocks), ctype)
     scored = _scored(all_pairs(rows, "ord", blocks), ctype)
     flat = scored.select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.col("a.info").alias("a_info"), F.col("b.info").alias("b_info"), "score")
     return _assembled(flat, ctype)
 
 
+def _whole(birthmarks: DataFrame, order: str) -> DataFrame:
+    """Records with codes of whole elements, which Cosine compares."""
+    elements = F.coalesce("elements", F.array().cast(birthmarks.schema["elements"].dataType))
+    codes = F.transform(elements, lambda e: E.whole_code(e))
+    return birthmarks.select(F.col(order).alias("ord"), "info", F.size(elements).alias("n"), codes.alias("codes"), F.lit(None).cast("string").alias("txt"))
+
+
 def listed(pairs: DataFrame, birthmarks: DataFrame, ctype: str, order: str = "bm_ord") -> DataFrame:
     """Scores of given pairs only: (a_ord, b_ord, score), one row per row of ``pairs`` (a_ord, b_ord)."""
-    rows = encoded(birthmarks, order)
-    if ctype == "Cosine":
-        sized = pairs.select("a_ord", "b_ord").distinct()
-        for x, n in (("a", "n"), ("b", "m")):
-            sized = sized.join(rows.select(F.col("ord").alias(f"{x}_ord"), F.col("n").alias(n)), f"{x}_ord")
-        return pairs.join(cosines(sized, birthmarks, order).select("a_ord", "b_ord", "score"), ["a_ord", "b_ord"])
+    rows = _whole(birthmarks, order) if ctype == "Cosine" else encoded(birthmarks, order)
     side = lambda x: rows.select(F.col("ord").alias(f"{x}_ord"), F.struct("n", "codes", "txt").alias(x))
     met = pairs.select("a_ord", "b_ord").join(side("a"), "a_ord").join(side("b"), "b_ord")
+    if ctype == "Cosine":
+        met = met.withColumn("score", scaffold(F.col("a.n"), F.col("b.n"), _cosine(F.col("a.codes"), F.col("b.codes"))))
+        return met.select("a_ord", "b_ord", "score")
     return _scored(met, ctype).select("a_ord", "b_ord", "score")
 
 

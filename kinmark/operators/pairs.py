@@ -15,16 +15,32 @@ BLOCK_ROWS, BLOCKS_LEAST = 2048, 8
 PARTITIONS_MOST = 10_000
 
 
-def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
-    """(a STRUCT, b STRUCT) of whole rows with ``a.order < b.order``; rows with a null order have no pairs."""
+def _blocks(df: DataFrame, order: str, blocks: int | None) -> tuple[DataFrame, int]:
     if blocks is None:
         blocks = max(BLOCKS_LEAST, -(-df.count() // BLOCK_ROWS))
-    rows = df.select(F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("own"), F.struct(*df.columns).alias("row"))
+    return df.select(F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int").alias("own"), F.struct(*df.columns).alias("row")), blocks
+
+
+def _partitions(blocks: int) -> int:
+    # the work of a cell is in its pairs and not in its bytes, so partitions are set by number
+    return min(PARTITIONS_MOST, blocks * (blocks + 1) // 2)
+
+
+def cell_rows(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
+    """(i, j, right, row): the rows of both blocks of every cell, in the partition of the cell; block i is left, block j right."""
+    rows, blocks = _blocks(df.where(F.col(order).isNotNull()), order, blocks)
+    left = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"), F.lit(False).alias("right"), "row")
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(True).alias("right"), "row")
+    return left.unionByName(right).repartition(_partitions(blocks), "i", "j")
+
+
+def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
+    """(a STRUCT, b STRUCT) of whole rows with ``a.order < b.order``; rows with a null order have no pairs."""
+    rows, blocks = _blocks(df, order, blocks)
     last = F.lit(blocks - 1)
     left = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), last)).alias("j"), F.col("row").alias("x"))
     right = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("row").alias("y"))
-    # the work of a cell is in its pairs and not in its bytes, so partitions are set by number
-    left = left.repartition(min(PARTITIONS_MOST, blocks * (blocks + 1) // 2), "i", "j")
+    left = left.repartition(_partitions(blocks), "i", "j")
     x, y = F.col("x")[order], F.col("y")[order]
     met = left.join(right, ["i", "j"]).where(((F.col("i") < F.col("j")) & (x != y)) | (x < y))
     return met.select(F.when(x < y, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(x < y, F.col("y")).otherwise(F.col("x")).alias("b"))

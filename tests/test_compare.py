@@ -132,3 +132,27 @@ def test_long_near_duplicates():
     assert edit_distances([a, a[:90]], [b, a[5:90]], [8000, 20]).tolist() == [want, 5]
     # a short and a long one: the bound of early leaving is looked at in columns beyond 16 bits
     assert edit_distances([a[:70]], [a], [40_000]).tolist() == [40_000 - 70]
+
+
+def test_many_pairs_at_once():
+    from kinmark.functions.sequences import _lcs_pass, as_texts, lcs_lengths
+
+    r = random.Random(3)
+    a = ["".join(r.choice("abcdé") for _ in range(r.choice([0, 1, 63, 64, 65, 130, 300]))) for _ in range(300)]
+    b = ["".join(r.choice("abcdé") for _ in range(r.choice([0, 1, 64, 65, 200]))) for _ in range(300)]
+    assert lcs_lengths(a, b).tolist() == _lcs_pass(a, b).tolist() == [lcs_length(x, y) for x, y in zip(a, b)]
+    assert edit_distances(a, b).tolist() == [edit_distance(x, y) for x, y in zip(a, b)]
+    assert lcs_lengths([], []).tolist() == [] and lcs_lengths(["a" * 5000], ["ba" * 5000]).tolist() == [5000]
+    x, y = as_texts([["p", None, "q", float("nan")]], [["p", None, "r", float("nan")]])
+    assert [p == q for p, q in zip(x[0], y[0])] == [True, False, False, False]
+    limits = [3] * len(a)
+    assert all((d <= 3) == (edit_distance(p, q, 3) <= 3) == (edit_distance(p, q) <= 3) for d, p, q in zip(edit_distances(a, b, limits), a, b))
+
+
+def test_dots_of_hot_and_rare_codes():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [r.integers(0, 3, (40, 300)) * (r.random((40, 300)) < np.linspace(0.01, 1, 300)) for _ in range(2)]
+    sides = [(*np.nonzero(m), m[np.nonzero(m)].astype(float)) for m in rows]
+    assert (C._dots(*sides, (40, 40), 300) == rows[0] @ rows[1].T).all()
