@@ -10,10 +10,27 @@ from pyspark.sql import SparkSession
 
 from . import errors as X
 from .operators.compare import compare
-from .schema import BTYPES, CTYPES, MODES, from_kebab, kebab
+from .schema import BTYPES, CTYPES, K_GRAMS, MODES, from_kebab, kebab
 from .sources import files
 
 
+_GRAMS = ("one", "two", "three", "four", "five", "six", "seven", "eight")
+ABOUT = {
+    "Sfc": "the functions called, in the order of the calls",
+    "Ffc": "the functions called, and how often each",
+    "OpFreq": "how often each opcode occurs",
+    "OpSet": "which opcodes occur",
+    "OpSeq": "the opcodes in program order",
+    **{k: f"every window of {n} neighbouring opcode{'s' if n != 'one' else ''}" for k, n in zip(K_GRAMS, _GRAMS)},
+    "Simpson": "matching places over the length of the shorter birthmark",
+    "Jaccard": "matching places over all places of both",
+    "Dice": "twice the matching places over both lengths together",
+    "Cosine": "angle between the counts of whole elements",
+    "LCS": "longest common subsequence over the longer length",
+    "Levenshtein": "one less the edit distance over the longer length",
+}
+
+
 def _choice(domain: tuple[str, ...]):
     def convert(text: str) -> str:
         value = from_kebab(text, domain)
@@ -39,13 +56,16 @@ def parser() -> argparse.ArgumentParser:
     def dest(c: argparse.ArgumentParser) -> None:
         c.add_argument("-d", "--dest", default=files.STDOUT, help="output file (- is standard output)")
 
+    def table(c: argparse.ArgumentParser) -> None:
+        c.add_argument("-f", "--format", choices=["document", "parquet", "json", "orc"], default="document", help="one JSON document, or a table of many files (document)")
+
     e = sub.add_parser("extract", help="extract birthmarks from files")
     source(e), dest(e)
     c = sub.add_parser("compare", help="compare birthmarks of JSON files")
-    algorithm(c), dest(c)
+    algorithm(c), dest(c), table(c)
     c.add_argument("birthmarks", nargs="*", help="birthmark files")
     r = sub.add_parser("run", help="extract and compare in one go")
-    source(r), algorithm(r), dest(r)
+    source(r), algorithm(r), dest(r), table(r)
     x = sub.add_parser("execute", help="execute a script (not there yet)")
     x.add_argument("script", nargs="?", default="-")
     sub.add_parser("info", help="list birthmark types and comparators")
@@ -53,8 +73,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def info_text() -> str:
-    rows = ["Birthmark types:"] + [f"  {kebab(b):<12} {b}" for b in BTYPES] + ["Comparators:"] + [f"  {kebab(c):<12} {c}" for c in CTYPES]
-    return "\n".join(rows)
+    width = max(len(kebab(x)) for x in (*BTYPES, *CTYPES))
+    line = lambda x: f"  {kebab(x):<{width}}  {x}: {ABOUT[x]}"
+    return "\n".join(["Birthmark types:", *map(line, BTYPES), "Comparators:", *map(line, CTYPES)])
 
 
 def perform(args: argparse.Namespace, spark: SparkSession | None = None) -> None:
@@ -78,7 +99,13 @@ def perform(args: argparse.Namespace, spark: SparkSession | None = None) -> None
         raise X.FatalError("At least two birthmarks are required for comparison")
     birthmarks = birthmarks.persist()  # a self-join reads it twice
     try:
-        files.write_similarities(compare(birthmarks, args.comparator), args.dest)
+        found = compare(birthmarks, args.comparator)
+        if args.format == "document":
+            files.write_similarities(found, args.dest)
+        elif args.dest == files.STDOUT:
+            raise X.FatalError("A table needs a destination")
+        else:
+            files.write_table(found, args.dest, args.format)
     finally:
         birthmarks.unpersist()
 

@@ -242,3 +242,39 @@ for _c in CTYPES:
             + f""" SELECT sim_id, a_ord, b_ord, round(CASE WHEN n = 0 AND m = 0 THEN 1.0 WHEN n = 0 OR m = 0 THEN 0.0 ELSE {_SCORES[_c]} END, 9) AS score
                 FROM wanted JOIN scored ON a = a_ord AND b = b_ord"""
         )
+
+# files -------------------------------------------------------------------------------------------------------------
+SQL["s_files"] = """SELECT * FROM (VALUES
+    ('sum', 'sum one.ll', 'OpSeq', 'Function', 2, 'Add|Ret', 0),
+    ('swap', 'swap.ll', 'OpSeq', 'Function', 5, 'Load|Load|Store|Store|Ret', 1),
+    ('both', 'swap.ll', 'OpSeq', 'Function', 4, 'Call|Call|Br|Ret', 2),
+    ('sum', 'sum one.ll', 'OpSeq', 'Function', 2, 'Add|Ret', 3)) t(name, path, btype, mode, n, elements, nth)"""
+SQL["s_from_text"] = "SELECT '<str>' AS name, '<str>' AS path, 'Sfc' AS btype, 'File' AS mode, 2 AS n, 'swap|check' AS elements"
+_OPSEQS = f"""WITH recs AS (SELECT bm_id, any_value(info) AS info, any_value(elements) AS es FROM birthmarks
+    WHERE {_KEY} = 'opseq' AND info.mode = '{{mode}}' AND elements IS NOT NULL GROUP BY bm_id)"""
+SQL["s_birthmark_file"] = (
+    _OPSEQS.format(mode="Function")
+    + f""" SELECT info.name AS name, info.path AS path, 'OpSeq' AS btype, info.mode AS mode, len(es) AS n,
+        coalesce(array_to_string(list_transform(es, lambda e: {_TEXT}), '|'), '') AS elements FROM recs WHERE info.name IS NOT NULL AND info.path IS NOT NULL"""
+)
+SQL["s_similarity_file"] = (
+    _OPSEQS.format(mode="File")
+    + """, parts AS (SELECT bm_id, i, CASE e.kind WHEN 'Str' THEN 'S' || e.s WHEN 'Int' THEN 'I' || e.i END AS m
+            FROM (SELECT bm_id, unnest(es) AS e, generate_subscripts(es, 1) AS i FROM recs)),
+        zs AS (SELECT x.bm_id AS a, y.bm_id AS b, count(*) AS z FROM parts x JOIN parts y ON x.bm_id < y.bm_id AND x.i = y.i AND x.m = y.m GROUP BY 1, 2)
+        SELECT 'OpSeq' AS btype, a.info.name AS a_name, a.info.path AS a_path, 'OpSeq' AS a_btype, a.info.mode AS a_mode,
+            b.info.name AS b_name, b.info.path AS b_path, 'OpSeq' AS b_btype, b.info.mode AS b_mode, 'Dice' AS ctype,
+            CAST(round(CASE WHEN len(a.es) + len(b.es) = 0 THEN 1 ELSE 2.0 * coalesce(z, 0) / (len(a.es) + len(b.es)) END, 9) AS DOUBLE) AS score, true AS untimed
+        FROM recs a JOIN recs b ON a.bm_id < b.bm_id LEFT JOIN zs ON zs.a = a.bm_id AND zs.b = b.bm_id"""
+)
+SQL["k_commands"] = """SELECT command, name, other, CAST(score AS DOUBLE) AS score, 0 AS failed FROM (VALUES ('compare'), ('run')) c(command),
+    (VALUES ('sum', 'swap', 0.5), ('sum', 'both', 0.0), ('swap', 'both', 0.0)) t(name, other, score)"""
+SQL["x_errors"] = """SELECT * FROM (VALUES
+    ('a missing file', 'NotFound', 1), ('a folder', 'NotFile', 1), ('no extension', 'NoExtension', 1), ('another extension', 'UnsupportedFormat', 1),
+    ('a module that is cut off', 'FormatError', 1), ('two wrong paths', 'ErrorArray', 2), ('a file and an empty one', 'none', 0),
+    ('text that is no module', 'FormatError', 1), ('a birthmark of no known mode', 'JsonError', 1), ('birthmarks that are not there', 'IoError', 1),
+    ('types that differ', 'FatalError', 1), ('one birthmark only', 'FatalError', 1), ('no known comparator', 'FatalError', 1),
+    ('a script', 'NotImplementedYet', 1)) t(request, error, errors)"""
+SQL["f_comparable"] = f"""{_ALL} SELECT info.path AS path, count(*) AS records, count(DISTINCT struct_pack(b := info.btype, m := info.mode)) AS kinds,
+    count(*) > 1 AND count(DISTINCT struct_pack(b := info.btype, m := info.mode)) = 1 AS comparable
+    FROM recs WHERE es IS NOT NULL AND info.path IS NOT NULL GROUP BY info.path"""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors as X
@@ -17,11 +19,40 @@ from . import bitcode, ir_text, records
 STDOUT = "-"
 
 
+def _remote(path: str) -> bool:
+    """Whether a path names its file system; others are on this machine."""
+    return re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:/", path) is not None
+
+
+def _file_system(path: str):
+    """(file system, path) of the cluster's Java side."""
+    spark = SparkSession.getActiveSession()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _exists(path: str) -> bool:
+    if _remote(path):
+        system, where = _file_system(path)
+        return system.exists(where)
+    return os.path.exists(path)
+
+
+def _is_folder(path: str) -> bool:
+    if _remote(path):
+        system, where = _file_system(path)
+        return system.getFileStatus(where).isDirectory()
+    return os.path.isdir(path)
+
+
 def source_type(path: str) -> str:
-    """``ir`` or ``bc``, by the extension; raises for anything that can't be a module."""
-    if not os.path.exists(path):
+    """``ir`` or ``bc``, by the extension; raises for anything that can't be a module.
+
+    A path may name any file system that the session can read (``hdfs://``, ``file:/``); one that names none is on this machine.
+    """
+    if not _exists(path):
         raise X.NotFound(path)
-    if os.path.isdir(path):
+    if _is_folder(path):
         raise X.NotFile(path)
     extension = os.path.splitext(path)[1]
     if not extension:
@@ -44,7 +75,17 @@ def _checked(paths: Sequence[str]) -> dict[str, str]:
 
 
 def _uri(path: str) -> str:
-    return "file://" + os.path.abspath(path)
+    """The path as sources name it: with its file system, without repeated slashes."""
+    if not _remote(path):
+        return "file://" + os.path.abspath(path)
+    system, where = _file_system(path)
+    return re.sub("^file:/*", "file:///", system.makeQualified(where).toString())
+
+
+def _name() -> Column:
+    """The path of a row's file, as ``_uri`` has it."""
+    name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "file:///")
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # a plus sign in a path is one
 
 
 def read_modules(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -54,12 +95,11 @@ def read_modules(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     parts = []
     ir = sorted({_uri(p) for p, k in kinds.items() if k == "ir"})
     bc = sorted({_uri(p) for p, k in kinds.items() if k == "bc"})
-    name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "file:///")
     if ir:
-        text = spark.read.text(ir, wholetext=True).select(F.url_decode(name).alias("uri"), F.col("value").alias("content"))
+        text = spark.read.text(ir, wholetext=True).select(_name().alias("uri"), F.col("value").alias("content"))
         parts.append(ir_text.parse(text).select("uri", "functions", "error"))
     if bc:
-        binary = spark.read.format("binaryFile").load(bc).select(F.url_decode(name).alias("uri"), "content")
+        binary = spark.read.format("binaryFile").load(bc).select(_name().alias("uri"), "content")
         parts.append(bitcode.parse(binary))
     parsed = parts[0] if parts else spark.createDataFrame([], f"uri string, functions {FUNCTIONS.simpleString()}, error string")
     for p in parts[1:]:
@@ -75,7 +115,7 @@ def read_modules(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def raise_format_errors(modules: DataFrame) -> None:
     """Fails as a whole if any module could not be parsed."""
-    bad = modules.where(F.col("error").isNotNull()).select("src_idx", "path", "error").orderBy("src_idx").collect()
+    bad = modules.where(F.col("error").isNotNull()).select("src_idx", "path", "error").orderBy("src_idx").collect()  # of files that an argument names
     X.raise_all(X.FormatError(f"Failed to parse {'BC' if r['path'].endswith('.bc') else 'IR'} file: {r['path']}: {r['error']}") for r in bad)
 
 
@@ -97,12 +137,11 @@ def from_str(spark: SparkSession, text: str, btype: str, mode: str) -> DataFrame
 
 def load(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(bm_ord, info, elements) of birthmark JSON files, in argument order; any failure fails all."""
-    missing = [X.IoError(p) for p in paths if not os.path.isfile(p)]
+    missing = [X.IoError(p) for p in paths if not _exists(p) or _is_folder(p)]
     X.raise_all(missing)
     listed = spark.createDataFrame([(i, p, _uri(p)) for i, p in enumerate(paths)], "src_idx int, path string, uri string")
     text = spark.read.text(sorted({_uri(p) for p in paths}), wholetext=True)
-    uri = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "file:///"))
-    docs = records.parse_json(text.select(uri.alias("uri"), F.col("value").alias("content")))
+    docs = records.parse_json(text.select(_name().alias("uri"), F.col("value").alias("content")))
     docs = listed.join(docs, "uri", "left")
     error = F.when(F.col("birthmarks").isNull(), F.coalesce("error", F.lit("no content")))  # no bytes, no row
     bad = docs.select("path", error.alias("error")).where(F.col("error").isNotNull()).collect()
@@ -125,6 +164,18 @@ def _write(text: Iterable[str], dest: str) -> None:
         for x in lines():
             print(x, end="")
         return
+    if _remote(dest):
+        try:
+            system, where = _file_system(dest)
+            out = system.create(where, True)
+            try:
+                for x in lines():
+                    out.write(bytearray(x, "utf-8"))
+            finally:
+                out.close()
+        except Py4JError as e:
+            raise X.IoError(str(e)) from e
+        return
     try:
         with open(dest, "w", encoding="utf-8") as f:
             f.writelines(lines())

@@ -105,3 +105,33 @@ def test_entry_point(spark):
     import __spark_entry__ as E
 
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_paths_that_name_their_file_system(spark, tmp_path):
+    for name in ("a+b c%20.ll", "é.ll"):
+        (tmp_path / name).write_text(ir.HALVE)
+    paths = [f"file:{tmp_path}/a+b c%20.ll", f"file://{tmp_path}/é.ll", str(tmp_path / "a+b c%20.ll")]
+    got = files.from_paths(spark, paths, "OpSeq", "Function").orderBy("bm_ord").select("info.path", F.size("elements").alias("n")).collect()
+    assert [tuple(r) for r in got] == [(p, 4) for p in paths]
+    with pytest.raises(X.NotFound):
+        files.source_type(f"file:{tmp_path}/none.ll")
+    assert run(spark, "extract", "-d", f"file:{tmp_path}/out.json", paths[0]) == 0
+    assert files.load(spark, [f"file:{tmp_path}/out.json"]).count() == 1
+
+
+def test_a_table_as_the_way_out(spark, folder):
+    out = folder / "table"
+    assert run(spark, "run", "-f", "parquet", "-d", out, folder / "a.ll", folder / "b b.ll") == 0 and spark.read.parquet(str(out)).count() == 1
+    assert run(spark, "run", "-f", "parquet", folder / "a.ll", folder / "b b.ll") == 1
+
+
+@pytest.mark.parametrize("name", ["s_files", "s_from_text", "k_commands", "x_errors"])
+def test_queries_on_files(spark, name):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    df = E.queries()[name](spark, "nowhere")
+    want = duckdb.sql(E.oracle_sql()[name])
+    order = [want.columns.index(c) for c in df.columns]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
