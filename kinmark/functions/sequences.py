@@ -53,10 +53,10 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], limit: int | Non
     return score
 
 
-#: Pairs that one vectorised pass handles; kinds of values beyond which a pass is left to the plain functions.
-_PASS, _KINDS_MOST = 1024, 1024
+#: Pairs that one vectorised pass handles, with limits and without; kinds of values beyond which a pass is left to the plain functions.
+_PASS, _PASS_ALL, _KINDS_MOST = 1024, 512, 1024
 #: Costs in microseconds of a column: of a numpy step and of each pair in it, per block of 64 rows; of the plain function, and of each block in it.
-_STEP, _PAIR, _PLAIN, _PLAIN_BLOCK = 20.0, 0.05, 1.35, 0.01
+_STEP, _PAIR, _PLAIN, _PLAIN_BLOCK = 20.0, 0.03, 1.35, 0.01
 #: Columns between two looks at whether a pair can still end within its limit.
 _LOOK = 24
 
@@ -72,8 +72,9 @@ def edit_distances(a: Sequence[str], b: Sequence[str], limit: np.ndarray | None
     blocks = np.array([len(x) for x in a], np.int64) // 64
     out = np.zeros(len(a), np.int64)
     order = np.lexsort((n, blocks))
-    for lo in range(0, len(order), _PASS):
-        part = order[lo : lo + _PASS]
+    size = _PASS_ALL if limit is None else _PASS
+    for lo in range(0, len(order), size):
+        part = order[lo : lo + size]
         most = int(blocks[part[-1]]) + 1
         if len(part) * (_PLAIN + _PLAIN_BLOCK * most) < most * (_STEP + _PAIR * len(part)):  # few pairs or long ones
             out[part] = [edit_distance(a[i], b[i], None if limit is None else int(limit[i])) for i in part]
@@ -113,20 +114,23 @@ def _edit_pass(a: list[str], b: list[str], limit: np.ndarray | None) -> np.ndarr
     plus, minus = [np.full(len(a), full) for _ in range(blocks)], [np.zeros(len(a), np.uint64) for _ in range(blocks)]
     last, bit = (m - 1) // 64, ((m - 1) % 64).astype(np.uint64)
     score, out, lengths = m.copy(), np.where(n == 0, m, 0), (m, n)
-    ids = rows
+    ids, columns = rows, np.ascontiguousarray(y.T)
+    flat, ending = where.reshape(blocks, -1), [np.flatnonzero(last == k) for k in range(blocks)]
     for j in range(y.shape[1]):
         up, down = np.ones(len(rows), np.uint64), np.zeros(len(rows), np.uint64)  # the step into the first row is +1
-        c = y[:, j]
+        place = columns[j] * len(rows) + rows
         for k in range(blocks):
             p, q = plus[k], minus[k]
-            eq = where[k, c, rows]
+            eq = flat[k].take(place)
             xv = eq | q
             eq |= down
             xh = ((eq & p) + p ^ p) | eq
             ph, mh = q | ~(xh | p), p & xh
-            ends = last == k
-            if ends.any():
-                score += np.where(ends, (ph >> bit & one).astype(np.int64) - (mh >> bit & one).astype(np.int64), 0)
+            e = ending[k]
+            if len(e) == len(rows):
+                score += (ph >> bit & one).view(np.int64) - (mh >> bit & one).view(np.int64)
+            elif len(e):
+                score[e] += (ph[e] >> bit[e] & one).view(np.int64) - (mh[e] >> bit[e] & one).view(np.int64)
             up_next, down_next = ph >> top, mh >> top
             ph, mh = ph << one | up, mh << one | down
             plus[k], minus[k] = mh | ~(xv | ph), ph & xv
@@ -141,8 +145,10 @@ def _edit_pass(a: list[str], b: list[str], limit: np.ndarray | None) -> np.ndarr
             if not keep.any():
                 break
             if keep.sum() < 0.75 * len(keep):
-                ids, m, n, y, limit = ids[keep], m[keep], n[keep], y[keep], limit[keep]
-                last, bit, score, where = last[keep], bit[keep], score[keep], where[:, :, keep]
+                ids, m, n, limit = ids[keep], m[keep], n[keep], limit[keep]
+                last, bit, score, where = last[keep], bit[keep], score[keep], np.ascontiguousarray(where[:, :, keep])
+                columns, flat = np.ascontiguousarray(columns[:, keep]), where.reshape(blocks, -1)
+                ending = [np.flatnonzero(last == k) for k in range(blocks)]
                 plus, minus = [p[keep] for p in plus], [q[keep] for q in minus]
                 rows = np.arange(len(ids))
     out[lengths[0] == 0] = lengths[1][lengths[0] == 0]
@@ -169,8 +175,8 @@ def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
     blocks = np.array([len(x) for x in a], np.int64) // 64
     out = np.zeros(len(a), np.int64)
     order = np.lexsort((n, blocks))
-    for lo in range(0, len(order), _PASS):
-        part = order[lo : lo + _PASS]
+    for lo in range(0, len(order), _PASS_ALL):
+        part = order[lo : lo + _PASS_ALL]
         most = int(blocks[part[-1]]) + 1
         x, y = [a[i] for i in part], [b[i] for i in part]
         plain = len(part) * (_PLAIN + _PLAIN_BLOCK * most) < 2 * most * (_STEP + _PAIR * len(part)) / 3  # a step has fewer parts than one of distances
@@ -199,11 +205,12 @@ def _lcs_pass(a: list[str], b: list[str]) -> np.ndarray | None:
         live = i < m
         where[i // 64, x[live, i], rows[live]] |= one << np.uint64(i % 64)
     v = [np.full(len(a), np.uint64(0xFFFFFFFFFFFFFFFF)) for _ in range(blocks)]
+    columns, flat = np.ascontiguousarray(y.T), where.reshape(blocks, -1)
     for j in range(y.shape[1]):
         carry = np.zeros(len(a), np.uint64)
-        c = y[:, j]
+        place = columns[j] * len(a) + rows
         for k in range(blocks):
-            u = v[k] & where[k, c, rows]
+            u = v[k] & flat[k].take(place)
             s = v[k] + u
             over = s < u
             t = s + carry
