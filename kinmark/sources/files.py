@@ -26,7 +26,7 @@ def _remote(path: str) -> bool:
 
 def _file_system(path: str):
     """(file system, path) of the cluster's Java side."""
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # threads without one of their own
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
