@@ -26,7 +26,8 @@ MODULES = {
 
 
 def _folder(spark: SparkSession) -> str:
-    return Scratch(spark, "files").root
+    """A new folder by its full name: one that names no file system would be taken for a place on the driver's machine."""
+    return files.qualified(Scratch(spark, "files").root)
 
 
 def _put(path: str, text: str) -> str:

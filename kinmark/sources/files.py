@@ -31,6 +31,12 @@ def _file_system(path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def qualified(path: str) -> str:
+    """The path with its file system, which is the session's default one where it names none."""
+    system, where = _file_system(path)
+    return system.makeQualified(where).toString()
+
+
 def _exists(path: str) -> bool:
     if _remote(path):
         system, where = _file_system(path)
@@ -78,8 +84,7 @@ def _uri(path: str) -> str:
     """The path as sources name it: with its file system, without repeated slashes."""
     if not _remote(path):
         return "file://" + os.path.abspath(path)
-    system, where = _file_system(path)
-    return re.sub("^file:/*", "file:///", system.makeQualified(where).toString())
+    return re.sub("^file:/*", "file:///", qualified(path))
 
 
 def _name() -> Column:

@@ -135,3 +135,25 @@ def test_queries_on_files(spark, name):
     want = duckdb.sql(E.oracle_sql()[name])
     order = [want.columns.index(c) for c in df.columns]
     assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
+
+
+@pytest.fixture()
+def bare_folder(monkeypatch, tmp_path):
+    """A shared folder that names no file system and is not there yet."""
+    monkeypatch.setattr("kinmark.scratch.shared_folder", lambda spark: f"{tmp_path}/not/there")
+
+
+@pytest.mark.parametrize("name", ["s_birthmark_file", "s_files", "k_commands"])
+def test_queries_on_files_in_a_bare_folder(spark, bare_folder, name):
+    import duckdb
+
+    import __spark_entry__ as E
+
+    at = "/root/testdata/sf0.001"
+    df = E.queries()[name](spark, at)
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW birthmarks AS SELECT * FROM '{at}/birthmarks.parquet'")
+    want = sql.sql(E.oracle_sql()[name])
+    order = [want.columns.index(c) for c in df.columns]
+    got = df.collect()
+    assert got and sorted(map(str, map(tuple, got))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
