@@ -143,7 +143,7 @@ def bare_folder(monkeypatch, tmp_path):
     monkeypatch.setattr("kinmark.scratch.shared_folder", lambda spark: f"{tmp_path}/not/there")
 
 
-@pytest.mark.parametrize("name", ["s_birthmark_file", "s_files", "k_commands"])
+@pytest.mark.parametrize("name", ["s_birthmark_file", "s_similarity_file", "s_files", "k_commands"])
 def test_queries_on_files_in_a_bare_folder(spark, bare_folder, name):
     import duckdb
 
