@@ -56,8 +56,12 @@ def whole_code(e: Column) -> Column:
     )
 
 
+def opcode_char(e: Column) -> Column:
+    """The character of an opcode; null for other elements."""
+    return F.when(e["kind"] == "Str", lookup(e["s"], {o: chr(FIRST_CHAR + i) for i, o in enumerate(OPCODES)}))
+
+
 def opcode_text(elements: Column) -> Column:
     """One character per element, if all of them are opcodes; else null."""
-    table = {o: chr(FIRST_CHAR + i) for i, o in enumerate(OPCODES)}
-    chars = F.transform(elements, lambda e: F.when(e["kind"] == "Str", lookup(e["s"], table)))
+    chars = F.transform(elements, opcode_char)
     return F.when(~F.exists(chars, lambda c: c.isNull()), F.array_join(chars, ""))

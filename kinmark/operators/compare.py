@@ -1,14 +1,15 @@
 """Similarity of birthmarks: six comparators, on all pairs or on listed ones.
 
 What a comparator needs of a record is worked out once per record, before pairing: codes that are equal where elements
-match, characters where a sequence is made of opcodes only, or counted whole elements. Pairs then cost one built-in
-expression (Simpson, Jaccard, Dice), a bit-parallel Arrow function that takes a thousand pairs together (LCS, Levenshtein), or, for Cosine,
-a sparse matrix product per cell of two blocks of records.
+match, characters where a sequence is made of opcodes only, or counted whole elements. All pairs meet as two blocks of records in a cell, and a
+cell is one matrix: of places that match (Simpson, Jaccard, Dice), of bit-parallel walks (LCS, Levenshtein) or a sparse product (Cosine). Listed
+pairs cost one built-in expression or an Arrow function that takes a thousand of them together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,11 @@ from pyspark.sql import types as T
 
 from ..errors import FatalError, raise_all
 from ..functions import elements as E
+from ..functions import grids
 from ..functions.sequences import as_texts, edit_distances, lcs_lengths
 from ..schema import CTYPES
 from ..scratch import Scratch
-from .pairs import all_pairs, cell_rows
+from .pairs import cell_rows
 
 
 def _texts(a: pd.Series, b: pd.Series) -> tuple[list[str], list[str]]:
@@ -63,8 +65,8 @@ def _cosine(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def encoded(birthmarks: DataFrame, order: str = "bm_ord") -> DataFrame:
-    """(ord, info, n, codes, txt): codes as strings of digits keep all 64 bits on their way through Arrow."""
-    codes = F.transform("elements", lambda e: E.match_code(e))
+    """(ord, info, n, codes, txt): an opcode's code is its character; codes as strings of digits keep all 64 bits on their way through pandas."""
+    codes = F.transform("elements", lambda e: F.coalesce(F.ascii(E.opcode_char(e)).cast("long"), E.match_code(e)))
     elements = F.coalesce("elements", F.array().cast(birthmarks.schema["elements"].dataType))
     rows = birthmarks.withColumn("elements", elements)
     return rows.select(F.col(order).alias("ord"), "info", F.size("elements").alias("n"), codes.alias("codes"), E.opcode_text(F.col("elements")).alias("txt"))
@@ -156,64 +158,159 @@ def _dots(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], shape: tuple[int
     return out
 
 
-def _cosine_cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements of all rows as numbers that are equal where codes are, -1 for null; sizes; elements that there are in all)."""
+    codes, txt = t["codes"].combine_chunks(), t["txt"].combine_chunks()
+    size = pc.fill_null(pc.list_value_length(codes), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = codes.flatten()
+    mute = flat.is_null().to_numpy(zero_copy_only=False)
+    ids = np.asarray(pc.fill_null(flat, 0).to_numpy(zero_copy_only=False), np.int64)
+    if txt.null_count < len(txt):
+        texts = [x or "" for x in txt.to_pylist()]
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+        length = np.array([len(x) for x in texts], np.int64)
+        told = np.repeat(length > 0, size + length)  # a row has either characters or codes
+        every, nothing = np.zeros(len(told), np.int64), np.zeros(len(told), bool)
+        every[told], every[~told], nothing[~told] = chars, ids, mute
+        ids, mute, size = every, nothing, size + length
+    low = int(ids.min(initial=0))
+    if low >= 0 and int(ids.max(initial=0)) < 1 << 16:  # a table instead of a sort
+        seen = np.bincount(ids[~mute], minlength=1) > 0
+        number, kinds = (np.cumsum(seen) - 1)[ids], int(seen.sum())
+    else:
+        held, number = np.unique(ids, return_inverse=True)
+        kinds = len(held)
+    return np.where(mute, -1, number), size, kinds
+
+
+def _of_rows(ids: np.ndarray, size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    n = size[rows]
+    return ids[np.repeat((np.cumsum(size) - size)[rows] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
+def _cosines(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, kinds: int) -> np.ndarray:
+    x, y = _counted(a, n), _counted(b, m)
+    norms = [np.sqrt(np.bincount(r, k * k, minlength=len(s))) for (r, _, k), s in ((x, n), (y, m))]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return _dots(x, y, (len(n), len(m)), max(1, kinds)) / (norms[0][:, None] * norms[1][None, :])
+
+
+def _raw_scores(ctype: str, z: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Scores of rows of sizes n with columns of sizes m; z is what the comparator found for them."""
+    n, m = n.astype(float)[:, None], m.astype(float)[None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        if ctype == "Simpson":
+            score = z / np.minimum(n, m)
+        elif ctype == "Jaccard":
+            score = z / (n + m - z)
+        elif ctype == "Dice":
+            score = 2.0 * z / (n + m)
+        elif ctype == "LCS":
+            score = z / np.maximum(n, m)
+        elif ctype == "Levenshtein":
+            score = 1.0 - z / np.maximum(n, m)
+        else:
+            score = z
+    return np.where((n == 0) & (m == 0), 1.0, np.where((n == 0) | (m == 0), 0.0, score))
+
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As SQL rounds the decimal digits of a number: half up, away from zero."""
+    scale = 10.0**digits
+    y = np.abs(x) * scale
+    whole = np.floor(y)
+    out = np.copysign((whole + (y - whole > 0.5)) / scale, x)
+    step = Decimal(1).scaleb(-digits)
+    for i in np.flatnonzero((np.abs(y - whole - 0.5) < 1e-5) | (y > 1e12)):  # close to the middle, or without such digits
+        if np.isfinite(x.flat[i]):
+            out.flat[i] = float(Decimal(repr(float(x.flat[i]))).quantize(step, ROUND_HALF_UP))
+    return np.where(np.isfinite(x), out, x)
+
+
+#: Pairs of a batch that leaves a cell: of numbers only, and with the infos.
+_BATCH, _BATCH_INFOS = 1 << 18, 1 << 14
+
+
+def _scored_cells(ctype: str, infos: bool, digits: int | None):
     """Scores of the pairs of each cell; the rows of a cell are neighbours, and there are two blocks of bounded size at most."""
+    kernel = {"Cosine": None, "LCS": grids.lcs, "Levenshtein": grids.edits}.get(ctype, grids.matches)
 
     def scored(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).combine_chunks()
-        place = pc.rank(t["ord"], tiebreaker="min").to_numpy()  # both sides of a diagonal cell are the same rows
         right = t["right"].to_numpy()
-        codes = t["codes"].combine_chunks()
-        size = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        kinds, ids = np.unique(codes.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        ends = np.cumsum(size)
-        sides, norms = [], []
-        for want in (False, True):
-            k = np.flatnonzero(right == want)
-            flat = np.concatenate([ids[ends[x] - size[x] : ends[x]] for x in k] or [np.zeros(0, np.int64)])
-            r, c, n = _counted(flat, size[k])
-            sides.append((k, (r, c, n)))
-            norms.append(np.sqrt(np.bincount(r, n * n, minlength=len(k))))
-        (ka, a), (kb, b) = sides
-        own = len(ka) and len(kb) and t["i"][0] == t["j"][0]
-        step = max(1, (1 << 20) // max(1, len(kb)))
-        dots = _dots(a, b, (len(ka), len(kb)), max(1, len(kinds)))
+        ids, size, kinds = _numbered(t)
+        n = t["n"].to_numpy().astype(np.int64)
+        ka, kb = np.flatnonzero(~right), np.flatnonzero(right)
+        if not len(ka) or not len(kb):
+            return
+        own = t["i"][0] == t["j"][0]
+        a, b = _of_rows(ids, size, ka), _of_rows(ids, size, kb)
+        found = _cosines(a, size[ka], b, size[kb], kinds) if kernel is None else kernel(a, size[ka], b, size[kb])
+        if ctype == "Levenshtein":  # rows that match nothing come without their elements
+            found = np.where((size[ka] < n[ka])[:, None] | (size[kb] < n[kb])[None, :], np.maximum(n[ka][:, None], n[kb][None, :]), found)
+        numbers = pa.types.is_integer(t.schema.field("ord").type)
+        # both sides of a diagonal cell are the same rows
+        place = t["ord"].to_numpy() if numbers else pc.rank(t["ord"], tiebreaker="min").to_numpy()
+        step = max(1, (_BATCH_INFOS if infos else _BATCH) // len(kb))
         for lo in range(0, len(ka), step):
-            x, y = np.meshgrid(np.arange(lo, min(len(ka), lo + step)), np.arange(len(kb)), indexing="ij")
-            x, y = x.ravel(), y.ravel()
-            if own:
-                keep = place[ka[x]] < place[kb[y]]
-                x, y = x[keep], y[keep]
-            p, q = ka[x], kb[y]
-            n, m = size[p], size[q]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = np.where((n == 0) & (m == 0), 1.0, np.where((n == 0) | (m == 0), 0.0, dots[x, y] / (norms[0][x] * norms[1][y])))
-            turn = place[p] > place[q]
-            p, q = pa.array(np.where(turn, q, p)), pa.array(np.where(turn, p, q))
-            cols = [t[k].take(s).combine_chunks() for k, s in (("ord", p), ("ord", q), ("info", p), ("info", q))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=["a_ord", "b_ord", "a_info", "b_info", "score"])
-
-    held: list[pa.RecordBatch] = []
-    cell = None
-    for batch in it:
-        keys = batch.column("i").to_numpy().astype(np.int64) * (1 << 31) + batch.column("j").to_numpy()
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            if hi == lo:
+            p = ka[lo : lo + step]
+            score = _raw_scores(ctype, found[lo : lo + step], n[p], n[kb])
+            x, y = place[p][:, None], place[kb][None, :]
+            keep = x < y if own else x != y
+            if not keep.any():
                 continue
-            if keys[lo] != cell and held:
-                yield from scored(held)
-                held = []
-            cell = keys[lo]
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield from scored(held)
-
-
-def _all_cosines(rows: DataFrame, blocks: int | None) -> DataFrame:
+            score = score[keep]
+            if digits is not None:
+                score = rounded(score, digits)
+            if numbers and not infos:
+                cols = [np.minimum(x, y)[keep], np.maximum(x, y)[keep]]
+            else:
+                turn = x > y
+                ends = [pa.array(np.where(turn, kb[None, :], p[:, None])[keep]), pa.array(np.where(turn, p[:, None], kb[None, :])[keep])]
+                cols = [t[k].take(s).combine_chunks() for k in (("ord", "info") if infos else ("ord",)) for s in ends]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(score)], names=["a_ord", "b_ord", *(["a_info", "b_info"] if infos else []), "score"])
+
+    def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        cell = None
+        for batch in it:
+            keys = batch.column("i").to_numpy().astype(np.int64) * (1 << 31) + batch.column("j").to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi == lo:
+                    continue
+                if keys[lo] != cell and held:
+                    yield from scored(held)
+                    held = []
+                cell = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from scored(held)
+
+    return cells
+
+
+def _all_scored(birthmarks: DataFrame, ctype: str, order: str, blocks: int | None, infos: bool, digits: int | None) -> DataFrame:
+    if ctype not in CTYPES:
+        raise FatalError(f"unknown comparator: {ctype}")
+    rows = _whole(birthmarks, order) if ctype == "Cosine" else _compact(encoded(birthmarks, order))
+    rows = rows.select("ord", *(["info"] if infos else []), "n", "codes", "txt")
+    rows = Scratch(birthmarks.sparkSession, "compare").write(rows)  # both sides read it
     kinds = dict(rows.dtypes)
     cells = cell_rows(rows, "ord", blocks).select("i", "j", "right", "row.*").sortWithinPartitions("i", "j")
-    return cells.mapInArrow(_cosine_cells, f"a_ord {kinds['ord']}, b_ord {kinds['ord']}, a_info {kinds['info']}, b_info {kinds['info']}, score double")
+    told = f"a_ord {kinds['ord']}, b_ord {kinds['ord']}, " + (f"a_info {kinds['info']}, b_info {kinds['info']}, " if infos else "") + "score double"
+    return cells.mapInArrow(_scored_cells(ctype, infos, digits), told)
+
+
+def _compact(rows: DataFrame) -> DataFrame:
+    """Encoded rows with either characters or codes, and nothing for those that match nothing."""
+    plain = F.col("txt").isNotNull() | ~F.exists("codes", lambda c: c.isNotNull())
+    return rows.withColumn("codes", F.when(~plain, F.col("codes")))
+
+
+def scores(birthmarks: DataFrame, ctype: str, order: str = "bm_ord", blocks: int | None = None, digits: int | None = None) -> DataFrame:
+    """(a_ord, b_ord, score) of all pairs a < b of the records: ``similarities`` without what is known of the records themselves."""
+    return _all_scored(birthmarks, ctype, order, blocks, False, digits)
 
 
 def _assembled(rows: DataFrame, ctype: str) -> DataFrame:
@@ -229,18 +326,7 @@ def similarities(birthmarks: DataFrame, ctype: str, order: str = "bm_ord", block
     ``btype`` is that of a. ``elapsed_ms`` is null: a pair has no time of its own in a distributed plan. Null elements
     count as none. ``order`` is a unique number of the record.
     """
-    if ctype not in CTYPES:
-        raise FatalError(f"unknown comparator: {ctype}")
-    rows = encoded(birthmarks, order)
-    wanted = {"Cosine": ["codes"], "LCS": ["codes", "txt"], "Levenshtein": ["codes", "txt"]}.get(ctype, ["codes"])
-    if ctype == "Cosine":
-        rows = _whole(birthmarks, order)
-    rows = Scratch(birthmarks.sparkSession, "compare").write(rows.select("ord", "info", "n", *wanted))  # both sides read it
-    if ctype == "Cosine":
-        return _assembled(_all_cosines(rows.drop("n"), blocks), ctype)
-    scored = _scored(all_pairs(rows, "ord", blocks), ctype)
-    flat = scored.select(F.col("a.ord").alias("a_ord"), F.col("b.ord").alias("b_ord"), F.col("a.info").alias("a_info"), F.col("b.info").alias("b_info"), "score")
-    return _assembled(flat, ctype)
+    return _assembled(_all_scored(birthmarks, ctype, order, blocks, True, None), ctype)
 
 
 def _whole(birthmarks: DataFrame, order: str) -> DataFrame:

@@ -31,7 +31,9 @@ def cell_rows(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame
     rows, blocks = _blocks(df.where(F.col(order).isNotNull()), order, blocks)
     left = rows.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"), F.lit(False).alias("right"), "row")
     right = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(True).alias("right"), "row")
-    return left.unionByName(right).repartition(_partitions(blocks), "i", "j")
+    cell = F.col("i") * F.lit(blocks) - (F.col("i") * (F.col("i") + 1) / 2).cast("int") + F.col("j")  # numbers of the cells, row by row
+    many = _partitions(blocks)
+    return left.unionByName(right).repartitionById(many, F.pmod(cell, F.lit(many)).cast("int"))
 
 
 def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
@@ -42,5 +44,6 @@ def all_pairs(df: DataFrame, order: str, blocks: int | None = None) -> DataFrame
     right = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("row").alias("y"))
     left = left.repartition(_partitions(blocks), "i", "j")
     x, y = F.col("x")[order], F.col("y")[order]
-    met = left.join(right, ["i", "j"]).where(((F.col("i") < F.col("j")) & (x != y)) | (x < y))
+    # the copies are many times what the table's size promises, so no side may be broadcast
+    met = left.hint("shuffle_merge").join(right, ["i", "j"]).where(((F.col("i") < F.col("j")) & (x != y)) | (x < y))
     return met.select(F.when(x < y, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(x < y, F.col("y")).otherwise(F.col("x")).alias("b"))

@@ -109,8 +109,8 @@ def of_kind(spark: SparkSession, sf_dir: str, btype: str, mode: str) -> DataFram
 
 def _comparison(ctype: str, btype: str, mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        s = compare.similarities(of_kind(spark, sf_dir, btype, mode), ctype)
-        return s.select("a_ord", "b_ord", "ctype", F.round("score", 9).alias("score"))
+        s = compare.scores(of_kind(spark, sf_dir, btype, mode), ctype, digits=9)
+        return s.select("a_ord", "b_ord", F.lit(ctype).alias("ctype"), "score")
 
     return run
 
@@ -135,8 +135,8 @@ for _c, _b, _m in COMPARED:
 def c_run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From files to similarities in one plan: OpSeq birthmarks of all files, all pairs, by Jaccard."""
     b = extract.extract(modules(spark, sf_dir), "OpSeq", "File").select(F.col("info.path").alias("bm_ord"), "info", "elements")
-    s = compare.similarities(b, "Jaccard")
-    return s.select(F.col("a_ord").alias("a_path"), F.col("b_ord").alias("b_path"), F.round("score", 9).alias("score"))
+    s = compare.scores(b, "Jaccard", digits=9)
+    return s.select(F.col("a_ord").alias("a_path"), F.col("b_ord").alias("b_path"), "score")
 
 
 def _rescored(ctype: str):

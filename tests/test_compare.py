@@ -149,6 +149,42 @@ def test_many_pairs_at_once():
     assert all((d <= 3) == (edit_distance(p, q, 3) <= 3) == (edit_distance(p, q) <= 3) for d, p, q in zip(edit_distances(a, b, limits), a, b))
 
 
+def test_grids_equal_plain_functions(monkeypatch):
+    import numpy as np
+
+    from kinmark.functions import grids as G
+
+    r = random.Random(1)
+    flat = lambda x: (np.array([v for s in x for v in s], np.int64), np.array([len(s) for s in x], np.int64))
+    plain = lambda s: [v if v >= 0 else None for v in s]
+    for kinds, sizes in ((3, [0, 1, 5, 62, 63, 64, 65, 126, 127, 128, 129, 300]), (40, [0, 2, 10, 20]), (300, [5, 100, 200])):
+        a, b = ([[r.randrange(-1, kinds) for _ in range(r.choice(sizes))] for _ in range(k)] for k in (40, 30))
+        args = (*flat(a), *flat(b))
+        assert G.matches(*args).tolist() == [[sum(p == q and p >= 0 for p, q in zip(x, y)) for y in b] for x in a]
+        for most in (G._TABLE_MOST, 8 * 3 * (kinds + 1) * 2):  # the long ones have no room in a small table
+            with monkeypatch.context() as m:
+                m.setattr(G, "_TABLE_MOST", most)
+                assert G.lcs(*args).tolist() == [[lcs_length(plain(x), plain(y)) for y in b] for x in a]
+                assert G.edits(*args).tolist() == [[edit_distance(plain(x), plain(y)) for y in b] for x in a]
+
+
+def test_rounding_as_sql(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.random(2000), r.integers(0, 300, 2000) / r.integers(1, 300, 2000), np.arange(50) / 1e3 + 5e-10, [0.5, 1.0, 0.0, -0.1234567895, np.nan]])
+    want = [v["r"] for v in spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("round(x, 9) AS r").collect()]
+    assert all(p == q or (p != p and q != q) for p, q in zip(C.rounded(x, 9).tolist(), want))
+
+
+@pytest.mark.parametrize("ctype", ["Dice"])
+def test_no_pairs_by_broadcast(spark, ctype):
+    """The copies of the blocks are many times what their table's size promises."""
+    plans = [C.scores(table(spark, lists()), ctype)._jdf.queryExecution().executedPlan().toString()]
+    plans.append(all_pairs(spark.range(9).toDF("k"), "k")._jdf.queryExecution().executedPlan().toString())
+    assert all("Broadcast" not in p and "CartesianProduct" not in p for p in plans)
+
+
 def test_dots_of_hot_and_rare_codes():
     import numpy as np
 
