@@ -177,7 +177,7 @@ def test_rounding_as_sql(spark):
     assert all(p == q or (p != p and q != q) for p, q in zip(C.rounded(x, 9).tolist(), want))
 
 
-@pytest.mark.parametrize("ctype", ["Dice", "Jaccard"])
+@pytest.mark.parametrize("ctype", ["Dice", "Jaccard", "Simpson"])
 def test_no_pairs_by_broadcast(spark, ctype):
     """The copies of the blocks are many times what their table's size promises."""
     plans = [C.scores(table(spark, lists()), ctype)._jdf.queryExecution().executedPlan().toString()]
