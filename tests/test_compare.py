@@ -185,6 +185,15 @@ def test_no_pairs_by_broadcast(spark, ctype):
     assert all("Broadcast" not in p and "CartesianProduct" not in p for p in plans)
 
 
+@pytest.mark.parametrize("ctype", ["Levenshtein"])
+def test_scores_of_long_sequences(spark, ctype):
+    r = random.Random(8)
+    ls = [r.choices(["Load", "Store", "Call", "Ret", "other"], k=k) for k in (700, 3, 64, 400, 128)]
+    got = C.scores(table(spark, [[el("Str", x) for x in s] for s in ls]), ctype, digits=9).collect()
+    plain = {"LCS": lambda a, b: lcs_length(a, b) / max(len(a), len(b)), "Levenshtein": lambda a, b: 1 - edit_distance(a, b) / max(len(a), len(b))}[ctype]
+    assert {(x["a_ord"], x["b_ord"]): x["score"] for x in got} == {(i, j): round(plain(ls[i], ls[j]), 9) for i in range(5) for j in range(i + 1, 5)}
+
+
 def test_dots_of_hot_and_rare_codes():
     import numpy as np
 
