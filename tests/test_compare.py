@@ -185,7 +185,7 @@ def test_no_pairs_by_broadcast(spark, ctype):
     assert all("Broadcast" not in p and "CartesianProduct" not in p for p in plans)
 
 
-@pytest.mark.parametrize("ctype", ["Levenshtein"])
+@pytest.mark.parametrize("ctype", ["Levenshtein", "LCS"])
 def test_scores_of_long_sequences(spark, ctype):
     r = random.Random(8)
     ls = [r.choices(["Load", "Store", "Call", "Ret", "other"], k=k) for k in (700, 3, 64, 400, 128)]
