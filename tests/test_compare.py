@@ -194,6 +194,11 @@ def test_scores_of_long_sequences(spark, ctype):
     assert {(x["a_ord"], x["b_ord"]): x["score"] for x in got} == {(i, j): round(plain(ls[i], ls[j]), 9) for i in range(5) for j in range(i + 1, 5)}
 
 
+def test_scores_leave_without_infos(spark):
+    """What is known of the records is no part of the rows that a cell gives out."""
+    assert "info" not in C.scores(table(spark, lists()), "Cosine")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dots_of_hot_and_rare_codes():
     import numpy as np
 
