@@ -199,6 +199,11 @@ def test_scores_leave_without_infos(spark):
     assert "info" not in C.scores(table(spark, lists()), "Cosine")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_what_matches_nothing_does_not_travel(spark):
+    rows = C._compact(C.encoded(table(spark, [[el("Freq", (2, "Load"))] * 3, [el("Str", "Load")], [el("Str", "x")]]))).orderBy("ord").collect()
+    assert [(r["n"], r["codes"] is None, r["txt"] is None) for r in rows] == [(3, True, True), (1, True, False), (1, False, True)]
+
+
 def test_dots_of_hot_and_rare_codes():
     import numpy as np
 
