@@ -204,6 +204,15 @@ def test_what_matches_nothing_does_not_travel(spark):
     assert [(r["n"], r["codes"] is None, r["txt"] is None) for r in rows] == [(3, True, True), (1, True, False), (1, False, True)]
 
 
+def test_a_cell_is_a_partition(spark):
+    from kinmark.operators.pairs import cell_rows
+
+    rows = cell_rows(spark.range(200).toDF("k"), "k", 6)
+    cells = rows.select("i", "j").distinct().count()
+    parts = rows.rdd.mapPartitions(lambda it: [len({(r["i"], r["j"]) for r in it})]).collect()
+    assert cells == 21 and parts == [1] * 21
+
+
 def test_dots_of_hot_and_rare_codes():
     import numpy as np
 
