@@ -213,6 +213,15 @@ def test_a_cell_is_a_partition(spark):
     assert cells == 21 and parts == [1] * 21
 
 
+def test_scores_of_records_in_the_order_of_names(spark):
+    ls, names = [["Load", "Ret"], ["Load"], [], ["Call", "Ret"]], ["b", "B", "é", "a/"]
+    rows = [(n, (n, "p", "OpSeq", "File"), [el("Str", x) for x in s]) for n, s in zip(names, ls)]
+    got = C.scores(spark.createDataFrame(rows, BIRTHMARK.simpleString().replace("bigint", "string", 1)), "Jaccard", blocks=2, digits=9).collect()
+    size = dict(zip(names, ls))
+    assert len(got) == 6 and all(r["a_ord"] < r["b_ord"] for r in got)
+    assert all(r["score"] == round(brute("Jaccard", *[[el("Str", x) for x in size[r[k]]] for k in ("a_ord", "b_ord")]), 9) for r in got)
+
+
 def test_dots_of_hot_and_rare_codes():
     import numpy as np
 
