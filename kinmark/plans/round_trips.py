@@ -1,6 +1,6 @@
 """Queries that go through files: written to the shared folder, read back by what the command line uses.
 
-Documents are one file each, so they pass the driver line by line, as the command line has it; the folder of a query is deleted with its other tables.
+Documents are one file each, strung together of parts that tasks have written and read again in pieces; the folder of a query is deleted with its other tables.
 """
 
 from __future__ import annotations
@@ -84,8 +84,8 @@ def s_similarity_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{_folder(spark)}/similarities.json"
     files.write_similarities(compare.compare(rows, "Dice"), path)
     info = "struct<name string, path string, btype string, mode string>"
-    back = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<btype string, a_info {info}, b_info {info}, ctype string, score double, elapsed_ms double>>").alias("x"))
-    s = back.select(F.explode("x").alias("s")).select("s.*")
+    back = files.pieces(spark, path).select(F.from_json("content", f"struct<btype string, a_info {info}, b_info {info}, ctype string, score double, elapsed_ms double>").alias("s"))
+    s = back.select("s.*")
     fields = [F.col(f"{x}_info.{k}").alias(f"{x}_{k}") for x in "ab" for k in ("name", "path", "btype", "mode")]
     return s.select("btype", *fields, "ctype", F.round("score", 9).alias("score"), F.col("elapsed_ms").isNull().alias("untimed"))
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import errors as X
 from ..operators import extract as ops
 from ..schema import FUNCTIONS
+from ..scratch import Scratch
 from . import bitcode, ir_text, records
 
 STDOUT = "-"
@@ -140,19 +145,115 @@ def from_str(spark: SparkSession, text: str, btype: str, mode: str) -> DataFrame
     return ops.numbered(ops.extract(modules, btype, mode))
 
 
+#: What stands between two items of a document that ``_write`` has written, and at its ends; line ends within strings are escaped.
+_BETWEEN, _BEFORE, _AFTER = "\n  },\n", "[\n", "\n  }\n]\n"
+_ITEM = ',{"info":{"name":"","path":"","btype":"OpSeq","mode":"File"},"elements":[]}]'
+#: Bytes from which a document is read in pieces, if it has this layout: one value can neither hold nor parse any number of items.
+_WHOLE_MOST = 4 << 20
+
+
+def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, n = None, 0
+    for batch in it:
+        rows = []
+        for text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            n = n + 1 if at == block else 0
+            block = at
+            first, last = at + n == 0 and text.startswith(_BEFORE), text.endswith(_AFTER)
+            text = text[len(_BEFORE) if first else 0 : -len(_AFTER) if last else None]
+            rows.append((at + n, text + "\n  }", first, last))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.bool_(), pa.bool_()))] if rows else [pa.array([], k) for k in (pa.int64(), pa.string(), pa.bool_(), pa.bool_())], names=["pos", "content", "first", "last"])
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, content, first, last): the items of a written document at growing places, read in parallel."""
+    text = spark.read.option("lineSep", _BETWEEN).text(_uri(path)).select("value", F.col("_metadata.file_block_start").alias("at"))
+    return text.mapInArrow(_pieces, "pos long, content string, first boolean, last boolean")
+
+
+def _size(path: str) -> int:
+    system, where = _file_system(_uri(path))
+    return system.getFileStatus(where).getLen()
+
+
+def _in_pieces(spark: SparkSession, path: str) -> DataFrame | None:
+    """(pos, info, elements) of a large document; nothing if it has another layout or an error."""
+    # with an item behind it: what a piece ends before its end would be lost without an error
+    docs = records.parse_json(pieces(spark, path).withColumn("content", F.concat(F.lit("["), "content", F.lit(_ITEM))))
+    whole = F.coalesce(F.col("error").isNull() & (F.size("birthmarks") == 2), F.lit(False))
+    rows = docs.select("pos", "first", "last", whole.alias("whole"), F.col("birthmarks")[0].alias("b")).select("pos", "first", "last", "whole", "b.info", "b.elements")
+    table, seen = Scratch(spark, "documents").measured(
+        rows, bad=F.count_if(~F.col("whole")), firsts=F.count_if("first"), lasts=F.count_if("last"), end=F.max(F.when(F.col("last"), F.col("pos"))), top=F.max("pos")
+    )
+    fine = not seen["bad"] and seen["firsts"] == seen["lasts"] == 1 and seen["end"] == seen["top"]
+    return table.select("pos", "info", "elements") if fine else None
+
+
 def load(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(bm_ord, info, elements) of birthmark JSON files, in argument order; any failure fails all."""
     missing = [X.IoError(p) for p in paths if not _exists(p) or _is_folder(p)]
     X.raise_all(missing)
-    listed = spark.createDataFrame([(i, p, _uri(p)) for i, p in enumerate(paths)], "src_idx int, path string, uri string")
-    text = spark.read.text(sorted({_uri(p) for p in paths}), wholetext=True)
+    large = {p: _in_pieces(spark, p) for p in dict.fromkeys(paths) if _size(p) > _WHOLE_MOST}
+    parts = [_ordered(large[p].select(F.lit(i).alias("src_idx"), "*")) for i, p in enumerate(paths) if large.get(p) is not None]
+    rest = [(i, p, _uri(p)) for i, p in enumerate(paths) if large.get(p) is None]
+    if rest or not parts:
+        parts.append(_load_whole(spark, rest))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ordered(each: DataFrame) -> DataFrame:
+    return each.select((F.shiftleft(F.col("src_idx").cast("long"), 40) + F.col("pos")).alias("bm_ord"), "info", "elements")
+
+
+def _load_whole(spark: SparkSession, paths: Sequence[tuple[int, str, str]]) -> DataFrame:
+    listed = spark.createDataFrame(list(paths), "src_idx int, path string, uri string")
+    text = spark.read.text(sorted({u for _, _, u in paths}), wholetext=True)
     docs = records.parse_json(text.select(_name().alias("uri"), F.col("value").alias("content")))
     docs = listed.join(docs, "uri", "left")
     error = F.when(F.col("birthmarks").isNull(), F.coalesce("error", F.lit("no content")))  # no bytes, no row
     bad = docs.select("path", error.alias("error")).where(F.col("error").isNotNull()).collect()
     X.raise_all(X.JsonError(f"{r['path']}: {r['error']}") for r in bad)
-    each = docs.select("src_idx", F.posexplode("birthmarks").alias("pos", "b"))
-    return each.select((F.shiftleft(F.col("src_idx").cast("long"), 40) + F.col("pos")).alias("bm_ord"), "b.info", "b.elements")
+    return _ordered(docs.select("src_idx", F.posexplode("birthmarks").alias("pos", "b")).select("src_idx", "pos", "b.info", "b.elements"))
+
+
+def _laid_out(text: str) -> str:
+    return "\n".join("  " + x for x in json.dumps(json.loads(text), indent=2, ensure_ascii=False).split("\n"))
+
+
+@F.pandas_udf(T.StringType())
+def _item(texts: pd.Series) -> pd.Series:
+    return texts.map(_laid_out)
+
+
+def _write_rows(rows: DataFrame, dest: str) -> None:
+    """One JSON array from rows of items in their order, which tasks lay out and write; the driver only strings their files together."""
+    if not _remote(dest):
+        _write((r["t"] for r in rows.toLocalIterator()), dest)
+        return
+    spark = rows.sparkSession
+    folder = f"{qualified(Scratch(spark, 'parts').root)}/parts"
+    rows.select(_item("t").alias("t")).write.option("lineSep", ",\n").text(folder)
+    try:
+        system, where = _file_system(folder)
+        parts = sorted((f.getPath().toString(), f.getLen()) for f in system.listStatus(where) if f.getPath().getName().startswith("part-") and f.getLen())
+        copy = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge
+        target, at = _file_system(dest)
+        out = target.create(at, True)
+        try:
+            out.write(bytearray(b"[\n" if parts else b"[]\n"))
+            for i, (path, size) in enumerate(parts):
+                source = system.open(_file_system(path)[1])
+                try:
+                    copy(source, out, 0, size if i < len(parts) - 1 else size - 2)  # nothing follows the last item
+                finally:
+                    source.close()
+            if parts:
+                out.write(bytearray(b"\n]\n"))
+        finally:
+            out.close()
+        system.delete(where, True)
+    except Py4JError as e:
+        raise X.IoError(str(e)) from e
 
 
 def _write(text: Iterable[str], dest: str) -> None:
@@ -161,7 +262,7 @@ def _write(text: Iterable[str], dest: str) -> None:
         first = True
         yield "["
         for t in text:
-            yield ("\n" if first else ",\n") + "\n".join("  " + x for x in json.dumps(json.loads(t), indent=2, ensure_ascii=False).split("\n"))
+            yield ("\n" if first else ",\n") + _laid_out(t)
             first = False
         yield "]\n" if first else "\n]\n"
 
@@ -189,16 +290,16 @@ def _write(text: Iterable[str], dest: str) -> None:
 
 
 def write_birthmarks(birthmarks: DataFrame, dest: str) -> None:
-    """A pretty JSON array in record order; the document is one, so it is streamed through the driver."""
+    """A pretty JSON array in record order; on a named file system tasks write its parts, elsewhere it is streamed through the driver."""
     rows = birthmarks.orderBy("bm_ord").select(records.birthmark_json(F.col("info"), F.col("elements")).alias("t"))
-    _write((r["t"] for r in rows.toLocalIterator()), dest)
+    _write_rows(rows, dest)
 
 
 def write_similarities(similarities: DataFrame, dest: str) -> None:
     rows = similarities.orderBy("a_ord", "b_ord").select(
         F.to_json(F.struct("btype", "a_info", "b_info", "ctype", "score", "elapsed_ms"), {"ignoreNullFields": "false"}).alias("t")
     )
-    _write((r["t"] for r in rows.toLocalIterator()), dest)
+    _write_rows(rows, dest)
 
 
 def write_table(df: DataFrame, dest: str, fmt: str = "parquet") -> None:

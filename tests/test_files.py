@@ -157,3 +157,35 @@ def test_queries_on_files_in_a_bare_folder(spark, bare_folder, name):
     order = [want.columns.index(c) for c in df.columns]
     got = df.collect()
     assert got and sorted(map(str, map(tuple, got))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_large_documents_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "_WHOLE_MOST", 0)
+    info = lambda n: {"name": n, "path": "p", "btype": "OpSeq", "mode": "File"}
+    docs = [{"info": info(f'q"\n  }},\n{i}é'), "elements": ["Load", [3, "a"], [], "x\n]"][: i % 5]} for i in range(23)]
+    (tmp_path / "d.json").write_text(json.dumps(docs))  # another layout: as a whole
+    b = files.load(spark, [str(tmp_path / "d.json")])
+    files.write_birthmarks(b.repartition(4), f"file:{tmp_path}/new/out.json")
+    text = (tmp_path / "new" / "out.json").read_text()
+    files.write_birthmarks(b, str(tmp_path / "plain.json"))
+    assert json.loads(text) == docs and text == (tmp_path / "plain.json").read_text()
+    seen = []
+    monkeypatch.setattr(files, "_load_whole", lambda spark, paths: seen.append(paths))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        back = files.load(spark, [f"file:{tmp_path}/new/out.json", str(tmp_path / "plain.json")]).orderBy("bm_ord").collect()
+        assert files.pieces(spark, str(tmp_path / "plain.json")).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert not seen and [r["info"]["name"] for r in back] == [d["info"]["name"] for d in docs] * 2
+    assert [r["elements"] for r in back[:23]] == [r["elements"] for r in b.orderBy("bm_ord").collect()]
+    monkeypatch.undo()
+    monkeypatch.setattr(files, "_WHOLE_MOST", 0)
+    for i, bad in enumerate((text[:-9], text.replace('"OpSeq"', '"None"', 1), text.replace("[\n  {", "  {", 1))):
+        (tmp_path / f"bad{i}.json").write_text(bad)
+        with pytest.raises(X.JsonError):
+            files.load(spark, [str(tmp_path / f"bad{i}.json")])
+    (tmp_path / "twice.json").write_text(text + text)  # as when it is read as a whole
+    assert files.load(spark, [str(tmp_path / "twice.json")]).count() == len(docs)
+    files.write_birthmarks(b.limit(0), f"file:{tmp_path}/none.json")
+    assert json.loads((tmp_path / "none.json").read_text()) == []
