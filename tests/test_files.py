@@ -189,3 +189,13 @@ def test_large_documents_are_read_in_pieces(spark, tmp_path, monkeypatch):
     assert files.load(spark, [str(tmp_path / "twice.json")]).count() == len(docs)
     files.write_birthmarks(b.limit(0), f"file:{tmp_path}/none.json")
     assert json.loads((tmp_path / "none.json").read_text()) == []
+
+
+def test_similarities_are_read_in_pieces(spark, folder):
+    from kinmark.operators.compare import compare
+
+    b = files.from_paths(spark, [str(folder / "a.ll"), str(folder / "b b.ll")], "OpSeq", "BasicBlock")
+    files.write_similarities(compare(b, "Dice"), f"file:{folder}/s.json")
+    doc = json.loads((folder / "s.json").read_text())
+    items = files.pieces(spark, f"file:{folder}/s.json").orderBy("pos").collect()
+    assert len(doc) == b.count() * (b.count() - 1) // 2 > 1 and [json.loads(r["content"]) for r in items] == doc
