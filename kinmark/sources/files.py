@@ -7,6 +7,8 @@ import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from json.encoder import encode_basestring
+from math import isfinite
 
 import pandas as pd
 import pyarrow as pa
@@ -216,8 +218,23 @@ def _load_whole(spark: SparkSession, paths: Sequence[tuple[int, str, str]]) -> D
     return _ordered(docs.select("src_idx", F.posexplode("birthmarks").alias("pos", "b")).select("src_idx", "pos", "b.info", "b.elements"))
 
 
+_plain = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def _pretty(v: object, at: str) -> str:
+    """What ``json.dumps`` gives at an indent of 2, which it works out character by character."""
+    if isinstance(v, str):
+        return encode_basestring(v)
+    if not v or not isinstance(v, dict | list):
+        return repr(v) if type(v) is float and isfinite(v) else _plain(v)
+    inner = at + "  "
+    if isinstance(v, dict):
+        return "{" + ",".join([f"{inner}{encode_basestring(k)}: {_pretty(x, inner)}" for k, x in v.items()]) + at + "}"
+    return "[" + ",".join([inner + _pretty(x, inner) for x in v]) + at + "]"
+
+
 def _laid_out(text: str) -> str:
-    return "\n".join("  " + x for x in json.dumps(json.loads(text), indent=2, ensure_ascii=False).split("\n"))
+    return "  " + _pretty(json.loads(text), "\n  ")
 
 
 @F.pandas_udf(T.StringType())
@@ -226,7 +243,10 @@ def _item(texts: pd.Series) -> pd.Series:
 
 
 def _write_rows(rows: DataFrame, dest: str) -> None:
-    """One JSON array from rows of items in their order, which tasks lay out and write; the driver only strings their files together."""
+    """One JSON array from rows of items in their order, which tasks lay out and write; the driver only strings their files together.
+
+    A file is deleted when the document has it, so no item but those of one file is on disk twice.
+    """
     if not _remote(dest):
         _write((r["t"] for r in rows.toLocalIterator()), dest)
         return
@@ -236,17 +256,19 @@ def _write_rows(rows: DataFrame, dest: str) -> None:
     try:
         system, where = _file_system(folder)
         parts = sorted((f.getPath().toString(), f.getLen()) for f in system.listStatus(where) if f.getPath().getName().startswith("part-") and f.getLen())
-        copy = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge
+        copy, room = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.byte, 1 << 20)
         target, at = _file_system(dest)
         out = target.create(at, True)
         try:
             out.write(bytearray(b"[\n" if parts else b"[]\n"))
             for i, (path, size) in enumerate(parts):
-                source = system.open(_file_system(path)[1])
+                part = _file_system(path)[1]
+                source = system.open(part)
                 try:
-                    copy(source, out, 0, size if i < len(parts) - 1 else size - 2)  # nothing follows the last item
+                    copy(source, out, 0, size if i < len(parts) - 1 else size - 2, room)  # nothing follows the last item
                 finally:
                     source.close()
+                system.delete(part, False)
             if parts:
                 out.write(bytearray(b"\n]\n"))
         finally:

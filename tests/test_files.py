@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,27 @@ def test_similarities_are_read_in_pieces(spark, folder):
     doc = json.loads((folder / "s.json").read_text())
     items = files.pieces(spark, f"file:{folder}/s.json").orderBy("pos").collect()
     assert len(doc) == b.count() * (b.count() - 1) // 2 > 1 and [json.loads(r["content"]) for r in items] == doc
+
+
+def test_parts_of_a_document_are_deleted_one_by_one(spark, folder, monkeypatch):
+    """The document and its parts are not on disk together as a whole."""
+    seen = []
+    real = files._file_system
+
+    def watched(path):
+        if "/part-" in path:
+            seen.append(len([n for n in os.listdir(os.path.dirname(path.removeprefix("file:"))) if n.startswith("part-")]))
+        return real(path)
+
+    monkeypatch.setattr(files, "_file_system", watched)
+    b = files.from_paths(spark, [str(folder / "a.ll"), str(folder / "b b.ll")], "OpSeq", "BasicBlock").repartition(4)
+    rows = b.select(F.to_json("info").alias("t")).repartition(3)
+    files._write_rows(rows, f"file:{folder}/parts.json")
+    assert len(seen) > 1 and seen == list(range(seen[0], seen[0] - len(seen), -1))
+    assert len(json.loads((folder / "parts.json").read_text())) == b.count()
+
+
+def test_layout_is_that_of_json():
+    texts = ['{"a":[],"b":{},"c":[1,"x",[2,"é\\u0001\\"\\\\"],null,true,1.5e-7,-0.0,1e300,NaN,-Infinity]}', "[]", "{}", '"x"', "3", '{"l\\n":"a\\nb\\u2028","k":[["a"],{"z":false}]}']
+    for t in texts:
+        assert files._laid_out(t) == "\n".join("  " + x for x in json.dumps(json.loads(t), indent=2, ensure_ascii=False).split("\n"))
