@@ -229,6 +229,17 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
 
 #: Pairs of a batch that leaves a cell: of numbers only, and with the infos.
 _BATCH, _BATCH_INFOS = 1 << 18, 1 << 14
+#: Rows of a cell that a comparator works on at once, at least; of a block with itself.
+_SLAB, _SLAB_OWN = 256, 64
+
+
+def _slabs(rows: int, step: int, own: bool) -> Iterator[tuple[int, int, int]]:
+    """(begin, end, first column) of the rows that are compared at once, so that a slab is written while the next one is worked on."""
+    many = max(_SLAB, step)
+    if own:
+        many = max(_SLAB_OWN, min(many, -(-rows // 8)))
+    for lo in range(0, rows, many):
+        yield lo, min(rows, lo + many), lo if own else 0
 
 
 def _scored_cells(ctype: str, infos: bool, digits: int | None):
@@ -240,35 +251,39 @@ def _scored_cells(ctype: str, infos: bool, digits: int | None):
         right = t["right"].to_numpy()
         ids, size, kinds = _numbered(t)
         n = t["n"].to_numpy().astype(np.int64)
-        ka, kb = np.flatnonzero(~right), np.flatnonzero(right)
-        if not len(ka) or not len(kb):
-            return
-        own = t["i"][0] == t["j"][0]
-        a, b = _of_rows(ids, size, ka), _of_rows(ids, size, kb)
-        found = _cosines(a, size[ka], b, size[kb], kinds) if kernel is None else kernel(a, size[ka], b, size[kb])
-        if ctype == "Levenshtein":  # rows that match nothing come without their elements
-            found = np.where((size[ka] < n[ka])[:, None] | (size[kb] < n[kb])[None, :], np.maximum(n[ka][:, None], n[kb][None, :]), found)
         numbers = pa.types.is_integer(t.schema.field("ord").type)
         # both sides of a diagonal cell are the same rows
         place = t["ord"].to_numpy() if numbers else pc.rank(t["ord"], tiebreaker="min").to_numpy()
+        ka, kb = (k[np.lexsort((place[k], -size[k]))] for k in (np.flatnonzero(~right), np.flatnonzero(right)))
+        if not len(ka) or not len(kb):
+            return
+        own = t["i"][0] == t["j"][0]
         step = max(1, (_BATCH_INFOS if infos else _BATCH) // len(kb))
-        for lo in range(0, len(ka), step):
-            p = ka[lo : lo + step]
-            score = _raw_scores(ctype, found[lo : lo + step], n[p], n[kb])
-            x, y = place[p][:, None], place[kb][None, :]
-            keep = x < y if own else x != y
-            if not keep.any():
-                continue
-            score = score[keep]
-            if digits is not None:
-                score = rounded(score, digits)
-            if numbers and not infos:
-                cols = [np.minimum(x, y)[keep], np.maximum(x, y)[keep]]
-            else:
-                turn = x > y
-                ends = [pa.array(np.where(turn, kb[None, :], p[:, None])[keep]), pa.array(np.where(turn, p[:, None], kb[None, :])[keep])]
-                cols = [t[k].take(s).combine_chunks() for k in (("ord", "info") if infos else ("ord",)) for s in ends]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(score)], names=["a_ord", "b_ord", *(["a_info", "b_info"] if infos else []), "score"])
+        for at, end, first in _slabs(len(ka), step, bool(own)):
+            slab, cols = ka[at:end], kb[first:]  # with itself, a block needs what comes after only
+            a, b = _of_rows(ids, size, slab), _of_rows(ids, size, cols)
+            found = _cosines(a, size[slab], b, size[cols], kinds) if kernel is None else kernel(a, size[slab], b, size[cols])
+            if ctype == "Levenshtein":  # rows that match nothing come without their elements
+                found = np.where((size[slab] < n[slab])[:, None] | (size[cols] < n[cols])[None, :], np.maximum(n[slab][:, None], n[cols][None, :]), found)
+            for lo in range(0, len(slab), step):
+                p = slab[lo : lo + step]
+                score = _raw_scores(ctype, found[lo : lo + step], n[p], n[cols])
+                x, y = place[p][:, None], place[cols][None, :]
+                keep = x != y
+                if own:
+                    keep &= np.arange(at + lo, at + lo + len(p))[:, None] < np.arange(first, len(kb))[None, :]
+                if not keep.any():
+                    continue
+                score = score[keep]
+                if digits is not None:
+                    score = rounded(score, digits)
+                if numbers and not infos:
+                    ends = [np.minimum(x, y)[keep], np.maximum(x, y)[keep]]
+                else:
+                    turn = x > y
+                    sides = [pa.array(np.where(turn, cols[None, :], p[:, None])[keep]), pa.array(np.where(turn, p[:, None], cols[None, :])[keep])]
+                    ends = [t[k].take(s).combine_chunks() for k in (("ord", "info") if infos else ("ord",)) for s in sides]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(score)], names=["a_ord", "b_ord", *(["a_info", "b_info"] if infos else []), "score"])
 
     def cells(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -229,3 +229,38 @@ def test_dots_of_hot_and_rare_codes():
     rows = [r.integers(0, 3, (40, 300)) * (r.random((40, 300)) < np.linspace(0.01, 1, 300)) for _ in range(2)]
     sides = [(*np.nonzero(m), m[np.nonzero(m)].astype(float)) for m in rows]
     assert (C._dots(*sides, (40, 40), 300) == rows[0] @ rows[1].T).all()
+
+
+def _cell(left, right, own=False):
+    """The rows of a cell as a worker gets them; sequences of numbers."""
+    import pyarrow as pa
+
+    rows = left + right
+    return pa.table(
+        {
+            "i": pa.array([0] * len(rows), pa.int32()), "j": pa.array([0 if own else 1] * len(rows), pa.int32()), "right": [False] * len(left) + [True] * len(right),
+            "ord": pa.array([k for k, _ in rows], pa.int64()), "n": pa.array([len(s) for _, s in rows], pa.int32()),
+            "codes": pa.array([s for _, s in rows], pa.list_(pa.int64())), "txt": pa.array([None] * len(rows), pa.string()),
+        }
+    ).to_batches()
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_a_cell_is_worked_on_in_slabs(monkeypatch, own):
+    """Scores of the first rows leave before the last ones are compared, and a block with itself costs about half."""
+    r = random.Random(4)
+    rows = [(k, [r.randrange(5) for _ in range(r.randrange(6))]) for k in range(1200)]
+    left, right = (rows, rows) if own else (rows[::2], rows[1::2])
+    shapes, plain = [], C.grids.lcs
+    monkeypatch.setattr(C.grids, "lcs", lambda a, n, b, m: shapes.append((len(n), len(m))) or plain(a, n, b, m))
+    batches = C._scored_cells("LCS", False, 9)(iter(_cell(left, right, own)))
+    got = list(next(batches).to_pylist())
+    assert len(shapes) == 1 and shapes[0][0] < len(left)
+    got += [x for b in batches for x in b.to_pylist()]
+    assert sum(n * m for n, m in shapes) <= (0.6 if own else 1) * len(left) * len(right)
+    size = dict(rows)
+    want = {(i, j) for i, _ in left for j, _ in right if i < j} | {(j, i) for i, _ in left for j, _ in right if j < i}
+    assert len(got) == len(want) and {(x["a_ord"], x["b_ord"]) for x in got} == want
+    for x in r.sample(got, 3000):
+        a, b = size[x["a_ord"]], size[x["b_ord"]]
+        assert x["score"] == (float(len(a) == len(b)) if not a or not b else round(lcs_length(a, b) / max(len(a), len(b)), 9))
