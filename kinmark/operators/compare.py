@@ -313,7 +313,8 @@ def _all_scored(birthmarks: DataFrame, ctype: str, order: str, blocks: int | Non
     rows = Scratch(birthmarks.sparkSession, "compare").write(rows)  # both sides read it
     kinds = dict(rows.dtypes)
     cells = cell_rows(rows, "ord", blocks).select("i", "j", "right", "row.*").sortWithinPartitions("i", "j")
-    told = f"a_ord {kinds['ord']}, b_ord {kinds['ord']}, " + (f"a_info {kinds['info']}, b_info {kinds['info']}, " if infos else "") + "score double"
+    # that no number is null spares a look at each, and what a file says of it
+    told = f"a_ord {kinds['ord']} not null, b_ord {kinds['ord']} not null, " + (f"a_info {kinds['info']}, b_info {kinds['info']}, " if infos else "") + "score double not null"
     return cells.mapInArrow(_scored_cells(ctype, infos, digits), told)
 
 

@@ -264,3 +264,9 @@ def test_a_cell_is_worked_on_in_slabs(monkeypatch, own):
     for x in r.sample(got, 3000):
         a, b = size[x["a_ord"]], size[x["b_ord"]]
         assert x["score"] == (float(len(a) == len(b)) if not a or not b else round(lcs_length(a, b) / max(len(a), len(b)), 9))
+
+
+def test_scores_are_never_null(spark):
+    """So no file says for each of them whether it is there."""
+    for ctype in ("Cosine", "Levenshtein"):
+        assert not any(f.nullable for f in C.scores(table(spark, lists()), ctype, digits=9).schema)
