@@ -62,13 +62,28 @@ _ANY = re.compile(r"[A-ZÀ-ÖØ-Þ]?[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-
 _PREFIXES = ("multi", "sub", "pre", "un", "re")
 
 
-def term_counts(text: str) -> Counter[str]:
+_LETTERS = re.compile(r"[^\W\d_]+")
+_GAPS = {i: " " for i in range(128) if not chr(i).isalpha()}
+#: The terms of each run of letters; forgotten when there are too many.
+_TERMS: dict[str, list[str]] = {}
+_TERMS_MOST = 1 << 18
+
+
+def _terms(run: str) -> list[str]:
+    if len(_TERMS) >= _TERMS_MOST:
+        _TERMS.clear()
+    words = [w.lower() for w in (_ASCII if run.isascii() else _ANY).findall(run)]
+    _TERMS[run] = terms = [w for w in words if len(w) > 1 and w.strip("abcdef")]
+    return terms
+
+
+def term_counts(text: str) -> dict[str, int]:
     """Words of at least two letters with their counts; words of the letters a to f only are digits of numbers."""
-    out: Counter[str] = Counter()
-    for w, n in Counter((_ASCII if text.isascii() else _ANY).findall(text)).items():
-        w = w.lower()
-        if len(w) > 1 and w.strip("abcdef"):
-            out[w] += n
+    out: dict[str, int] = {}
+    # no word reaches beyond a run of letters, and a text has the same runs many times
+    for run, n in Counter(text.translate(_GAPS).split() if text.isascii() else _LETTERS.findall(text)).items():
+        for term in _TERMS[run] if run in _TERMS else _terms(run):
+            out[term] = out.get(term, 0) + n
     return out
 
 
@@ -222,7 +237,7 @@ def _chunks(it: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.Recor
 def _add_products(total: np.ndarray, q: np.ndarray, ids: np.ndarray, w: np.ndarray, size: np.ndarray, row: np.ndarray) -> None:
     """Adds (weighted matrix)' (weighted matrix) q of some documents."""
     docs = _sum_rows(q[ids] * w[:, None], size)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16) if len(total) <= 1 << 16 else ids, kind="stable")  # short numbers are sorted by digits
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
     total[ids[order][first]] += np.add.reduceat(docs[row[order]] * w[order, None], first, axis=0)
 

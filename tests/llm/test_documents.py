@@ -191,3 +191,23 @@ def test_terms_of_examples_are_kept(spark, monkeypatch):
     docs = [(i, "violin sonata node data") for i in range(20)] + [(20, "glissando violin"), (21, "obscure violin")]
     subjects_found(spark, docs, [("glissando violin", "music"), ("court", "law")])
     assert "glissando" in seen[0] and "obscure" not in seen[0]
+
+
+def test_words_are_counted_by_runs_of_letters(monkeypatch):
+    seen = []
+    word = subjects._ASCII
+    monkeypatch.setattr(subjects, "_ASCII", type("Counted", (), {"findall": lambda self, run: seen.append(run) or word.findall(run)})())
+    subjects._TERMS.clear()
+    assert subjects.term_counts("parseHTMLText(dead_beef) parseHTMLText x1 XMLs") == {"parse": 2, "html": 2, "text": 2, "xm": 1, "ls": 1}
+    subjects.term_counts("parseHTMLText again")
+    assert seen.count("parseHTMLText") == 1  # not once per place
+    r = random.Random(4)
+    parts = ["a", "Zb", "XMLs", "é", "É", "ß", "×", "÷", "²", "µ", "日本", "_", "9", " ", "\n", "-", "x\u0301", "\x1c", "\x85"]
+    for ascii_only in (True, False):
+        for _ in range(500):
+            text = "".join(r.choices([p for p in parts if p.isascii() or not ascii_only], k=r.randrange(1, 40)))
+            plain = defaultdict(int)
+            for w in ((word if text.isascii() else subjects._ANY).findall(text)):
+                if len(w) > 1 and w.lower().strip("abcdef"):
+                    plain[w.lower()] += 1
+            assert list(subjects.term_counts(text).items()) == list(plain.items())
