@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,22 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     bad = spark.read.parquet(str(tmp_path / "out_errors")).collect()
     assert [(r["path"].endswith("bad.ll"), r["error"]) for r in bad] == [(True, "unfinished function body")]
+
+
+def test_patterns_start_with_what_they_take(spark):
+    """A look behind at every place of a text was most of the work; what is found is the same."""
+    from kinmark.sources import ir_text as I
+
+    assert I._GAP.startswith(r"[ \t]") and I._BODY.startswith(r"\{")
+    gap = (
+        rf'(?<=[\w"\])>*{I._RIGHT}])[ \t]+(?=%{I._NAME}\s*=\s|(?:{I._ENDS})(?:\s|$))'
+        rf'|(?<=[\w"\])>*{I._RIGHT}])(?<!\btail|musttail|notail)[ \t]+(?=(?:(?:tail|musttail|notail)\s+)?(?:call|invoke|callbr)\s)'
+    )
+    body = r"(?<!=\s{0,9})\{" + I._BODY[I._BODY.index(r"(?=\s*(?:") :]
+    r = random.Random(6)
+    parts = [" ", "  ", "\t", "\n", "%x", "%x =", "ret ", "store i32", "br", "tail", "musttail", "notail", "xtail", "call ", "invoke ", "void", ")", "*", ",", '"', "{", "}", "=", "= {", "entry:", I._RIGHT, "9"]
+    texts = [("".join(r.choices(parts, k=r.randrange(1, 30))),) for _ in range(4000)] + [("= " + " " * k + "{ ret void }",) for k in range(14)]
+    df = spark.createDataFrame(texts, "t string")
+    for old, new in ((gap, I._GAP), (body, I._BODY)):
+        got = df.select(F.regexp_replace("t", old, "<>").alias("a"), F.regexp_replace("t", new, "<>").alias("b"), "t").collect()
+        assert all(x["a"] == x["b"] for x in got) and any(x["a"] != x["t"] for x in got)
