@@ -227,6 +227,17 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.where(np.isfinite(x), out, x)
 
 
+def _found(ctype: str, ids: np.ndarray, size: np.ndarray, n: np.ndarray, kinds: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """What the comparator finds for each of ``rows`` with each of ``cols``; n is the length that a record has, size that of what came with it."""
+    a, b = _of_rows(ids, size, rows), _of_rows(ids, size, cols)
+    if ctype == "Cosine":
+        return _cosines(a, size[rows], b, size[cols], kinds)
+    found = {"LCS": grids.lcs, "Levenshtein": grids.edits}.get(ctype, grids.matches)(a, size[rows], b, size[cols])
+    if ctype == "Levenshtein":  # rows that match nothing come without their elements
+        found = np.where((size[rows] < n[rows])[:, None] | (size[cols] < n[cols])[None, :], np.maximum(n[rows][:, None], n[cols][None, :]), found)
+    return found
+
+
 #: Pairs of a batch that leaves a cell: of numbers only, and with the infos.
 _BATCH, _BATCH_INFOS = 1 << 18, 1 << 14
 #: Rows of a cell that a comparator works on at once, at least; of a block with itself.
@@ -244,7 +255,6 @@ def _slabs(rows: int, step: int, own: bool) -> Iterator[tuple[int, int, int]]:
 
 def _scored_cells(ctype: str, infos: bool, digits: int | None):
     """Scores of the pairs of each cell; the rows of a cell are neighbours, and there are two blocks of bounded size at most."""
-    kernel = {"Cosine": None, "LCS": grids.lcs, "Levenshtein": grids.edits}.get(ctype, grids.matches)
 
     def scored(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).combine_chunks()
@@ -261,10 +271,7 @@ def _scored_cells(ctype: str, infos: bool, digits: int | None):
         step = max(1, (_BATCH_INFOS if infos else _BATCH) // len(kb))
         for at, end, first in _slabs(len(ka), step, bool(own)):
             slab, cols = ka[at:end], kb[first:]  # with itself, a block needs what comes after only
-            a, b = _of_rows(ids, size, slab), _of_rows(ids, size, cols)
-            found = _cosines(a, size[slab], b, size[cols], kinds) if kernel is None else kernel(a, size[slab], b, size[cols])
-            if ctype == "Levenshtein":  # rows that match nothing come without their elements
-                found = np.where((size[slab] < n[slab])[:, None] | (size[cols] < n[cols])[None, :], np.maximum(n[slab][:, None], n[cols][None, :]), found)
+            found = _found(ctype, ids, size, n, kinds, slab, cols)
             for lo in range(0, len(slab), step):
                 p = slab[lo : lo + step]
                 score = _raw_scores(ctype, found[lo : lo + step], n[p], n[cols])
@@ -308,8 +315,7 @@ def _scored_cells(ctype: str, infos: bool, digits: int | None):
 def _all_scored(birthmarks: DataFrame, ctype: str, order: str, blocks: int | None, infos: bool, digits: int | None) -> DataFrame:
     if ctype not in CTYPES:
         raise FatalError(f"unknown comparator: {ctype}")
-    rows = _whole(birthmarks, order) if ctype == "Cosine" else _compact(encoded(birthmarks, order))
-    rows = rows.select("ord", *(["info"] if infos else []), "n", "codes", "txt")
+    rows = _told(birthmarks, ctype, order).select("ord", *(["info"] if infos else []), "n", "codes", "txt")
     rows = Scratch(birthmarks.sparkSession, "compare").write(rows)  # both sides read it
     kinds = dict(rows.dtypes)
     cells = cell_rows(rows, "ord", blocks).select("i", "j", "right", "row.*").sortWithinPartitions("i", "j")
@@ -318,6 +324,11 @@ def _all_scored(birthmarks: DataFrame, ctype: str, order: str, blocks: int | Non
     return cells.mapInArrow(_scored_cells(ctype, infos, digits), told)
 
 
+def _told(birthmarks: DataFrame, ctype: str, order: str) -> DataFrame:
+    """(ord, info, n, codes, txt): what the comparator needs of each record."""
+    return _whole(birthmarks, order) if ctype == "Cosine" else _compact(encoded(birthmarks, order))
+
+
 def _compact(rows: DataFrame) -> DataFrame:
     """Encoded rows with either characters or codes, and nothing for those that match nothing."""
     plain = F.col("txt").isNotNull() | ~F.exists("codes", lambda c: c.isNotNull())

@@ -12,7 +12,7 @@ from .. import cli
 from .. import errors as X
 from ..operators import compare
 from ..scratch import Scratch
-from ..sources import files
+from ..sources import files, packed
 from . import queries as Q
 
 #: Modules of the file queries: two that can be parsed, one that has no functions, one that is cut off.
@@ -79,15 +79,12 @@ def s_birthmark_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q._query
 def s_similarity_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All comparisons of OpSeq files by Dice, written as one document and read again: every field of a similarity."""
+    """All comparisons of OpSeq files by Dice, written as one packed document and read again: every field of a similarity."""
     rows = Q.of_kind(spark, sf_dir, "OpSeq", "File").withColumn("info", F.col("info").withField("btype", F.lit("OpSeq")))
-    path = f"{_folder(spark)}/similarities.json"
-    files.write_similarities(compare.compare(rows, "Dice"), path)
-    info = "struct<name string, path string, btype string, mode string>"
-    back = files.pieces(spark, path).select(F.from_json("content", f"struct<btype string, a_info {info}, b_info {info}, ctype string, score double, elapsed_ms double>").alias("s"))
-    s = back.select("s.*")
-    fields = [F.col(f"{x}_info.{k}").alias(f"{x}_{k}") for x in "ab" for k in ("name", "path", "btype", "mode")]
-    return s.select("btype", *fields, "ctype", F.round("score", 9).alias("score"), F.col("elapsed_ms").isNull().alias("untimed"))
+    path = f"{_folder(spark)}/similarities.packed"
+    packed.write_comparisons(rows, "Dice", path)
+    s = packed.similarities(spark, path, digits=9)
+    return s.select(*s.columns[:-1], F.col("elapsed_ms").isNull().alias("untimed"))
 
 
 @Q._query

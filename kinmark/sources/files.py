@@ -250,27 +250,33 @@ def _write_rows(rows: DataFrame, dest: str) -> None:
     if not _remote(dest):
         _write((r["t"] for r in rows.toLocalIterator()), dest)
         return
-    spark = rows.sparkSession
-    folder = f"{qualified(Scratch(spark, 'parts').root)}/parts"
+    folder = f"{qualified(Scratch(rows.sparkSession, 'parts').root)}/parts"
     rows.select(_item("t").alias("t")).write.option("lineSep", ",\n").text(folder)
+    _string_together(folder, dest, b"[\n", 2, b"\n]\n", b"[]\n")  # nothing follows the last item
+
+
+def _string_together(folder: str, dest: str, before: bytes, less: int, after: bytes, nothing: bytes) -> None:
+    """One file of those that tasks have written, without the last ``less`` bytes of them; each is deleted when the file has it."""
+    context = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).sparkContext
+    jvm, gateway = context._jvm, context._gateway
     try:
         system, where = _file_system(folder)
         parts = sorted((f.getPath().toString(), f.getLen()) for f in system.listStatus(where) if f.getPath().getName().startswith("part-") and f.getLen())
-        copy, room = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.byte, 1 << 20)
+        copy, room = jvm.org.apache.commons.io.IOUtils.copyLarge, gateway.new_array(jvm.byte, 1 << 20)
         target, at = _file_system(dest)
         out = target.create(at, True)
         try:
-            out.write(bytearray(b"[\n" if parts else b"[]\n"))
+            out.write(bytearray(before if parts else nothing))
             for i, (path, size) in enumerate(parts):
                 part = _file_system(path)[1]
                 source = system.open(part)
                 try:
-                    copy(source, out, 0, size if i < len(parts) - 1 else size - 2, room)  # nothing follows the last item
+                    copy(source, out, 0, size if i < len(parts) - 1 else size - less, room)
                 finally:
                     source.close()
                 system.delete(part, False)
             if parts:
-                out.write(bytearray(b"\n]\n"))
+                out.write(bytearray(after))
         finally:
             out.close()
         system.delete(where, True)
